@@ -29,6 +29,7 @@ def query(name: str, check: str | None = None):
 def load_all() -> tuple[dict, dict]:
     from chartmill.plans import (  # noqa: F401
         queries_scalar,
+        queries_metrics,
     )
 
     return dict(_QUERIES), dict(_CHECKS)

@@ -27,12 +27,10 @@ def _(t):
 
 @query(
     "normalize_date_formats",
-    f"""WITH texts AS (SELECT encounter_id, {'{}'} AS raw FROM encounters)
-        SELECT encounter_id, raw, {date_tries('raw')} AS iso FROM texts""".format(
-        """CASE encounter_id % 6 WHEN 0 THEN strftime(visit_date, '%m/%d/%Y') WHEN 1 THEN strftime(visit_date, '%d-%m-%Y')
+    """WITH texts AS (SELECT encounter_id, CASE encounter_id % 6 WHEN 0 THEN strftime(visit_date, '%m/%d/%Y') WHEN 1 THEN strftime(visit_date, '%d-%m-%Y')
            WHEN 2 THEN strftime(visit_date, '%B %d, %Y') WHEN 3 THEN strftime(visit_date, '%b %d, %Y')
-           WHEN 4 THEN strftime(visit_date, '%m/%d/%y') ELSE strftime(visit_date, '%Y/%m/%d') END"""
-    ),
+           WHEN 4 THEN strftime(visit_date, '%m/%d/%y') ELSE strftime(visit_date, '%Y/%m/%d') END AS raw FROM encounters)
+        SELECT encounter_id, raw, """ + date_tries("raw") + " AS iso FROM texts",
 )
 def _(t):
     d = F.col("visit_date")
