@@ -86,3 +86,57 @@ def within_distance(df: DataFrame, keys: Sequence[str], axis: str, radius: int,
         .agg(fold("__near").alias(name))
     )
     return df.join(near, [*keys, axis], "left")
+
+
+def last_seen(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, bucket: Column, name: str) -> DataFrame:
+    """Newest non-null ``value`` at or before each row along ``order``.
+
+    With a negated order and bucket it looks ahead instead. Used as an as-of
+    join: union the probe rows (null value) with the rows that carry a value.
+    """
+    keys, cut = list(keys), [*keys, "__bucket"]
+    df = df.withColumns({"__bucket": bucket, "__value": value})
+    inside = F.last("__value", ignorenulls=True).over(W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    sorted_struct = F.struct(*[F.col(f"__o{i}") for i in range(len(order))])
+    marked = df.withColumns({f"__o{i}": c for i, c in enumerate(order)})
+    lasts = marked.groupBy(*cut).agg(F.max_by(F.col("__value"), F.when(F.col("__value").isNotNull(), sorted_struct)).alias("__last"))
+    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    carry = lasts.withColumn("__carry", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+    out = df.withColumn("__inside", inside).join(carry, cut, "left")
+    return out.withColumn(name, F.coalesce("__inside", "__carry")).drop("__bucket", "__value", "__inside", "__carry")
+
+
+def anchor_groups(df: DataFrame, key: str, at: str, width: int, name: str = "anchor") -> DataFrame:
+    """Add the anchor of each row: a group starts at its first row and takes every
+    row up to ``width`` later; the next later row starts the next group.
+
+    ``at`` is an integer time. The chain of anchors is followed by pointer
+    doubling over distinct times, so no key is ever scanned by a single task.
+    """
+    from chartmill.session import cut_lineage
+
+    times = df.select(key, F.col(at).alias("__t")).distinct()
+    ahead = times.select(key, F.col("__t"), F.col("__t").alias("__from"), F.lit(True).alias("__row"))
+    probes = times.select(key, (F.col("__t") + width).alias("__t"), F.col("__t").alias("__from"), F.lit(False).alias("__row"))
+    # looking ahead: strictly later rows come first in the negated order
+    nxt = last_seen(
+        ahead.unionByName(probes), [key], [-F.col("__t"), F.col("__row").cast("int")],
+        F.when(F.col("__row"), F.col("__t")), F.floor(-F.col("__t") / F.lit(width)), "__to",
+    )
+    jump = nxt.filter(~F.col("__row")).select(key, F.col("__from"), F.col("__to")).filter("__to IS NOT NULL")
+    reached = times.groupBy(key).agg(F.min("__t").alias("__from"))
+    jump, reached = cut_lineage(jump), cut_lineage(reached)
+    while True:
+        grown = reached.join(jump, [key, "__from"]).select(key, F.col("__to").alias("__from"))
+        grown = cut_lineage(reached.unionByName(grown).distinct())
+        far = jump.alias("a").join(jump.select(key, F.col("__from").alias("__to"), F.col("__to").alias("__far")), [key, "__to"])
+        jump = cut_lineage(far.select(key, "__from", F.col("__far").alias("__to")))
+        reached = grown
+        if jump.isEmpty():
+            break
+    both = times.select(key, "__t", F.lit(None).cast("bigint").alias("__a")).unionByName(
+        reached.select(key, F.col("__from").alias("__t"), F.col("__from").alias("__a"))
+    )
+    seen = last_seen(both, [key], [F.col("__t"), F.col("__a").isNull().cast("int")], F.col("__a"), F.floor(F.col("__t") / F.lit(width)), name)
+    seen = seen.filter("__a IS NULL").select(key, F.col("__t").alias(at), name)
+    return df.join(seen, [key, at], "left")

@@ -30,6 +30,8 @@ def load_all() -> tuple[dict, dict]:
     from chartmill.plans import (  # noqa: F401
         queries_scalar,
         queries_metrics,
+        queries_trends,
+        queries_search,
     )
 
     return dict(_QUERIES), dict(_CHECKS)
