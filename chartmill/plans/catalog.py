@@ -32,6 +32,8 @@ def load_all() -> tuple[dict, dict]:
         queries_metrics,
         queries_trends,
         queries_search,
+        queries_link,
+        queries_quality,
     )
 
     return dict(_QUERIES), dict(_CHECKS)
