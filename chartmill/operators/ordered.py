@@ -51,14 +51,14 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def within_distance(df: DataFrame, keys: Sequence[str], axis: str, radius: int, value: Column, kind: str, name: str) -> DataFrame:
-    """Minimum or sum of ``value`` over all rows of the key with ``|axis - own axis| <= radius``.
+    """Minimum, maximum or sum of ``value`` over all rows of the key with ``|axis - own axis| <= radius``.
 
     No row pairs are formed. Rows first collapse to one per (key, axis); each
     block of ``radius`` axis units then holds at most ``radius`` of them. The
     interval of a row covers its own block whole, a tail of the block before
     and a head of the block after, which are running aggregates read at probes.
     """
-    fold = {"min": F.min, "sum": F.sum}[kind]
+    fold = {"min": F.min, "max": F.max, "sum": F.sum}[kind]
     keys = list(keys)
     points = df.groupBy(*keys, axis).agg(fold(value).alias("__v"))
     here = F.col(axis)

@@ -34,6 +34,7 @@ def load_all() -> tuple[dict, dict]:
         queries_search,
         queries_link,
         queries_quality,
+        queries_dedup,
     )
 
     return dict(_QUERIES), dict(_CHECKS)

@@ -55,7 +55,7 @@ ROLES: dict[str, str] = {
         SELECT c_custkey AS patient_id, 'MRN' || CAST(100000 + c_custkey AS STRING) AS mrn,
                {pick('c_custkey', FIRST)} AS first_name,
                {pick('CAST(floor(c_custkey / 8) AS BIGINT)', LAST)} AS last_name,
-               DATE '1930-01-01' + CAST((c_custkey * 37) % 900 * 30 AS INT) AS birth_date,
+               DATE '1930-01-01' + CAST((c_custkey % 40) * 600 AS INT) AS birth_date,
                '1 (555) ' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-' ||
                lpad(CAST((c_custkey * 7) % 10000 AS STRING), 4, '0') AS phone,
                {pick('c_custkey', ['male', 'female', 'F', 'unknown'])} AS gender,
