@@ -35,6 +35,7 @@ def load_all() -> tuple[dict, dict]:
         queries_link,
         queries_quality,
         queries_dedup,
+        queries_merge,
     )
 
     return dict(_QUERIES), dict(_CHECKS)
