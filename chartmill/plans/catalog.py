@@ -36,6 +36,7 @@ def load_all() -> tuple[dict, dict]:
         queries_quality,
         queries_dedup,
         queries_merge,
+        queries_text,
     )
 
     return dict(_QUERIES), dict(_CHECKS)

@@ -289,7 +289,7 @@ class Tables:
         marked = re.sub(
             r"\b(FROM|JOIN)\s+([a-z_]+)",
             lambda m: f"{m.group(1)} {{{m.group(2)}}}" if m.group(2) in frames else m.group(0),
-            text,
+            text.replace("{", "{{").replace("}", "}}"),  # braces of literals are not placeholders
         )
         used = {n: f for n, f in frames.items() if "{" + n + "}" in marked}
         return self.spark.sql(marked, **used)
