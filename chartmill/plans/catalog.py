@@ -37,6 +37,7 @@ def load_all() -> tuple[dict, dict]:
         queries_dedup,
         queries_merge,
         queries_text,
+        queries_convert,
     )
 
     return dict(_QUERIES), dict(_CHECKS)
