@@ -79,17 +79,18 @@ def patient_summary(rows: DataFrame, limit: int = 10, start: str | None = None,
 
 
 # fixed values: report kinds with days and items per section
-SUMMARY_KINDS = {"recent": (30, 5), "problems": (None, 15), "comprehensive": (None, 20)}
+SUMMARY_KINDS = {
+    "recent": (30, 5, ["conditions", "medications", "observations"]), "problems_focused": (None, 15, ["conditions", "medications"]),
+    "comprehensive": (None, 20, ["conditions", "medications", "observations", "encounters"]),
+}
 
 
 def clinical_summary(rows: DataFrame, kind: str, as_of: str) -> DataFrame:
     """Section counts of a summary kind: rows in scope, rows shown, newest day."""
-    days, limit = SUMMARY_KINDS[kind]
-    scoped = rows
+    days, limit, sections = SUMMARY_KINDS[kind]
+    scoped = rows.filter(F.col("section").isin(sections))
     if days is not None:
-        scoped = rows.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days).cast("string"))
-    if kind == "problems":
-        scoped = scoped.filter("section IN ('conditions', 'medications')")
+        scoped = scoped.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days).cast("string"))
     return scoped.groupBy("patient_id", "section").agg(
         F.count("*").alias("total"), F.least(F.count("*"), F.lit(limit)).alias("shown"), F.count_if(F.col("status") == "active").alias("active"), F.max("day").alias("newest"),
     )
@@ -126,8 +127,9 @@ def comprehensive_report(rows: DataFrame, obs: DataFrame, encounters: DataFrame,
 
 def metrics_text(metrics: DataFrame) -> DataFrame:
     """Capture metrics as report lines."""
-    line = F.format_string("%s: %d/%d captured (%.1f%%)", F.col("category"), F.col("captured"), F.col("extracted"), F.col("rate"))
-    mark = F.when(F.col("rate") >= 90, "good").when(F.col("rate") < 50, "low").otherwise("fair")
+    title = S.title_case(F.replace(F.col("category"), F.lit("_"), F.lit(" ")))
+    line = F.format_string("%s: %d/%d (%.1f%%)", title, F.col("captured"), F.col("extracted"), F.col("rate"))
+    mark = F.when(F.col("rate") >= 90, "good").when(F.col("rate") >= 70, "fair").otherwise("low")
     return metrics.select("category", line.alias("line"), mark.alias("mark"))
 
 

@@ -38,6 +38,8 @@ def load_all() -> tuple[dict, dict]:
         queries_merge,
         queries_text,
         queries_convert,
+        queries_report,
+        queries_stream,
     )
 
     return dict(_QUERIES), dict(_CHECKS)

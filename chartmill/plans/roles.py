@@ -8,6 +8,7 @@ tables and earlier roles. Roles grow with the tables they come from.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -272,6 +273,11 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    @staticmethod
+    def run_id() -> str:
+        """Fresh name for the folder of one run."""
+        return uuid.uuid4().hex[:12]
+
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

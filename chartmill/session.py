@@ -26,20 +26,23 @@ def local_session(cpus: str | int = 8, app: str = "chartmill") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can write: ``spark.checkpoint.dir``, or a temporary one on a local master."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an iterative step in the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names the folder. Only where neither it nor a
-    checkpoint directory is set (tests on one machine) a temporary one is used.
+    A checkpoint directory set on the context is kept.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
