@@ -22,6 +22,20 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+class SentenceChunks:
+    """Table function: chunks of one text, see ``operators.text.pack_sentences``."""
+
+    def eval(self, text: str, pieces: list, size: int, overlap: int):
+        from chartmill.operators.text import pack_sentences
+
+        if text is not None:
+            yield from pack_sentences(text, list(pieces), size, overlap)
+
+
+CHUNK_RETURN = "chunk_id int, start_index int, end_index int, chunk_text string, overlap_text string"
+
+
 def register(spark: SparkSession) -> None:
-    """Make the functions available to SQL."""
+    """Make the functions available to SQL as ``seq_ratio`` and ``sentence_chunks``."""
     spark.udf.register("seq_ratio", seq_ratio)
+    spark.udtf.register("sentence_chunks", F.udtf(SentenceChunks, returnType=CHUNK_RETURN))

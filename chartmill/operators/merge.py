@@ -124,9 +124,14 @@ def chosen_strategy(conflict: Column, resource_type: Column, severity: Column, c
     )
 
 
-def resolution(strategy: Column, new_at: Column, old_at: Column, new_confidence: Column, old_confidence: Column) -> Column:
+def with_strategy(name: str, rule: Callable[[Column, Column, Column, Column], Column]) -> dict:
+    """Strategy table with one more entry, for ``resolution(..., strategies=...)``."""
+    return {**STRATEGIES, name: rule}
+
+
+def resolution(strategy: Column, new_at: Column, old_at: Column, new_confidence: Column, old_confidence: Column, strategies: dict | None = None) -> Column:
     out = F
-    for name, rule in STRATEGIES.items():
+    for name, rule in (strategies or STRATEGIES).items():
         out = out.when(strategy == name, rule(new_at, old_at, new_confidence, old_confidence))
     return out.otherwise(STRATEGIES["newest_wins"](new_at, old_at, new_confidence, old_confidence))
 
@@ -170,20 +175,23 @@ def merge_actions(new: DataFrame, predominant: DataFrame, row_id: str) -> DataFr
     return rows.select(row_id, "resource_type", merged.alias("merge_action"), "conflicts", "resolved")
 
 
-# handlers by resource type: DataFrame of new rows -> DataFrame with ``merge_action``
-HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
+class HandlerRegistry:
+    """Merge handlers by resource type: DataFrame of new rows -> DataFrame of merged rows."""
 
-def register_handler(resource_type: str, handler: Callable[[DataFrame], DataFrame]) -> None:
-    HANDLERS[resource_type] = handler
+    def __init__(self, default: Callable[[DataFrame], DataFrame]):
+        self.default = default
+        self.handlers: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
+    def register(self, resource_type: str, handler: Callable[[DataFrame], DataFrame]) -> None:
+        self.handlers[resource_type] = handler
 
-def apply_handlers(new: DataFrame, default: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run the registered handler of each type and the default for the others."""
-    out = default(new.filter(~F.col("resource_type").isin(list(HANDLERS)) if HANDLERS else F.lit(True)))
-    for resource_type, handler in HANDLERS.items():
-        out = out.unionByName(handler(new.filter(F.col("resource_type") == resource_type)))
-    return out
+    def apply(self, new: DataFrame) -> DataFrame:
+        """Registered handler for its type, the default for the others."""
+        own = list(self.handlers)
+        out = self.default(new.filter(~F.col("resource_type").isin(own)) if own else new)
+        for resource_type, handler in self.handlers.items():
+            out = out.unionByName(handler(new.filter(F.col("resource_type") == resource_type)))
+        return out
 
 
 def merge_procedures(pairs: DataFrame) -> DataFrame:

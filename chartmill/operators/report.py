@@ -100,7 +100,8 @@ def observation_sections(obs: DataFrame) -> DataFrame:
     """Counts per patient and category; all four categories appear."""
     kinds = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("category"), F.lit(v).alias("label")) for i, (k, v) in enumerate(fixed.OBSERVATION_LABELS)])
     category = S.observation_category(F.lit(None).cast("string"), F.col("test_name"))
-    n = obs.groupBy("patient_id").agg(*[F.count_if(category == k).alias(k) for k, _ in fixed.OBSERVATION_LABELS])
+    per = obs.select("patient_id", category.alias("category")).groupBy("patient_id", "category").agg(F.count("*").alias("n"))
+    n = per.groupBy("patient_id").agg(*[F.coalesce(F.max(F.when(F.col("category") == k, F.col("n"))), F.lit(0)).alias(k) for k, _ in fixed.OBSERVATION_LABELS])
     long = n.select("*", F.inline(kinds))
     count = F
     for k, _ in fixed.OBSERVATION_LABELS:

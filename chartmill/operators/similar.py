@@ -111,3 +111,44 @@ def similar_codes(codes: DataFrame, code: str, k: int = 10, threshold: float = 0
     from chartmill.operators.ordered import top_rows
 
     return top_rows(out, ["code"], [F.desc("score"), F.col("similar")], k, "place")
+
+
+# fixed values: example codes per system, and the mappings that are known
+EXAMPLE_CODES = {
+    "LOINC": ["8480-6", "8462-4", "2093-3", "33747-0"], "SNOMED": ["386661006", "44054006", "271649006", "162864005"],
+    "ICD-10-CM": ["E11.9", "I10", "Z51.11", "F41.1"], "ICD-10": ["E11", "I10", "Z51", "F41"],
+    "CPT": ["99213", "99214", "80053", "36415"], "RxNorm": ["161", "8640", "197361", "313782"],
+    "UCUM": ["mg/dL", "mmol/L", "g/L", "IU/L"],
+}
+KNOWN_MAPPINGS = [
+    ("2093-3", "LOINC", "CHOL", "LOCAL", 1.0, "exact"), ("E11.9", "ICD-10-CM", "44054006", "SNOMED", 0.95, "equivalent"),
+]
+
+
+def equivalent_codes(codes: DataFrame, per_system: int = 3, threshold: float = 0.8) -> DataFrame:
+    """Equivalents of ``(code, system)`` in other systems.
+
+    A known mapping wins; other codes get the most similar example codes of each
+    other system above ``threshold``, with confidence 0.7 of the similarity.
+    """
+    from chartmill.operators.ordered import top_rows
+
+    def shape(column):
+        return F.regexp_replace(column, r"\w", "X")
+
+    def plain(column):
+        return F.lower(F.regexp_replace(column, r"[^\w]", ""))
+
+    distinct = codes.select("code", "system").distinct()
+    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("from_code", "from_system", "target_code", "target_system", "confidence", "kind"), m)]) for m in KNOWN_MAPPINGS])
+    hits = F.filter(known, lambda m: (m["from_code"] == F.col("code")) & (F.upper(m["from_system"]) == F.upper(F.col("system"))))
+    rows = distinct.withColumn("__hits", hits)
+    exact = rows.select("code", "system", F.inline("__hits")).drop("from_code", "from_system")
+    examples = F.array(*[F.struct(F.lit(c).alias("target_code"), F.lit(s).alias("target_system")) for s, cs in EXAMPLE_CODES.items() for c in cs])
+    offers = rows.filter(F.size("__hits") == 0).select("code", "system", F.inline(examples)).filter(F.upper("target_system") != F.upper("system"))
+    ratio = seq_ratio(plain(F.col("code")), plain(F.col("target_code"))) * 0.7
+    same = F.when(shape(F.col("code")) == shape(F.col("target_code")), 1.0).otherwise(seq_ratio(shape(F.col("code")), shape(F.col("target_code"))))
+    scored = offers.withColumn("score", ratio + same * 0.3).filter(F.col("score") > threshold)
+    best = top_rows(scored, ["code", "system", "target_system"], [F.desc("score"), F.col("target_code")], per_system, "place")
+    fuzzy = best.select("code", "system", "target_code", "target_system", (F.col("score") * 0.7).alias("confidence"), F.lit("related").alias("kind"))
+    return exact.unionByName(fuzzy)

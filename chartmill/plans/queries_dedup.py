@@ -239,3 +239,15 @@ def _(t):
 @query("similar_codes")
 def _(t):
     return X.similar_codes(t.codes.select(F.concat_ws("-", "loinc", F.substring("display", 1, 3)).alias("c")), "c", 5)
+
+
+@query("equivalent_codes")
+def _(t):
+    return X.equivalent_codes(t.codes.select(F.trim("raw_code").alias("code"), F.col("stated_system").alias("system")))
+
+
+@query("sequence_ratio")
+def _(t):
+    from chartmill.functions.udfs import seq_ratio
+
+    return t.codes.select("code_id", seq_ratio(F.col("display"), F.lower("test_name")).alias("ratio"))

@@ -372,3 +372,25 @@ def _(t):
 def _(t):
     reviews = t.labels.selectExpr("doc_id", "CASE quality WHEN 1 THEN 'approved' ELSE 'rejected' END AS verdict", "'r' AS reviewer")
     return G.apply_reviews(t.sql(_PD), reviews).select("doc_id", "review", "is_merged")
+
+
+@query(
+    "custom_merge_handler",
+    "SELECT resource_id, CASE resource_type WHEN 'Encounter' THEN 'kept_' || lower(body) ELSE 'added' END AS merge_action FROM resources",
+)
+def _(t):
+    registry = G.HandlerRegistry(lambda df: df.select("resource_id", F.lit("added").alias("merge_action")))
+    registry.register("Encounter", lambda df: df.select("resource_id", F.concat(F.lit("kept_"), F.lower("body")).alias("merge_action")))
+    return registry.apply(t.resources)
+
+
+@query(
+    "custom_strategy",
+    f"""WITH pr AS ({PAIRS}) SELECT row_id, CASE WHEN row_id LIKE '%1' THEN CASE WHEN new_value > old_value THEN 'keep_new' ELSE 'keep_existing' END ELSE {_NEWEST} END AS action FROM pr WHERE resource_type = 'Observation'""",
+)
+def _(t):
+    table = G.with_strategy("highest_wins", lambda na, oa, nv, ov: F.when(nv > ov, "keep_new").otherwise("keep_existing"))
+    rows = pairs(t).filter("resource_type = 'Observation'")
+    chosen = F.when(F.col("row_id").endswith("1"), "highest_wins").otherwise("newest_wins")
+    action = G.resolution(chosen, F.col("new_at"), F.col("old_at"), F.col("new_value"), F.col("old_value"), table)
+    return rows.select("row_id", action.alias("action"))

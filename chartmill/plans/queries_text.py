@@ -383,3 +383,12 @@ def _(t):
 def _(t):
     rows = t.sql(_SNIP).selectExpr("doc_id % 50 AS doc_id", "source_text AS snippet", "CASE WHEN position >= 0 THEN position END AS position")
     return E.snippet_stats(rows)
+
+
+@query("chunk_table_function")
+def _(t):
+    from chartmill.functions.udfs import register
+
+    register(t.spark)
+    rows = t.documents.select("doc_id", "text", T.sentences(F.col("text")).alias("pieces"))
+    return t.spark.sql("SELECT doc_id, c.* FROM {rows}, LATERAL sentence_chunks(text, pieces, 2000, 200) AS c", rows=rows)
