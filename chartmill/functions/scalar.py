@@ -24,12 +24,16 @@ def any_of(column: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [column.contains(w) for w in words])
 
 
+def words_regex(words) -> str:
+    """Pattern of plain containment: one test per rule keeps generated code small."""
+    return "|".join(re.sub(r"([.+?()*\[\]])", r"\\\1", w) for w in words)
+
+
 def cascade(column: Column, rules, default=None, result=lambda v: F.lit(v)) -> Column:
-    """First rule with a contained word wins."""
-    (value, words), *rest = rules
-    out = F.when(any_of(column, words), result(value))
-    for value, words in rest:
-        out = out.when(any_of(column, words), result(value))
+    """First rule with a contained word wins; meant for short texts such as labels."""
+    out = F
+    for value, words in rules:
+        out = out.when(column.rlike(words_regex(words)), result(value))
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 

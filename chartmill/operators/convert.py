@@ -327,7 +327,7 @@ def resource_rows(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("patient_id"), F.col("resource_id").alias("encounter_id"), F.col("effective").alias("date_text")
     )
     linkable = rows.filter(F.col("resource_type").isin(LINKED_TYPES) & ~((F.col("resource_type") == "Immunization") & (F.col("status") == "not-done")))
-    asked = linkable.select(F.col("doc_id").alias("patient_id"), "resource_id", F.col("effective").alias("date_text"), F.lit(None).cast("string").alias("encounter_ref"))
+    asked = linkable.select(F.col("doc_id").alias("patient_id"), "resource_id", F.col("effective").alias("date_text"))
     links = link_encounters(asked, "resource_id", visits).select("resource_id", F.col("visit").alias("encounter_id"))
     return rows.join(links, "resource_id", "left")
 

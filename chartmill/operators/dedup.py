@@ -226,10 +226,12 @@ def merge_fields(fields: DataFrame) -> DataFrame:
     steps = steps.withColumn("key", key)
     rows = steps.select("doc_id", "chunk", "label", "value", "confidence", "field_class", "key", F.struct(first.alias("x"), second.alias("y"), place.alias("z")).alias("rank"))
     best = F.max_by(F.struct("label", "value", "confidence"), F.col("rank"))
-    out = rows.filter("key <> ''").groupBy("doc_id", "field_class", "key").agg(
-        best.alias("b"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("chunk")), ",").alias("chunks")  # at most 25 chunks a document
+    # the blank-key test reads an aggregate: a filter on the key itself would be pushed
+    # below every projection and repeat their expressions
+    out = rows.groupBy("doc_id", "field_class", "key").agg(
+        best.alias("b"), F.count("*").alias("n"), F.max(F.length("key")).alias("key_length"), F.array_join(F.array_sort(F.collect_set("chunk")), ",").alias("chunks")  # at most 25 chunks a document
     )
-    return out.select("doc_id", "field_class", "key", "b.label", "b.value", "b.confidence", "n", "chunks")
+    return out.filter("key_length > 0").select("doc_id", "field_class", "key", "b.label", "b.value", "b.confidence", "n", "chunks")
 
 
 ACTIVE_MEDICATION = ["active", "intended", "on-hold"]

@@ -48,11 +48,15 @@ def match_by_date(rows: DataFrame, row_id: str, encounters: DataFrame) -> DataFr
 def link_encounters(rows: DataFrame, row_id: str, encounters: DataFrame) -> DataFrame:
     """Add ``visit``: hinted encounter, else date match, else the lone encounter for undated rows.
 
-    ``rows`` also has ``encounter_ref``. A hint to an unknown encounter is ignored.
+    A column ``encounter_ref`` of ``rows`` is the hint; one to an unknown encounter is ignored.
     """
-    known = encounters.select(F.col("encounter_id").alias("encounter_ref"), F.col("encounter_id").alias("by_ref"))
+    if "encounter_ref" in rows.columns:
+        known = encounters.select(F.col("encounter_id").alias("encounter_ref"), F.col("encounter_id").alias("by_ref"))
+        hinted = rows.join(known, "encounter_ref", "left")
+    else:
+        hinted = rows.withColumn("by_ref", F.lit(None).cast(encounters.schema["encounter_id"].dataType))
     lone = encounters.groupBy("patient_id").agg(F.count("*").alias("__n"), F.min("encounter_id").alias("__lone")).filter("__n = 1").drop("__n")
-    out = rows.join(known, "encounter_ref", "left").join(match_by_date(rows, row_id, encounters), row_id, "left").join(lone, "patient_id", "left")
+    out = hinted.join(match_by_date(rows, row_id, encounters), row_id, "left").join(lone, "patient_id", "left")
     undated = F.col("date_text").isNull()
     tier = (
         F.when(F.col("by_ref").isNotNull(), "reference").when(F.col("by_date").isNotNull(), "date")

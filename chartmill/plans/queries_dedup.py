@@ -172,7 +172,7 @@ _MF = rf"""f AS (SELECT *, {_KIND_SQL} AS k FROM fields), g AS (SELECT *, CASE k
           array_to_string(list_sort(list(DISTINCT chunk)), ',') AS chunks FROM g WHERE key <> '' GROUP BY ALL""",
 )
 def _(t):
-    return D.merge_fields(t.fields)
+    return D.merge_fields(t.spread(t.fields, "doc_id"))
 
 
 @query(

@@ -19,7 +19,7 @@ _BY_DATE = f"""by_date AS (SELECT o.obs_id, min(e.encounter_id) AS v FROM observ
         SELECT obs_id, coalesce(encounter_ref, v, e) AS visit, CASE WHEN encounter_ref IS NOT NULL THEN 'reference' WHEN v IS NOT NULL THEN 'date' WHEN e IS NOT NULL THEN 'lone' ELSE 'unlinked' END AS tier FROM x""",
 )
 def _(t):
-    return L.link_encounters(t.observations, "obs_id", t.encounters).select("obs_id", "visit", "tier")
+    return L.link_encounters(t.spread(t.observations, "obs_id"), "obs_id", t.encounters).select("obs_id", "visit", "tier")
 
 
 @query(
@@ -29,7 +29,7 @@ def _(t):
         FROM observations o LEFT JOIN by_date d USING (obs_id) GROUP BY ALL""",
 )
 def _(t):
-    return L.group_by_visit(t.observations, "obs_id", t.encounters)
+    return L.group_by_visit(t.spread(t.observations, "obs_id"), "obs_id", t.encounters)
 
 
 # panel reports: one per encounter and test name over its first lines

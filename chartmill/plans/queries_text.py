@@ -243,9 +243,12 @@ def _(t):
     return E.allergies(t.notes)
 
 
+_KV = r"unnest(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9\s]*?):\s*([^:\n]+)', {}))"
+
+
 @query(
     "key_value_fields",
-    rf"""WITH p AS (SELECT doc_id, {_strip("unnest(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9\s]*?):\s*([^:\n]+)', 1))")} AS label, {_strip("unnest(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9\s]*?):\s*([^:\n]+)', 2))")} AS value FROM notes)
+    rf"""WITH p AS (SELECT doc_id, {_strip(_KV.format(1))} AS label, {_strip(_KV.format(2))} AS value FROM notes)
         SELECT doc_id, label, value, 0.7::DOUBLE AS confidence FROM p WHERE length(label) >= 2 AND length(value) >= 1""",
 )
 def _(t):

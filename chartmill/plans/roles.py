@@ -7,6 +7,7 @@ tables and earlier roles. Roles grow with the tables they come from.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -239,6 +240,8 @@ ROLES: dict[str, str] = {
         FROM documents""",
 }
 
+SPREAD_FROM, SPREAD_TO = 1 << 21, 1 << 26  # 2 MB to 64 MB, below one usual split
+
 _WORD = re.compile(r"[a-z_]+")
 
 
@@ -278,8 +281,23 @@ class Tables:
         """Fresh name for the folder of one run."""
         return uuid.uuid4().hex[:12]
 
+    def _small(self, name: str) -> bool:
+        path = f"{self.folder}/{name}.parquet"
+        return os.path.isfile(path) and SPREAD_FROM < os.path.getsize(path) < SPREAD_TO
+
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A base table. A small local file holds one row group and would be read by a
+        single task, so texts are spread over the cores; larger or remote files are
+        read in their own splits, without an exchange."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._spread(df, df.columns[0]) if name in ("documents", "pages") and self._small(name) else df
+
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
+
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """The same for rows of the line items where much work follows per row."""
+        return self._spread(df, key) if self._small("lineitem") else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:
