@@ -146,7 +146,7 @@ def clinical_date(column: Column, today: Column) -> Column:
         F.try_to_date(inner, "yyyy-M-d"),
         F.try_to_date(F.translate(slash, "-", "/"), "M/d/yyyy"),
         F.try_to_date(squeeze(month), "MMM d yyyy"),
-        F.when(F.year(two) > 2050, F.add_months(two, -1200)).otherwise(two),
+        F.when(F.year(two) >= 2050, F.add_months(two, -1200)).otherwise(two),
     )
     return F.when(best.between(F.lit(EARLIEST).cast("date"), F.add_months(today, 12)), best)
 

@@ -240,8 +240,8 @@ def provenance_chains(links: DataFrame, item: str, previous: str) -> DataFrame:
 
     Pointer doubling: after round k each item knows its ancestor 2^k steps up,
     so the number of joins is logarithmic in the longest chain. A pointer to an
-    absent item ends the chain. Items on a cycle have no root: the rounds stop
-    after 40 and their root is null.
+    absent item ends the chain. Each round settles some item of every open chain,
+    so when a round settles none only cycles are left; their items have no root.
     """
     ids = links.select(F.col(item).alias("__up"))
     known = links.select(F.col(item).alias("id"), F.col(previous).alias("__up"))
@@ -251,9 +251,9 @@ def provenance_chains(links: DataFrame, item: str, previous: str) -> DataFrame:
         .withColumn("steps", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("steps")))
         .withColumn("root", F.when(F.col("up").isNull(), F.col("id")))
     )
-    for _ in range(40):
-        if state.filter("up IS NOT NULL").isEmpty():
-            break
+    left = None
+    while (now := state.filter("up IS NOT NULL").count()) and now != left:
+        left = now
         above = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__s"), F.col("root").alias("__r"))
         joined = state.join(above, "up", "left")
         state = cut_lineage(
