@@ -130,7 +130,7 @@ _CHECKPOINTS = [
 
 
 @query(
-    "pipeline_checkpoints",
+    "document_checkpoints",
     f"WITH d AS ({_STAGES}), x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{s}' AS stage, {i} AS issues, {c} AS can_proceed, '{a}' AS a FROM d" for s, i, c, a in _CHECKPOINTS)
     + ") SELECT doc_id, stage, issues = '' AS is_valid, can_proceed, issues, CASE WHEN issues <> '' THEN a END AS advice FROM x",
 )
