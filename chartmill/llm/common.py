@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
     """The same rows in batches that hold at most about ``most_bytes`` of ``column``, one row at least."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(lengths), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from chartmill.llm import pieces as P
@@ -92,7 +93,7 @@ def count_tokens(docs: DataFrame, limit: int = 4096, tokenizer_folder: str | Non
                 new = list(set().union(*parts))
             known.update(zip(new, merged_counts(vocabulary, [P.spelled(w) for w in new]).tolist()))
             n = np.array([sum(map(known.__getitem__, ws)) for ws in parts], dtype=np.int64)
-            n_bytes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
+            n_bytes = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     source = with_python(docs).select("doc_id", text_of().alias("text"))
