@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from chartmill.llm.common import read_table, text_of
 from chartmill.llm.exact_dedup import exact_groups
+from chartmill.llm.license_scan import scan_licenses
+from chartmill.llm.quality import fit, labelled_rows, score_quality
 from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
 from chartmill.llm.token_counts import count_tokens
 
@@ -54,3 +56,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(labelled_rows(docs, read_table(spark, sf_dir, "labels")))
+    return score_quality(docs, model)
