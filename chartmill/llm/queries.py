@@ -13,6 +13,8 @@ from chartmill.llm.license_scan import scan_licenses
 from chartmill.llm.quality import fit, labelled_rows, score_quality
 from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
 from chartmill.llm.token_counts import count_tokens
+from chartmill.llm.vector_topk import scaled, top_inner_products, usable
+from chartmill.llm.warc import archive, look_up, read_records, url_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +70,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit(labelled_rows(docs, read_table(spark, sf_dir, "labels")))
     return score_quality(docs, model)
+
+
+@query(
+    "op8_vector_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS vector
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vector, c.vector) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    WHERE rank <= 10
+    """,
+)
+def op8_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")))
+    vectors = rows.select("vec_id", scaled(F.col("embedding")).alias("vector"))
+    return top_inner_products(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+    ), g AS (
+        SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM p
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+           list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM g
+    """,
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    store = archive(pages, least_bytes=0)
+    found = look_up(store, pages.select(url_key(F.col("url")).alias("url_key"), "page_id"))
+    return read_records(store, found, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
