@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from chartmill.llm.common import read_table, text_of
 from chartmill.llm.exact_dedup import exact_groups
+from chartmill.llm.jaccard_join import jaccard_components
 from chartmill.llm.license_scan import scan_licenses
+from chartmill.llm.packing import pack_documents
 from chartmill.llm.quality import fit, labelled_rows, score_quality
 from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
 from chartmill.llm.token_counts import count_tokens
@@ -115,3 +117,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = archive(pages, least_bytes=0)
     found = look_up(store, pages.select(url_key(F.col("url")).alias("url_key"), "page_id"))
     return read_records(store, found, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
