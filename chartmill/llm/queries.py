@@ -11,6 +11,7 @@ from chartmill.llm.common import read_table, text_of
 from chartmill.llm.exact_dedup import exact_groups
 from chartmill.llm.jaccard_join import jaccard_components
 from chartmill.llm.license_scan import scan_licenses
+from chartmill.llm.line_dedup import dedup_lines
 from chartmill.llm.packing import pack_documents
 from chartmill.llm.quality import fit, labelled_rows, score_quality
 from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
@@ -127,3 +128,28 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_line_dedup",
+    """
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+    ), h AS (
+        SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS hash FROM l
+    ), b AS (
+        SELECT *, CASE WHEN (hash + 31 * coalesce(lag(hash) OVER d, 0)) % 1000003 % 3 = 0 THEN 1 ELSE 0 END AS ends FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    ), n AS (
+        SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b
+    ), c AS (
+        SELECT doc_id, no, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, no
+    ), r AS (
+        SELECT *, lines >= 2 AND trim(replace(body, chr(10), '')) <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AS gone FROM c
+    )
+    SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text, CAST(sum(lines) AS BIGINT) AS n_lines,
+           CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines, count(*) FILTER (gone) AS removed_chunks
+    FROM r GROUP BY doc_id
+    """,
+)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents"))
