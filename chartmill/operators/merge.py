@@ -70,8 +70,11 @@ def simple_conflicts(pairs: DataFrame, row_id: str) -> DataFrame:
     return pairs.select(row_id, "resource_type", F.inline(found))
 
 
-def graded_conflicts(pairs: DataFrame, row_id: str) -> DataFrame:
-    """Richer rules with graded severity; also reads unit, onset, severity, dosage and demographics."""
+def graded_conflict_list() -> Column:
+    """Conflicts of one pair as an array of (conflict, field, severity).
+
+    Richer rules with graded severity; they also read unit, onset, severity, dosage and demographics.
+    """
     kind = F.col("resource_type")
     a, b = F.col("new_value"), F.col("old_value")
     top = F.greatest(F.abs(a), F.abs(b))
@@ -82,7 +85,7 @@ def graded_conflicts(pairs: DataFrame, row_id: str) -> DataFrame:
     swap = ((s1 == "active") & s2.isin("resolved", "inactive")) | ((s2 == "active") & s1.isin("resolved", "inactive"))
     differs = F.col("new_status") != F.col("old_status")
     obs, cond, med, pat = (kind == k for k in ("Observation", "Condition", "MedicationStatement", "Patient"))
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         _conflict(obs & (a != b), "value_mismatch", "value", value_level),
         _conflict(obs & (hours > 1), "temporal_conflict", "at", "medium"),
         _conflict(obs & (F.col("new_unit") != F.col("old_unit")) & (F.col("new_unit") != "") & (F.col("old_unit") != ""), "unit_mismatch", "unit", "high"),
@@ -95,7 +98,11 @@ def graded_conflicts(pairs: DataFrame, row_id: str) -> DataFrame:
         _conflict(pat & (F.col("new_name") != F.col("old_name")), "demographic_conflict", "name", "critical"),
         _conflict(pat & (F.col("new_birth") != F.col("old_birth")), "demographic_conflict", "birth_date", "critical"),
     ))
-    return pairs.select(row_id, "resource_type", F.inline(found))
+
+
+def graded_conflicts(pairs: DataFrame, row_id: str) -> DataFrame:
+    """One row per conflict of ``graded_conflict_list``."""
+    return pairs.select(row_id, "resource_type", F.inline(graded_conflict_list()))
 
 
 def newest_wins(new_at: Column, old_at: Column) -> Column:
@@ -136,38 +143,53 @@ def resolution(strategy: Column, new_at: Column, old_at: Column, new_confidence:
     return out.otherwise(STRATEGIES["newest_wins"](new_at, old_at, new_confidence, old_confidence))
 
 
-def resolved(conflicts: DataFrame, pairs: DataFrame, row_id: str, config: dict | None = None) -> DataFrame:
+def judged(pairs: DataFrame, config: dict | None = None) -> DataFrame:
+    """``pairs`` with their conflicts, each with its strategy and action, in the array ``judged``."""
+
+    def judge(c: Column) -> Column:
+        strategy = chosen_strategy(c["conflict"], F.col("resource_type"), c["severity"], config)
+        action = resolution(strategy, F.col("new_at"), F.col("old_at"), F.col("new_confidence"), F.col("old_confidence"))
+        return F.struct(c["conflict"].alias("conflict"), c["field"].alias("field"), c["severity"].alias("severity"), strategy.alias("strategy"), action.alias("action"))
+
+    return pairs.withColumn("judged", F.transform(graded_conflict_list(), judge))
+
+
+def resolved(pairs: DataFrame, row_id: str, config: dict | None = None) -> DataFrame:
     """Strategy and action of each conflict."""
-    rows = conflicts.join(pairs.select(row_id, "new_at", "old_at", "new_confidence", "old_confidence"), row_id)
-    rows = rows.withColumn("strategy", chosen_strategy(F.col("conflict"), F.col("resource_type"), F.col("severity"), config))
-    action = resolution(F.col("strategy"), F.col("new_at"), F.col("old_at"), F.col("new_confidence"), F.col("old_confidence"))
-    return rows.withColumn("action", action).select(row_id, "resource_type", "conflict", "field", "severity", "strategy", "action")
-
-
-def predominant_actions(actions: DataFrame, row_id: str) -> DataFrame:
-    """Strongest action per row with counts of resolved and open conflicts."""
-    rank = S.lookup(F.col("action"), ACTION_PRIORITY, 1)
-    return actions.groupBy(row_id).agg(
-        F.max_by("action", rank).alias("action"), F.count("*").alias("conflicts"),
-        F.count_if(F.col("action") != "flag_for_review").alias("resolved"), F.count_if(F.col("action") == "flag_for_review").alias("open"),
-        F.bool_or(F.col("severity") == "critical").alias("critical"),
-    )
+    return judged(pairs, config).select(row_id, "resource_type", F.inline("judged"))
+
+
+def _outcome(rows: DataFrame) -> DataFrame:
+    """Strongest action of a judged pair, counts of its resolved and open conflicts."""
+    strongest = F.array_max(F.transform("judged", lambda c: F.struct(S.lookup(c["action"], ACTION_PRIORITY, 1).alias("rank"), c["action"].alias("action"))))["action"]
+    is_open = F.filter("judged", lambda c: c["action"] == "flag_for_review")
+    return rows.withColumns({
+        "action": strongest, "conflicts": F.size("judged").cast("bigint"), "open": F.size(is_open).cast("bigint"),
+        "resolved": (F.size("judged") - F.size(is_open)).cast("bigint"), "critical": F.exists("judged", lambda c: c["severity"] == "critical"),
+    })
+
+
+def predominant_actions(pairs: DataFrame, row_id: str, config: dict | None = None) -> DataFrame:
+    """Strongest action per pair with conflicts, with counts of resolved and open ones."""
+    return _outcome(judged(pairs, config)).filter("conflicts > 0").select("resource_type", row_id, "action", "conflicts", "resolved", "open", "critical")
 
 
-def merge_actions(new: DataFrame, predominant: DataFrame, row_id: str) -> DataFrame:
+def merge_actions(pairs: DataFrame, row_id: str, config: dict | None = None) -> DataFrame:
     """What happens to each new row.
 
-    ``new(resource_type, matched, duplicate, new_at, old_at)``. Observations follow the
-    strongest resolution, conditions update when recorded later, others are added.
+    ``pairs`` also has ``matched`` and ``duplicate``. Observations follow the
+    strongest resolution, conditions update when recorded later, others are
+    added. All of it is decided within the row.
     """
-    rows = new.join(predominant, row_id, "left").fillna(0, ["conflicts", "resolved", "open"])
+    rows = _outcome(judged(pairs, config))
     later = F.coalesce(F.col("new_at") > F.col("old_at"), F.col("new_at").isNotNull())
+    skipped = F.col("matched") & F.col("duplicate")
     observation = (
-        F.when(F.col("matched") & F.col("duplicate"), "skipped").when(F.col("action") == "keep_existing", "kept_existing")
+        F.when(skipped, "skipped").when(F.col("action") == "keep_existing", "kept_existing")
         .when(F.col("conflicts") > 0, "added_as_sequence").otherwise("added")
     )
     condition = (
-        F.when(F.col("matched") & F.col("duplicate"), "skipped").when(F.coalesce(F.col("critical"), F.lit(False)), "flagged_for_review")
+        F.when(skipped, "skipped").when(F.col("critical"), "flagged_for_review")
         .when(F.col("matched") & later, "updated").when(F.col("matched"), "skipped").otherwise("added")
     )
     kind = F.col("resource_type")

@@ -1,5 +1,8 @@
 """Queries for merging, conflicts, versions and decisions."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import scalar as S
@@ -55,26 +58,40 @@ def _(t):
     return G.merge_patients(t.resources, moves).groupBy("patient_id").agg(F.count("*").alias("n"))
 
 
-def _pair(kind, table, row, key, new, old, fields):
+# fields of a pair and their types; kinds: (resource type, table, row id, key, fields)
+PAIR_FIELDS = {"value": "DOUBLE", "status": "STRING", "unit": "STRING", "at": "TIMESTAMP", "onset": "STRING", "severity": "STRING", "dosage": "STRING", "name": "STRING", "birth": "STRING", "confidence": "DOUBLE"}
+PAIR_KINDS = [
+    ("Observation", "observations", "obs_id", "loinc", {"value": "value", "unit": "unit", "at": "effective_at", "confidence": "1.0 - confidence_gap"}),
+    ("Condition", "conditions", "condition_id", "code", {"status": "status", "onset": "onset_text", "severity": "severity", "at": "updated_at", "confidence": "confidence"}),
+    ("MedicationStatement", "medications", "med_id", "name", {"status": "status", "onset": "start_date", "dosage": "dose"}),
+]
+
+
+def _pair_sql(kind, table, row, key, fields):
     """New rows (by source) next to the first old row of the same patient and key."""
-    cols = {"value": "CAST(NULL AS DOUBLE)", "status": "CAST(NULL AS STRING)", "unit": "CAST(NULL AS STRING)", "at": "CAST(NULL AS TIMESTAMP)", "onset": "CAST(NULL AS STRING)",
-            "severity": "CAST(NULL AS STRING)", "dosage": "CAST(NULL AS STRING)", "name": "CAST(NULL AS STRING)", "birth": "CAST(NULL AS STRING)", "confidence": "CAST(NULL AS DOUBLE)"} | fields
-    n = ", ".join(f"{v.replace('#', 'n.')} AS new_{k}" for k, v in cols.items())
-    o = ", ".join(f"{v.replace('#', 'o.')} AS old_{k}" for k, v in cols.items())
-    return f"""SELECT '{kind}' AS resource_type, n.{row} AS row_id, n.patient_id AS patient_id, {n}, {o} FROM {table} n
-      JOIN (SELECT patient_id AS fp, {key} AS fk, min({row}) AS first_id FROM {table} WHERE {old} GROUP BY patient_id, {key}) f ON f.fp = n.patient_id AND f.fk = n.{key}
-      JOIN {table} o ON o.{row} = f.first_id WHERE {new}"""
+    columns = {k: f"CAST({fields.get(k, 'NULL')} AS {t})" for k, t in PAIR_FIELDS.items()}
+    listed = ", ".join(f"{v} AS {k}" for k, v in columns.items())
+    n, o = (", ".join(f"{a}.{k} AS {b}_{k}" for k in columns) for a, b in (("n", "new"), ("o", "old")))
+    return f"""SELECT '{kind}' AS resource_type, n.row_id AS row_id, n.patient_id AS patient_id, {n}, {o}
+      FROM (SELECT {row} AS row_id, patient_id, {key} AS fk, {listed} FROM {table} WHERE source_id % 3 = 0) n
+      JOIN (SELECT patient_id AS fp, {key} AS fk, min({row}) AS first_id FROM {table} WHERE source_id % 3 <> 0 GROUP BY patient_id, {key}) f ON f.fp = n.patient_id AND f.fk = n.fk
+      JOIN (SELECT {row} AS row_id, {listed} FROM {table}) o ON o.row_id = f.first_id"""
 
 
-PAIRS = " UNION ALL ".join([
-    _pair("Observation", "observations", "obs_id", "loinc", "n.source_id % 3 = 0", "source_id % 3 <> 0", {"value": "#value", "unit": "#unit", "at": "CAST(#effective_at AS TIMESTAMP)", "confidence": "CAST(1.0 - #confidence_gap AS DOUBLE)"}),
-    _pair("Condition", "conditions", "condition_id", "code", "n.source_id % 3 = 0", "source_id % 3 <> 0", {"status": "#status", "onset": "#onset_text", "severity": "#severity", "at": "CAST(#updated_at AS TIMESTAMP)", "confidence": "#confidence"}),
-    _pair("MedicationStatement", "medications", "med_id", "name", "n.source_id % 3 = 0", "source_id % 3 <> 0", {"status": "#status", "onset": "#start_date", "dosage": "#dose"}),
-])
+PAIRS = " UNION ALL ".join(_pair_sql(*k) for k in PAIR_KINDS)
+
+
+def _pair(t, kind, table, row, key, fields):
+    """The same from one pass for the new rows and one for the first old ones."""
+    columns = [F.expr(f"CAST({fields.get(k, 'NULL')} AS {kind_})").alias(k) for k, kind_ in PAIR_FIELDS.items()]
+    rows = getattr(t, table).select("source_id", "patient_id", F.col(key).alias("fk"), F.col(row).alias("row_id"), F.struct(*columns).alias("f"))
+    first = rows.filter("source_id % 3 <> 0").groupBy("patient_id", "fk").agg(F.min_by("f", "row_id").alias("o"))
+    new = rows.filter("source_id % 3 = 0").join(first, ["patient_id", "fk"])
+    return new.select(F.lit(kind).alias("resource_type"), "row_id", "patient_id", *[F.col(f"f.{k}").alias(f"new_{k}") for k in PAIR_FIELDS], *[F.col(f"o.{k}").alias(f"old_{k}") for k in PAIR_FIELDS])
 
 
 def pairs(t):
-    return t.sql(PAIRS)
+    return reduce(DataFrame.unionByName, [_pair(t, *k) for k in PAIR_KINDS])
 
 
 _SIMPLE = [
@@ -97,8 +114,8 @@ _GRADED = [
 ]
 
 
-def _conf_sql(rules):
-    return " UNION ALL ".join(f"SELECT row_id, resource_type, '{k}' AS conflict, '{f}' AS field, {s} AS severity FROM pr WHERE {w}" for w, k, f, s in rules)
+def _conf_sql(rules, more=""):
+    return " UNION ALL ".join(f"SELECT {more}row_id, resource_type, '{k}' AS conflict, '{f}' AS field, {s} AS severity FROM pr WHERE {w}" for w, k, f, s in rules)
 
 
 @query("detect_conflicts", f"WITH pr AS ({PAIRS}) {_conf_sql(_SIMPLE)}")
@@ -113,42 +130,35 @@ def _(t):
 
 _CONFIG = {"conflict_type": {"unit_mismatch": "manual_review"}, "resource_type": {"MedicationStatement": "confidence_based"}}
 _NEWEST = "CASE WHEN old_at > new_at OR (old_at IS NOT NULL AND new_at IS NULL) THEN 'keep_existing' ELSE 'keep_new' END"
-_RESOLVED = f"""pr AS ({PAIRS}), cf AS ({_conf_sql(_GRADED)}), st AS (SELECT cf.*, pr.new_at, pr.old_at, pr.new_confidence AS nc, pr.old_confidence AS oc,
-     CASE WHEN conflict = 'unit_mismatch' THEN 'manual_review' WHEN cf.resource_type = 'MedicationStatement' THEN 'confidence_based' ELSE {case_map('severity', G.SEVERITY_STRATEGY)} END AS strategy FROM cf JOIN pr USING (row_id)),
-   rs AS (SELECT row_id, resource_type, conflict, field, severity, strategy, CASE strategy WHEN 'newest_wins' THEN {_NEWEST} WHEN 'preserve_both' THEN 'preserve_both' WHEN 'manual_review' THEN 'flag_for_review'
+_RESOLVED = f"""pr AS MATERIALIZED (SELECT row_number() OVER () AS pair, * FROM ({PAIRS})), cf AS MATERIALIZED ({_conf_sql(_GRADED, "pair, ")}), st AS (SELECT cf.*, pr.new_at, pr.old_at, pr.new_confidence AS nc, pr.old_confidence AS oc,
+     CASE WHEN conflict = 'unit_mismatch' THEN 'manual_review' WHEN cf.resource_type = 'MedicationStatement' THEN 'confidence_based' ELSE {case_map('severity', G.SEVERITY_STRATEGY)} END AS strategy FROM cf JOIN pr USING (pair)),
+   rs AS (SELECT pair, row_id, resource_type, conflict, field, severity, strategy, CASE strategy WHEN 'newest_wins' THEN {_NEWEST} WHEN 'preserve_both' THEN 'preserve_both' WHEN 'manual_review' THEN 'flag_for_review'
      ELSE CASE WHEN oc > nc THEN 'keep_existing' WHEN nc > oc THEN 'keep_new' ELSE {_NEWEST} END END AS action FROM st),
-   pa AS (SELECT row_id, arg_max(action, {case_map('action', G.ACTION_PRIORITY)}) AS action, count(*) AS conflicts, count(*) FILTER (action <> 'flag_for_review') AS resolved,
-     count(*) FILTER (action = 'flag_for_review') AS open, bool_or(severity = 'critical') AS critical FROM rs GROUP BY 1)"""
-
-
-def _resolved(t):
-    p = pairs(t)
-    return G.resolved(G.graded_conflicts(p, "row_id"), p, "row_id", _CONFIG)
+   pa AS (SELECT pair, resource_type, row_id, arg_max(action, {case_map('action', G.ACTION_PRIORITY)}) AS action, count(*) AS conflicts, count(*) FILTER (action <> 'flag_for_review') AS resolved,
+     count(*) FILTER (action = 'flag_for_review') AS open, bool_or(severity = 'critical') AS critical FROM rs GROUP BY 1, 2, 3)"""
 
 
-@query("resolve_conflicts", f"WITH {_RESOLVED} SELECT * FROM rs")
+@query("resolve_conflicts", f"WITH {_RESOLVED} SELECT * EXCLUDE (pair) FROM rs")
 def _(t):
-    return _resolved(t)
+    return G.resolved(pairs(t), "row_id", _CONFIG)
 
 
-@query("predominant_actions", f"WITH {_RESOLVED} SELECT * FROM pa")
+@query("predominant_actions", f"WITH {_RESOLVED} SELECT * EXCLUDE (pair) FROM pa")
 def _(t):
-    return G.predominant_actions(_resolved(t), "row_id")
+    return G.predominant_actions(pairs(t), "row_id", _CONFIG)
 
 
 _ACTIONS = f"""{_RESOLVED}, ma AS (SELECT pr.row_id, pr.resource_type, coalesce(conflicts, 0) AS conflicts, coalesce(resolved, 0) AS resolved, CASE pr.resource_type
      WHEN 'Observation' THEN CASE WHEN new_value = old_value AND new_at = old_at THEN 'skipped' WHEN action = 'keep_existing' THEN 'kept_existing' WHEN coalesce(conflicts, 0) > 0 THEN 'added_as_sequence' ELSE 'added' END
      WHEN 'Condition' THEN CASE WHEN new_status = old_status AND new_severity = old_severity THEN 'skipped' WHEN critical THEN 'flagged_for_review' WHEN new_at > old_at THEN 'updated' ELSE 'skipped' END ELSE 'added' END AS merge_action
-   FROM pr LEFT JOIN pa USING (row_id))"""
+   FROM pr LEFT JOIN pa USING (pair))"""
 
 
 def _actions(t):
-    p = pairs(t)
-    best = G.predominant_actions(G.resolved(G.graded_conflicts(p, "row_id"), p, "row_id", _CONFIG), "row_id")
     same = F.when(F.col("resource_type") == "Observation", (F.col("new_value") == F.col("old_value")) & (F.col("new_at") == F.col("old_at"))).otherwise(
         (F.col("new_status") == F.col("old_status")) & (F.col("new_severity") == F.col("old_severity"))
     )
-    return G.merge_actions(p.withColumns({"matched": F.lit(True), "duplicate": F.coalesce(same, F.lit(False))}), best, "row_id")
+    return G.merge_actions(pairs(t).withColumns({"matched": F.lit(True), "duplicate": F.coalesce(same, F.lit(False))}), "row_id", _CONFIG)
 
 
 @query("merge_actions", f"WITH {_ACTIONS} SELECT row_id, resource_type, merge_action, conflicts, resolved FROM ma")
