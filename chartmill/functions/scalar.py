@@ -430,10 +430,7 @@ def abnormal_result(code: Column, value: Column, low: Column, high: Column) -> C
 
 
 def lab_category(loinc: Column) -> Column:
-    out = F
-    for name, codes in fixed.LOINC_BY_CATEGORY.items():
-        out = out.when(loinc.isin(codes.split()), name)
-    return out.otherwise("Other")
+    return F.coalesce(lookup(loinc, fixed.LOINC_CATEGORY), F.lit("Other"))
 
 
 def therapeutic_class(column: Column) -> Column:

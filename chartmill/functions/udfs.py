@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -23,13 +25,27 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class SentenceChunks:
-    """Table function: chunks of one text, see ``operators.text.pack_sentences``."""
+    """Table function: chunks of whole sentences of one text.
 
-    def eval(self, text: str, pieces: list, size: int, overlap: int):
-        from chartmill.operators.text import pack_sentences
+    A chunk takes sentences while they fit behind its overlap with the text
+    before it; where it ends is found by bisection in the ends of all sentences.
+    """
 
-        if text is not None:
-            yield from pack_sentences(text, list(pieces), size, overlap)
+    def eval(self, text: str, pieces: list, size: int, overlap: int):
+        if text is None:
+            return
+        if len(text) <= size:
+            yield 0, 0, len(text), text, None
+            return
+        joined, ends = "".join(pieces), list(accumulate(map(len, pieces)))
+        number, taken, before, carried = 0, 0, 0, ""
+        while taken < len(ends):
+            # at least one sentence, however long
+            taken = max(taken + 1, bisect_right(ends, before + size - len(carried)))
+            end = ends[taken - 1]
+            following = text[max(0, end - overlap):end] if taken < len(ends) else None
+            yield number, before - len(carried), end, carried + joined[before:end], following
+            number, before, carried = number + 1, end, following
 
 
 CHUNK_RETURN = "chunk_id int, start_index int, end_index int, chunk_text string, overlap_text string"

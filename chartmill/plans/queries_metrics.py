@@ -338,7 +338,7 @@ def _(t):
     "labs_by_category",
     """SELECT patient_id, category, obs_id, effective_at, place FROM (
          SELECT patient_id, obs_id, effective_at, CASE loinc """
-    + " ".join(f"WHEN '{c}' THEN '{n}'" for n, cs in fixed.LOINC_BY_CATEGORY.items() for c in cs.split())
+    + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in fixed.LOINC_CATEGORY.items())
     + """ ELSE 'Other' END AS category, row_number() OVER (PARTITION BY patient_id, category ORDER BY effective_at DESC, obs_id) AS place FROM observations)
        WHERE place <= 20""",
 )

@@ -298,7 +298,7 @@ def _(t):
 @query(
     "lab_category",
     "SELECT code_id, CASE " + " ".join(
-        f"WHEN list_contains(string_split('{c}', ' '), loinc) THEN '{n}'" for n, c in fixed.LOINC_BY_CATEGORY.items()
+        f"WHEN loinc = '{c}' THEN '{n}'" for c, n in fixed.LOINC_CATEGORY.items()
     ) + " ELSE 'Other' END AS category FROM codes",
 )
 def _(t):
