@@ -37,7 +37,7 @@ LINKED_TYPES = ["Observation", "Condition", "Procedure", "MedicationStatement",
 
 def items(docs: DataFrame, name: str) -> DataFrame:
     """One row per list entry as struct ``x`` with its position."""
-    return docs.select("doc_id", "patient_id", "clinical_date", F.posexplode(F.col(f"data.{name}")).alias("ord", "x"))
+    return docs.select("doc_id", "patient_id", "clinical_date", "run_date", F.posexplode(F.col(f"data.{name}")).alias("ord", "x"))
 
 
 def filled(column: str | Column) -> Column:
@@ -64,8 +64,8 @@ def contained(column: Column, table: list[tuple[str, str]], default: str | None,
 
 
 def day(column: str) -> Column:
-    """ISO text of a date; null when none is found."""
-    return S.clinical_date(F.col(column), F.current_date()).cast("string")
+    """ISO text of a date; null when none is found or it lies behind the documents' ``run_date``."""
+    return S.clinical_date(F.col(column), F.col("run_date")).cast("string")
 
 
 def clinical_or(column: str) -> Column:
@@ -77,8 +77,8 @@ def _base(kind: str) -> list[Column]:
 
 
 def _evidence() -> list[Column]:
-    """Confidence and source text of an entry (at most 200 characters are kept)."""
-    return [F.col("x.confidence").alias("confidence"), F.trim(F.substring("x.source.text", 1, 200)).alias("source_text")]
+    """Confidence and source text of an entry."""
+    return [F.col("x.confidence").alias("confidence"), F.trim("x.source.text").alias("source_text")]
 
 
 def conditions(docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def immunizations(docs: DataFrame) -> DataFrame:
         return F.when(met, state).otherwise(F.struct(F.array_append(state["seen"], p["n"]).alias("seen"), F.array_append(state["taken"], p["i"]).alias("taken")))
 
     chosen = docs.withColumn("__taken", F.aggregate(candidates, start, claim)["taken"])
-    taken = chosen.select("doc_id", "patient_id", "clinical_date", "__taken", F.posexplode("data.procedures").alias("ord", "x")).filter(
+    taken = chosen.select("doc_id", "patient_id", "clinical_date", "run_date", "__taken", F.posexplode("data.procedures").alias("ord", "x")).filter(
         F.array_contains("__taken", F.col("ord"))
     )
     converted = taken.select(
@@ -208,7 +208,7 @@ def immunizations(docs: DataFrame) -> DataFrame:
 
 def procedures(docs: DataFrame) -> DataFrame:
     """Procedures without the vaccine-like ones."""
-    rows = docs.select("doc_id", "patient_id", "clinical_date", _claims().alias("claims"), F.posexplode("data.procedures").alias("ord", "x"))
+    rows = docs.select("doc_id", "patient_id", "clinical_date", "run_date", _claims().alias("claims"), F.posexplode("data.procedures").alias("ord", "x"))
     return rows.filter(filled("x.name") & ~S.is_vaccine(F.col("x.name"), F.col("claims"))).select(
         *_base("Procedure"), F.trim("x.name").alias("name"), F.trim("x.cpt_code").alias("code"), F.lit("completed").alias("status"),
         clinical_or("x.procedure_date").alias("effective"), F.trim("x.provider").alias("performer"), F.trim("x.outcome").alias("outcome"), *_evidence(),
@@ -224,14 +224,14 @@ def encounters(docs: DataFrame, strict_reference: bool = False) -> DataFrame:
         *_base("Encounter"), F.trim("x.encounter_type").alias("name"), cls.alias("code"), known("x.status", ENCOUNTER_STATUS, "finished").alias("status"),
         day("x.encounter_date").alias("effective"), day("x.encounter_end_date").alias("ended"), F.trim("x.location").alias("location"), F.trim("x.reason").alias("reason"),
         F.array_join(people, ", ").alias("participants"), *_evidence(),
-    ).withColumn("resource_id", F.coalesce("resource_id"))
+    )
 
 
 def synthesized_encounters(docs: DataFrame) -> DataFrame:
     """One ambulatory visit for a dated document with clinical rows and no stated visit."""
     some = sum((F.size(F.coalesce(f"data.{name}", F.array())) for name in CLINICAL_LISTS), F.lit(0)) > 0
     stated = F.exists(F.coalesce("data.encounters", F.array()), lambda e: F.trim(e["encounter_type"]) != "")
-    dated = docs.withColumns({"effective": S.clinical_date(F.coalesce("clinical_date", F.col("data.clinical_date")), F.current_date()).cast("string"), "ord": F.lit(0)})
+    dated = docs.withColumns({"effective": S.clinical_date(F.coalesce("clinical_date", F.col("data.clinical_date")), F.col("run_date")).cast("string"), "ord": F.lit(0)})
     return dated.filter(some & ~stated & F.col("effective").isNotNull()).select(
         *_base("SynthesizedEncounter"), F.lit("Ambulatory").alias("name"), F.lit("AMB").alias("code"), F.lit("finished").alias("status"), "effective",
         F.lit(0.6).alias("confidence"),
@@ -282,7 +282,7 @@ def service_requests(docs: DataFrame) -> DataFrame:
     found = F.flatten(F.array(*[F.regexp_extract_all("x.recommendations", F.lit("(?i)" + p), F.lit(1)) for p in PLAN_VERBS]))
     plans = items(docs, "diagnostic_reports").filter(filled("x.recommendations")).select(
         "doc_id", "patient_id", F.col("ord").alias("parent"), F.posexplode(F.transform(found, lambda s: F.trim(s))).alias("sub", "name")
-    ).withColumn("ord", F.col("parent") * 1000 + F.col("sub"))
+    ).withColumn("ord", F.shiftleft(F.col("parent").cast("bigint"), 32) + F.col("sub"))
     planned = plans.select(
         *_base("PlannedRequest"), "name", F.lit("routine").alias("priority"), F.lit("As per treatment plan").alias("reason"), S.service_category(F.col("name")).alias("category"),
         F.lit(None).cast("string").alias("effective"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("source_text"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import scalar as S
-from chartmill.operators.ordered import running_total, within_distance
+from chartmill.operators.ordered import numbered, within_distance
 from chartmill.session import cut_lineage
 
 
@@ -128,11 +128,10 @@ def dangling(rows: DataFrame, reference: str, targets: DataFrame, target_id: str
 def match_kth(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
     """k-th row of ``left`` to the k-th row of ``right`` with the same keys."""
 
-    def numbered(df, row_id):
-        one = df.select(*keys, row_id).withColumn("__one", F.lit(1))
-        return running_total(one, keys, [row_id], "__one", F.substring(F.col(row_id).cast("string"), 1, 3), "k").drop("__one")
+    def placed(df, row_id):
+        return numbered(df.select(*keys, row_id), keys, [row_id], "k")
 
-    return numbered(left, left_id).join(numbered(right, right_id), [*keys, "k"])
+    return placed(left, left_id).join(placed(right, right_id), [*keys, "k"])
 
 
 def find_existing(new: DataFrame, existing: DataFrame, new_id: str, existing_id: str, block: list[str], criteria: list[str]) -> DataFrame:

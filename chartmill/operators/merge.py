@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import scalar as S
-from chartmill.operators.ordered import previous_row
+from chartmill.operators.ordered import numbered, previous_row
 
 # fixed values
 TRACKED_STATUS = ["Condition", "MedicationStatement", "AllergyIntolerance", "Procedure", "CarePlan", "Goal"]
@@ -295,15 +295,12 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str])
     return both.withColumn("change", change).filter("change IS NOT NULL")
 
 
-def version_table(events: DataFrame, keys: Sequence[str], at: str, tie: str, bucket: Column) -> DataFrame:
+def version_table(events: DataFrame, keys: Sequence[str], at: str, tie: str) -> DataFrame:
     """Slowly changing history: version number, validity, current flag, status transition.
 
     The next row's start closes a version; it is found by looking ahead.
     """
-    from chartmill.operators.ordered import running_total
-
-    rows = previous_row(events, keys, [at, tie], ["status"], bucket)
-    rows = running_total(rows.withColumn("__one", F.lit(1)), keys, [at, tie], "__one", bucket, "version").drop("__one")
+    rows = numbered(previous_row(events, keys, [at, tie], ["status"]), keys, [at, tie], "version")
     nxt = rows.select(*keys, (F.col("version") - 1).alias("version"), F.col(at).alias("valid_to"))
     rows = rows.join(nxt, [*keys, "version"], "left")
     moved = F.when(F.col("prev_status").isNotNull() & (F.col("prev_status") != F.col("status")), F.concat_ws(">", "prev_status", "status"))
@@ -314,7 +311,7 @@ def version_gaps(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Neighbouring version numbers more than one apart; ``version_id`` may read '3.historical'."""
     number = F.substring_index("version_id", ".", 1).try_cast("bigint")
     rows = versions.select(*keys, number.alias("number")).filter("number IS NOT NULL").distinct()
-    rows = previous_row(rows, keys, ["number"], ["number"], F.floor(F.col("number") / 1000))
+    rows = previous_row(rows, keys, ["number"], ["number"])
     return rows.filter("number - prev_number > 1").select(*keys, F.col("prev_number").alias("from_version"), F.col("number").alias("to_version"))
 
 

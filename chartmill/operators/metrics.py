@@ -114,7 +114,7 @@ def success_rates(docs: DataFrame) -> DataFrame:
     )
 
 
-def live_documents(docs: DataFrame, limit: int = 50) -> DataFrame:
+def live_documents(docs: DataFrame, limit: int) -> DataFrame:
     """Newest documents still on their way, with the stage shown to the user."""
     from chartmill.functions import fixed
 
@@ -189,11 +189,11 @@ def cost_suggestions(usage: DataFrame) -> DataFrame:
     )
 
 
-def spend_breach(usage: DataFrame, keys: list[str], limit: str, bucket: Column) -> DataFrame:
+def spend_breach(usage: DataFrame, keys: list[str], limit: str) -> DataFrame:
     """First call at which the running cost of a key reaches ``limit``."""
     from chartmill.operators.ordered import running_total, top_rows
 
-    run = running_total(usage, keys, ["started_at", "call_id"], "cost", bucket, "spent")
+    run = running_total(usage, keys, ["started_at", "call_id"], "cost", "spent")
     over = run.filter(F.col("spent") >= F.lit(limit).cast("decimal(20,9)"))
     return top_rows(over, keys, [F.col("started_at"), F.col("call_id")])
 
@@ -207,7 +207,7 @@ def partial_completion(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     )
 
 
-def latest_costs(docs: DataFrame, usage: DataFrame, limit: int = 20) -> DataFrame:
+def latest_costs(docs: DataFrame, usage: DataFrame, limit: int) -> DataFrame:
     """Newest completed documents with the cost of their calls."""
     newest = docs.filter("status = 'completed'").orderBy(F.desc("processed_at"), F.desc("doc_id")).limit(limit)
     cost = usage.join(F.broadcast(newest.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("cost").alias("cost"))  # at most `limit` ids

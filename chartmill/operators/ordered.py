@@ -8,6 +8,7 @@ bucket across, so a key that holds a third of all rows is still spread out.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,34 +23,56 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return out.drop(rank) if k == 1 else out
 
 
-def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], bucket: Column) -> DataFrame:
-    """Add ``prev_<column>`` from the preceding row of the key.
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Rows cut along keys and order into slices of about one size, numbered in ``__bucket``.
 
-    ``order`` must be free of ties; ``bucket`` must not decrease along it.
+    The slices are the range partitions of the rows themselves, so a key with
+    many rows spans many of them, whatever its values are. They are written to
+    the shared folder: their numbers must not change when a task is repeated.
     """
+    from chartmill.session import cut_lineage
+
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(count, *keys, *order).withColumn("__bucket", F.spark_partition_id()))
+
+
+def _beside(df: DataFrame, carry: DataFrame, cut: Sequence[str]) -> DataFrame:
+    """``df`` with the row of its key and slice in ``carry``; a null key is a key like any other."""
+    renamed = carry.withColumnsRenamed({c: f"__key{i}" for i, c in enumerate(cut)})
+    same = reduce(Column.__and__, [df[c].eqNullSafe(renamed[f"__key{i}"]) for i, c in enumerate(cut)])
+    return df.join(renamed, same, "left").drop(*[f"__key{i}" for i in range(len(cut))])
+
+
+def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Add ``prev_<column>`` from the preceding row of the key; ``order`` must be free of ties."""
     keys, cut = list(keys), [*keys, "__bucket"]
-    df = df.withColumn("__bucket", bucket)
+    df = sliced(df, keys, order)
     kept = F.struct(*columns)
     inside = F.lag(kept).over(W.partitionBy(*cut).orderBy(*order))
     lasts = df.groupBy(*cut).agg(F.max_by(kept, F.struct(*order)).alias("__last"))
     carry = lasts.withColumn("__carry", F.lag("__last").over(W.partitionBy(*keys).orderBy("__bucket"))).drop("__last")
-    out = df.withColumn("__prev", inside).join(carry, cut, "left")
+    out = _beside(df.withColumn("__prev", inside), carry, cut)
     best = F.coalesce(F.col("__prev"), F.col("__carry"))
     return out.withColumns({f"prev_{c}": best[c] for c in columns}).drop("__bucket", "__prev", "__carry")
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, name: str = "running") -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, name: str = "running") -> DataFrame:
     """Running sum of ``value`` along ``order`` within each key."""
     keys, cut = list(keys), [*keys, "__bucket"]
-    df = df.withColumn("__bucket", bucket)
+    df = sliced(df, keys, order)
     sums = df.groupBy(*cut).agg(F.sum(value).alias("__sum"))
     before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     carry = sums.withColumn("__carry", F.sum("__sum").over(before)).drop("__sum")
     inside = F.sum(value).over(W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = df.withColumn("__inside", inside).join(carry, cut, "left")
+    out = _beside(df.withColumn("__inside", inside), carry, cut)
     return out.withColumn(name, F.col("__inside") + F.coalesce(F.col("__carry"), F.lit(0))).drop("__bucket", "__inside", "__carry")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """Position of each row of the key from 1, for all rows."""
+    return running_total(df.withColumn("__one", F.lit(1)), keys, order, "__one", name).drop("__one")
+
+
 def within_distance(df: DataFrame, keys: Sequence[str], axis: str, radius: int, value: Column, kind: str, name: str) -> DataFrame:
     """Minimum, maximum or sum of ``value`` over all rows of the key with ``|axis - own axis| <= radius``.
 
@@ -102,7 +125,7 @@ def last_seen(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value
     lasts = marked.groupBy(*cut).agg(F.max_by(F.col("__value"), F.when(F.col("__value").isNotNull(), sorted_struct)).alias("__last"))
     before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     carry = lasts.withColumn("__carry", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-    out = df.withColumn("__inside", inside).join(carry, cut, "left")
+    out = _beside(df.withColumn("__inside", inside), carry, cut)
     return out.withColumn(name, F.coalesce("__inside", "__carry")).drop("__bucket", "__value", "__inside", "__carry")
 
 

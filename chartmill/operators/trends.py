@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import scalar as S
-from chartmill.operators.ordered import anchor_groups, previous_row, running_total, top_rows
+from chartmill.operators.ordered import anchor_groups, numbered, previous_row, top_rows
 
 
 def weight_trend(weights: DataFrame, heights: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def weight_trend(weights: DataFrame, heights: DataFrame) -> DataFrame:
     The latest height of a patient counts.
     """
     height = heights.groupBy("patient_id").agg(F.max_by("height_m", F.struct("day", "obs_id")).alias("height_m"))
-    rows = previous_row(weights, ["patient_id"], ["day", "obs_id"], ["weight_kg", "day"], F.year("day"))
+    rows = previous_row(weights, ["patient_id"], ["day", "obs_id"], ["weight_kg", "day"])
     rows = rows.join(height, "patient_id")
     change = S.percent_change(F.col("prev_weight_kg"), F.col("weight_kg"))
     days = F.datediff("day", "prev_day")
@@ -103,7 +103,7 @@ def close_observations(obs: DataFrame, keys: list[str], seconds: int = 60) -> Da
     """Observations of one subject and code less than a minute after the previous one."""
     from chartmill.operators.metrics import seconds_between
 
-    rows = previous_row(obs, keys, ["ts", "event_id"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    rows = previous_row(obs, keys, ["ts", "event_id"], ["ts", "event_id"])
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
     return rows.withColumn("gap_seconds", seconds_between(F.col("prev_ts"), F.col("ts"))).filter(micros < seconds * 1_000_000)
 
@@ -142,10 +142,9 @@ def processing_order(docs: DataFrame, kinds: dict[str, str], batch: str = "patie
     best = offers.groupBy(batch, "doc_id").agg(F.min(F.struct("rank", "kind", "member")).alias("b"))
     placed = docs.select(batch, "doc_id").join(best, [batch, "doc_id"], "left").select(
         batch, "doc_id", F.coalesce(F.concat_ws(":", "b.kind", "b.member"), F.lit("")).alias("group_key"),
-        F.col("b").isNull().cast("int").alias("late"), F.lit(1).alias("one"),
+        F.col("b").isNull().cast("int").alias("late"),
     )
-    bucket = F.struct("late", "group_key")
-    return running_total(placed, [batch], ["late", "group_key", "doc_id"], "one", bucket, "place").drop("one", "late")
+    return numbered(placed, [batch], ["late", "group_key", "doc_id"]).drop("late")
 
 
 def stuck_documents(docs: DataFrame, as_of: str, minutes: int = 15, attempts: int = 3) -> DataFrame:

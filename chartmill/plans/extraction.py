@@ -33,7 +33,8 @@ def _gathered(rows: DataFrame, name: str, order: str, /, **given: Column) -> Dat
     return rows.groupBy("encounter_id").agg(F.transform(listed, lambda s: s["e"]).alias(name))
 
 
-def extraction_documents(t) -> DataFrame:
+def extraction_documents(t, run_date: str = "2024-06-15") -> DataFrame:
+    """Documents with their extraction results; dates behind ``run_date`` are not believed."""
     c = F.col
     docs = t.sql(FLAT)
     vital = c("loinc").isin("85354-9", "8867-4")
@@ -72,4 +73,4 @@ def extraction_documents(t) -> DataFrame:
     for f in RESPONSE.fields:
         value = c(f.name) if f.name in lists else one.get(f.name, c("clinical_date") if f.name == "clinical_date" else F.lit(None))
         members.append(value.cast(f.dataType).alias(f.name))
-    return docs.select(c("encounter_id").alias("doc_id"), "patient_id", "clinical_date", F.struct(*members).alias("data"))
+    return docs.select(c("encounter_id").alias("doc_id"), "patient_id", "clinical_date", F.lit(run_date).cast("date").alias("run_date"), F.struct(*members).alias("data"))

@@ -254,7 +254,7 @@ def _(t):
        SELECT patient_id, encounter_id, status, version, started_at AS valid_from, valid_to, valid_to IS NULL AS is_current, CASE WHEN prev <> status THEN prev || '>' || status END AS transition FROM v""",
 )
 def _(t):
-    return G.version_table(t.encounters, ["patient_id"], "started_at", "encounter_id", F.year("started_at"))
+    return G.version_table(t.encounters, ["patient_id"], "started_at", "encounter_id")
 
 
 @query(
@@ -262,7 +262,7 @@ def _(t):
     """WITH v AS (SELECT patient_id, status, lag(status) OVER (PARTITION BY patient_id ORDER BY started_at, encounter_id) AS prev FROM encounters) SELECT prev AS from_status, status AS to_status, count(*) AS n FROM v WHERE prev <> status GROUP BY ALL""",
 )
 def _(t):
-    rows = G.version_table(t.encounters, ["patient_id"], "started_at", "encounter_id", F.year("started_at")).filter("transition IS NOT NULL")
+    rows = G.version_table(t.encounters, ["patient_id"], "started_at", "encounter_id").filter("transition IS NOT NULL")
     return rows.groupBy(F.substring_index("transition", ">", 1).alias("from_status"), F.substring_index("transition", ">", -1).alias("to_status")).agg(F.count("*").alias("n"))
 
 

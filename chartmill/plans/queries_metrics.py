@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chartmill.functions import fixed, scalar as S
 from chartmill.operators import metrics as M
+from chartmill.operators.ordered import numbered
 from chartmill.plans.catalog import query
 from chartmill.plans.queries_scalar import (
     ABNORMAL_SQL, ERR_SEVERITY_SQL, ERR_STRATEGY_SQL, LABEL_CATEGORY_SQL, LIVE_SQL, STAGE_SQL,
@@ -114,7 +115,7 @@ def _(t):
         ORDER BY uploaded_at DESC, doc_id DESC LIMIT 50""",
 )
 def _(t):
-    return M.live_documents(t.pipeline)
+    return M.live_documents(t.pipeline, 50)
 
 
 @query("stage_counts", f"SELECT {STAGE_SQL} AS stage, count(*) AS n FROM pipeline GROUP BY 1")
@@ -188,7 +189,7 @@ def _(t):
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY started_at, call_id) = 1""",
 )
 def _(t):
-    out = M.spend_breach(_usage(t), ["doc_id"], "0.05", F.date_trunc("hour", "started_at"))
+    out = M.spend_breach(_usage(t), ["doc_id"], "0.05")
     return out.select("doc_id", "call_id", F.col("spent").cast("double").alias("spent"))
 
 
@@ -200,7 +201,7 @@ def _(t):
 )
 def _(t):
     usage = _usage(t).withColumn("day", F.to_date("started_at"))
-    out = M.spend_breach(usage, ["day"], "0.5", F.date_trunc("hour", "started_at"))
+    out = M.spend_breach(usage, ["day"], "0.5")
     return out.select("day", "call_id", F.col("spent").cast("double").alias("spent"))
 
 
@@ -220,7 +221,7 @@ def _(t):
         SELECT n.doc_id, n.processed_at, coalesce((SELECT CAST(sum(cost) AS DOUBLE) FROM priced p WHERE p.doc_id = n.doc_id), 0) AS cost FROM n""",
 )
 def _(t):
-    return M.latest_costs(t.pipeline, _usage(t))
+    return M.latest_costs(t.pipeline, _usage(t), 20)
 
 
 @query(
@@ -317,12 +318,10 @@ def _(t):
 @query(
     "reviewer_activity",
     """SELECT reviewer, change_id, created_at, field_name, row_number() OVER (PARTITION BY reviewer ORDER BY created_at DESC, change_id) AS place
-       FROM field_audit QUALIFY place <= 50""",
+       FROM field_audit""",
 )
 def _(t):
-    from chartmill.operators.ordered import top_rows
-
-    out = top_rows(t.field_audit, ["reviewer"], [F.desc("created_at"), F.col("change_id")], 50, "place")
+    out = numbered(t.field_audit, ["reviewer"], [F.desc("created_at"), F.col("change_id")])
     return out.select("reviewer", "change_id", "created_at", "field_name", "place")
 
 
@@ -339,14 +338,11 @@ def _(t):
     """SELECT patient_id, category, obs_id, effective_at, place FROM (
          SELECT patient_id, obs_id, effective_at, CASE loinc """
     + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in fixed.LOINC_CATEGORY.items())
-    + """ ELSE 'Other' END AS category, row_number() OVER (PARTITION BY patient_id, category ORDER BY effective_at DESC, obs_id) AS place FROM observations)
-       WHERE place <= 20""",
+    + """ ELSE 'Other' END AS category, row_number() OVER (PARTITION BY patient_id, category ORDER BY effective_at DESC, obs_id) AS place FROM observations)""",
 )
 def _(t):
-    from chartmill.operators.ordered import top_rows
-
     rows = t.observations.select("patient_id", S.lab_category(F.col("loinc")).alias("category"), "obs_id", "effective_at")
-    return top_rows(rows, ["patient_id", "category"], [F.desc("effective_at"), F.col("obs_id")], 20, "place")
+    return numbered(rows, ["patient_id", "category"], [F.desc("effective_at"), F.col("obs_id")])
 
 
 @query(

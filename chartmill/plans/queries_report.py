@@ -141,10 +141,10 @@ def _(t):
 @query(
     "audit_export_rows",
     """SELECT logged_at AS timestamp, username, method AS request_method, path AS request_url, coalesce(patient_mrn, '') AS patient_mrn, CASE WHEN phi_involved THEN 'Yes' ELSE 'No' END AS phi_involved, CASE WHEN success THEN 'Yes' ELSE 'No' END AS success
-       FROM audit_log ORDER BY logged_at DESC, audit_id DESC LIMIT 10000""",
+       FROM audit_log""",
 )
 def _(t):
-    return writers.audit_export(t.audit_log).select("timestamp", "username", "request_method", "request_url", "patient_mrn", "phi_involved", "success")
+    return writers.audit_export(t.audit_log, None).select("timestamp", "username", "request_method", "request_url", "patient_mrn", "phi_involved", "success")
 
 
 @query("summary_csv_rows", f"WITH {_ROWS} SELECT section, patient_id, title AS display_name, status, coalesce(day, '') AS date, detail FROM rr WHERE section <> 'encounters'")

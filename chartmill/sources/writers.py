@@ -47,11 +47,12 @@ def yes_no(column: str) -> Column:
     return F.when(F.col(column), "Yes").otherwise("No")
 
 
-def audit_export(log: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Newest audit rows in export form; the export is limited by design."""
+def audit_export(log: DataFrame, limit: int | None) -> DataFrame:
+    """Audit rows in export form: all, or the ``limit`` newest."""
     from chartmill.functions import scalar as S
 
-    return log.orderBy(F.desc("logged_at"), F.desc("audit_id")).limit(limit).select(
+    rows = log if limit is None else log.orderBy(F.desc("logged_at"), F.desc("audit_id")).limit(limit)
+    return rows.select(
         F.col("logged_at").alias("timestamp"), S.access_event(F.col("path"), F.col("method")).alias("event_type"), "category", "severity", "username",
         F.coalesce("ip_address", F.lit("")).alias("ip_address"), F.col("method").alias("request_method"), F.col("path").alias("request_url"),
         F.coalesce("patient_mrn", F.lit("")).alias("patient_mrn"), yes_no("phi_involved").alias("phi_involved"), yes_no("success").alias("success"), "description",

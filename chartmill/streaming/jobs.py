@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -144,15 +144,32 @@ def newest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-def merge_stream(incoming: DataFrame, store: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Merge arriving documents into the versioned store, one new version per micro-batch.
+def store_rows(spark: SparkSession, store: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of the store: of each key those that its newest version has."""
+    rows = spark.read.parquet(store)
+    newest = rows.groupBy(*keys).agg(F.max("version").alias("version"))
+    return rows.join(newest, [*keys, "version"]).drop("version")
 
-    Version ``n`` is written from version ``n - 1``; a retried batch rewrites its own version.
+
+def newest_version(spark: SparkSession, store: str) -> int:
+    """Number of the newest version that was written to its end, -1 where none was."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS")) or []
+    return max((int(s.getPath().getParent().getName().split("=")[1]) for s in done), default=-1)
+
+
+def merge_stream(incoming: DataFrame, store: str, checkpoint: str) -> None:
+    """Append arriving documents to the versioned store, one new version per micro-batch.
+
+    A version has the rows of its documents alone; ``store_rows`` lets a newer
+    version replace a document as a whole. So nothing older is rewritten, a
+    batch that is repeated and a document that is delivered again change
+    nothing, and a run with a new checkpoint goes on behind the versions that exist.
     """
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.schema(batch.schema).parquet(f"{store}/version={number - 1}") if number > 0 else batch.limit(0)
-        merge(current, batch).write.mode("overwrite").parquet(f"{store}/version={number}")
+    def append(batch: DataFrame, _: int) -> None:
+        number = newest_version(batch.sparkSession, store) + 1
+        batch.write.mode("overwrite").parquet(f"{store}/version={number}")
 
-    query = incoming.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = incoming.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

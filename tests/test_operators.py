@@ -198,13 +198,50 @@ def test_bundle_pages_hold_everything(spark):
     assert sorted(map(int, ids)) == list(range(2500))
 
 
-def test_stream_merge_keeps_one_row_per_document(spark, tmp_path):
+def test_stream_merge_replaces_documents_over_runs(spark, tmp_path):
     from chartmill.streaming import jobs as J
 
     schema = "patient_id int, source_id int, v string"
-    feed, store = str(tmp_path / "feed"), str(tmp_path / "store")
-    for batch in ([(1, 1, "old"), (2, 1, "x")], [(1, 1, "new")]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(feed)
-        J.merge_stream(spark.readStream.schema(schema).parquet(feed), store, str(tmp_path / "state"), G.merge_documents)
-    final = spark.read.parquet(f"{store}/version=1").collect()
-    assert {(r["patient_id"], r["v"]) for r in final} == {(1, "new"), (2, "x")}
+    store = str(tmp_path / "store")
+    feeds = [[(1, 1, "old"), (1, 1, "gone"), (2, 1, "x")], [(1, 1, "new")], [(2, 1, "x")]]
+    for run, batch in enumerate(feeds):
+        # every run has a checkpoint of its own, as after the loss of the old one
+        feed = str(tmp_path / f"feed{run}")
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(feed)
+        J.merge_stream(spark.readStream.schema(schema).parquet(feed), store, str(tmp_path / f"state{run}"))
+    final = J.store_rows(spark, store, ["patient_id", "source_id"]).collect()
+    assert sorted((r["patient_id"], r["v"]) for r in final) == [(1, "new"), (2, "x")]
+    assert J.newest_version(spark, store) == 2
+
+
+def test_kth_match_of_numeric_ids_and_a_key_with_most_rows(spark):
+    left = spark.range(1, 1201).selectExpr("id AS a", "IF(id % 3 = 0, 'rare' || id, 'hot') AS name")
+    right = spark.range(5001, 6201).selectExpr("id AS b", "IF((id - 5000) % 3 = 0, 'rare' || (id - 5000), 'hot') AS name")
+    got = L.match_kth(left, right, ["name"], "a", "b").collect()
+    assert len(got) == 1200 and all(r["b"] - r["a"] == 5000 for r in got)
+
+
+def test_slices_split_a_hot_key_evenly(spark):
+    from chartmill.operators.ordered import sliced
+
+    rows = spark.range(8000).selectExpr("IF(id % 3 = 0, 1, id) AS k", "id AS t")
+    sizes = [r["count"] for r in sliced(rows, ["k"], ["t"]).groupBy("__bucket").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 3 * 8000 / len(sizes)
+
+
+def test_sections_and_sentences_of_empty_texts(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string")
+    assert T.section_chunks(docs).collect() == []
+    assert [tuple(r)[:5] for r in T.chunk_documents(docs).collect()] == [(1, 0, 0, 0, "")]
+
+
+def test_merge_actions_keep_types_apart(spark):
+    from chartmill.plans.queries_merge import PAIR_FIELDS
+
+    def pair(kind, **given):
+        return (kind, "same-id", *[given.get(f"{side}_{k}") for side in ("new", "old") for k in PAIR_FIELDS], True, False)
+
+    columns = ", ".join(["resource_type string", "row_id string", *[f"{side}_{k} {t}" for side in ("new", "old") for k, t in PAIR_FIELDS.items()], "matched boolean", "duplicate boolean"])
+    rows = spark.createDataFrame([pair("Observation", new_value=1.0, old_value=9.0), pair("MedicationStatement", new_status="a", old_status="a")], columns)
+    got = {r["resource_type"]: (r["merge_action"], r["conflicts"]) for r in G.merge_actions(rows, "row_id").collect()}
+    assert got == {"Observation": ("added_as_sequence", 1), "MedicationStatement": ("added", 0)}
