@@ -14,6 +14,8 @@ from chartmill.llm.common import slices, text_of, tokenizer_path, with_python
 
 # parts that a worker remembers with their ids
 MEMORY = 400_000
+# parts that are indexed together: their edges take about 2 kB a part
+BATCH = 25_000
 # a longer part is relaxed edge by edge instead of in step with the others
 LONG_WORD = 1024
 # letters of a piece that one 64-bit sort key holds
@@ -275,7 +277,9 @@ def encode_texts(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFr
             if len(known) + len(new) > MEMORY:
                 known.clear()
                 new = list(set().union(*parts))
-            known.update(zip(new, encoder.encode([P.spelled(w) for w in new])))
+            for k in range(0, len(new), BATCH):
+                some = new[k:k + BATCH]
+                known.update(zip(some, encoder.encode([P.spelled(w) for w in some])))
             rows = [b"".join(map(known.__getitem__, ws)) for ws in parts]
             n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
             flat = np.frombuffer(b"".join(rows), dtype="<i4")
