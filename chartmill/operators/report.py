@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,33 @@ def report_rows(conditions: DataFrame, medications: DataFrame, results: DataFram
     )
 
 
+def converted_report_rows(docs: DataFrame) -> DataFrame:
+    """Uniform report rows ``(doc_id, section, title, status, detail, day)`` of converted documents.
+
+    The nine sections that the typed tables of ``report_rows`` do not have.
+    """
+    from chartmill.operators import convert as C
+
+    none = F.lit(None).cast("string")
+
+    def shape(df, section, status, day, *detail):
+        return df.select("doc_id", F.lit(section).alias("section"), F.col("name").alias("title"), status.alias("status"), F.concat_ws("; ", *detail).alias("detail"), day.alias("day"))
+
+    c = F.col
+    tables = [
+        shape(C.procedures(docs), "procedures", c("status"), c("effective"), "performer", "outcome"),
+        shape(C.immunizations(docs), "immunizations", c("status"), c("effective"), "code"),
+        shape(C.allergies(docs), "allergies", c("status"), c("effective"), "severity", "reaction"),
+        shape(C.care_plans(docs), "care_plans", c("status"), c("effective"), "goals", "activities"),
+        shape(C.family_history(docs), "family_history", c("status"), none, "relationship"),
+        shape(C.practitioners(docs), "practitioners", F.lit("active"), none, "family", "given"),
+        shape(C.organizations(docs), "organizations", F.lit("active"), none, "address"),
+        shape(C.service_requests(docs), "service_requests", F.lit("active"), c("effective"), "priority", "reason"),
+        shape(C.diagnostic_reports(docs), "diagnostic_reports", c("status"), c("effective"), "conclusion"),
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def patient_summary(rows: DataFrame, limit: int = 10, start: str | None = None, end: str | None = None) -> DataFrame:
     """Newest ``limit`` rows per patient and section within the range; undated rows stay."""
     from chartmill.operators.search import in_report_range
@@ -96,6 +125,15 @@ def clinical_summary(rows: DataFrame, kind: str, as_of: str) -> DataFrame:
     )
 
 
+def clinical_summary_items(rows: DataFrame, kind: str, as_of: str) -> DataFrame:
+    """Rows that a summary kind shows: the newest of each section of a patient, up to the kind's number."""
+    days, limit, sections = SUMMARY_KINDS[kind]
+    scoped = rows.filter(F.col("section").isin(sections))
+    if days is not None:
+        scoped = scoped.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days).cast("string"))
+    return top_rows(scoped, ["patient_id", "section"], [F.desc_nulls_last("day"), F.col("item_id")], limit, "place")
+
+
 def observation_sections(obs: DataFrame) -> DataFrame:
     """Counts per patient and category; all four categories appear."""
     kinds = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("category"), F.lit(v).alias("label")) for i, (k, v) in enumerate(fixed.OBSERVATION_LABELS)])

@@ -10,6 +10,7 @@ from chartmill.plans.roles import Tables, with_roles
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def query(name: str, check: str | None = None):
@@ -20,12 +21,18 @@ def query(name: str, check: str | None = None):
             raise ValueError(f"query {name} registered twice")
         _QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if check is not None:
+            _BODIES[name] = check
             _CHECKS[name] = with_roles(check)
         return fn
 
     return wrap
 
 
+def check_body(name: str) -> str:
+    """Check query of a registered name without its role definitions, for use in another one."""
+    return _BODIES[name]
+
+
 def load_all() -> tuple[dict, dict]:
     from chartmill.plans import (  # noqa: F401
         queries_scalar,

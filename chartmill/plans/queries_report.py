@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from chartmill.functions import fixed, scalar as S
 from chartmill.operators import report as R
 from chartmill.operators.metrics import capture_metrics, usage_rows
-from chartmill.plans.catalog import query
+from chartmill.plans.catalog import check_body, query
+from chartmill.plans.queries_convert import docs
 from chartmill.plans.queries_metrics import _capture_sql, _items
 from chartmill.plans.queries_scalar import ABNORMAL_SQL, OBS_CAT_SQL
 from chartmill.plans.sqltext import PRICED, case_map, half, pct
@@ -44,6 +45,32 @@ for _kind, (_days, _limit, _sections) in R.SUMMARY_KINDS.items():
     )(lambda t, kind=_kind: R.clinical_summary(rows(t), kind, "2001-08-01"))
 
 
+for _kind, (_days, _limit, _sections) in R.SUMMARY_KINDS.items():
+    _where = "section IN (" + ", ".join(f"'{s}'" for s in _sections) + ")" + (f" AND day >= CAST(DATE '2001-08-01' - {_days} AS STRING)" if _days else "")
+    query(
+        f"clinical_summary_items_{_kind}",
+        f"WITH {_ROWS} SELECT *, row_number() OVER (PARTITION BY patient_id, section ORDER BY day DESC NULLS LAST, item_id) AS place FROM rr WHERE {_where} QUALIFY place <= {_limit}",
+    )(lambda t, kind=_kind: R.clinical_summary_items(rows(t), kind, "2001-08-01"))
+
+
+# section: status, detail and day in the columns of the conversion's own check query
+_CONVERTED = {
+    "procedures": ("'completed'", "concat_ws('; ', performer, outcome)", "effective"), "immunizations": ("status", "concat_ws('; ', code)", "effective"),
+    "allergies": ("status", "concat_ws('; ', severity, reaction)", "NULL"), "care_plans": ("status", "concat_ws('; ', goals, activities)", "NULL"),
+    "family_history": ("'completed'", "relationship", "NULL"), "practitioners": ("'active'", "concat_ws('; ', family, given)", "NULL"),
+    "organizations": ("'active'", "address", "NULL"), "service_requests": ("'active'", "concat_ws('; ', priority, reason)", "effective"),
+    "diagnostic_reports": ("status", "conclusion", "effective"),
+}
+
+
+@query(
+    "converted_report_rows",
+    " UNION ALL ".join(f"SELECT doc_id, '{s}' AS section, name AS title, {a} AS status, {d} AS detail, CAST({e} AS VARCHAR) AS day FROM ({check_body(f'convert_{s}')})" for s, (a, d, e) in _CONVERTED.items()),
+)
+def _(t):
+    return R.converted_report_rows(docs(t))
+
+
 @query(
     "observation_sections",
     f"""WITH o AS (SELECT patient_id, {OBS_CAT_SQL} AS category FROM observations), k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(fixed.OBSERVATION_LABELS))}) AS v(place, category, label)),
@@ -53,9 +80,16 @@ def _(t):
     return R.observation_sections(t.observations)
 
 
-@query("comprehensive_report")
+@query(
+    "comprehensive_report",
+    f"""WITH {_ROWS}, k AS (SELECT *, row_number() OVER (PARTITION BY patient_id, section ORDER BY day DESC NULLS LAST, item_id) AS place, count(*) OVER (PARTITION BY patient_id, section) AS total,
+          count(*) FILTER (status = 'active') OVER (PARTITION BY patient_id, section) AS active FROM rr), v AS (SELECT patient_id, count(*) AS visits, max(visit_date) AS last_visit FROM encounters GROUP BY 1)
+        SELECT k.patient_id, section, total, active, place, item_id, title, status, detail, day, visits, last_visit FROM k LEFT JOIN v USING (patient_id) WHERE place <= 20""",
+)
 def _(t):
-    return R.comprehensive_report(rows(t), t.observations, t.encounters)
+    report = R.comprehensive_report(rows(t), t.observations, t.encounters)
+    sections = report.select("patient_id", "visits", "last_visit", F.inline("sections"))
+    return sections.select("patient_id", "section", "total", "active", "visits", "last_visit", F.inline("items"))
 
 
 @query(
