@@ -50,7 +50,8 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
         done.append(groups.filter("size = 1").select("keep_id", "sha", F.col("keep_id").alias("doc_id"), F.lit(1).cast("bigint").alias("size")))
         shared = groups.filter("size > 1")
         stays = source.h.eqNullSafe(shared.h) & source.doc_id.eqNullSafe(shared.keep_id) & source.sha.eqNullSafe(shared.sha)
-        kept = source.join(shared, stays).select(source.h, "keep_id", F.col("body").alias("kept_body")).dropDuplicates(["h"])
+        # a table of its own: the join with it then starts from plain exchanges, which can be split
+        kept = write_table(source.join(shared, stays).select(source.h, "keep_id", F.col("body").alias("kept_body")).dropDuplicates(["h"]), "exact-dedup-kept")
         same = F.col("body") == F.col("kept_body")
         compared = write_table(
             source.join(kept, "h").select("h", "doc_id", "n", "sha", "keep_id", same.alias("same"), F.when(~same, F.col("body")).alias("body")), "exact-dedup"
@@ -77,7 +78,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     )
     sha = F.sha2(normalized(text_of()), 256)
     marked = docs.withColumn("_sha", sha).alias("d").join(
-        marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._sha") == F.col("m.text_sha256")), "left"
+        marks.alias("m").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._sha") == F.col("m.text_sha256")), "left"
     ).select("d.*", "m._kept", "m._times").filter("_kept IS NULL OR _kept")
     if marks.filter("_kept").isEmpty():
         return marked.select(*docs.columns)
