@@ -20,8 +20,11 @@ BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
 # words that a worker remembers with their hashes
 MEMORY = 1_000_000
+# most sets with one signature whose pairs are counted one by one; sets of a larger group are tied to its first set
+PAIRED_SETS = 8
 # kinds of rows beside signatures, in place of a signature, which is never negative
-CANDIDATE, COPY, COUNT = -1, -2, -3
+TIE, COPY, COUNT, PAIR = -1, -2, -3, -4
+ROWS = "key bigint, a bigint, b bigint, n int"
 
 
 # ---------------------------------------------------------------- sets
@@ -65,12 +68,13 @@ class Bands:
 
     Two sets whose similarity is at least ``num / den`` lie in one band or in
     neighbouring ones, and differ in at most ``k`` elements, ``k`` growing with
-    the sizes. The elements are dealt to ``k + 1 + e`` partitions by a hash, so
-    the sets agree in at least ``e + 1`` of them. A set that has at most ``e``
-    partitions with ``weak`` elements or fewer leaves these out: of the
-    ``e + 1`` it shares with its partner one is left. A set with more of them
-    leaves none out. So each linked pair has a signature in common, and one
-    that says something about both.
+    the sizes. The elements are dealt to ``k + 1 + spare`` partitions by a
+    hash, so the sets agree in at least ``spare + 1`` of them. A set that has
+    at most ``spare`` partitions with ``weak`` elements or fewer leaves these
+    out, as they say little; a set with more of them leaves none out. A
+    partition that both agree in is weak for both or for none. So a linked
+    pair has at least ``spare + 1`` signatures in common, less the smaller of
+    the two numbers left out. Texts that merely share a passage have one or two.
     """
 
     def __init__(self, num: int, den: int):
@@ -96,20 +100,17 @@ class Bands:
 
     @staticmethod
     def _chosen(k: int, least_size: int) -> tuple[int, int, int]:
+        """A quarter of spare partitions; weak is what a good half of the spare ones make room for."""
         if k == 0:
             return 1, 0, -1
-        best = (k + 2, 1, 0)
-        for spare in range(1, math.ceil(0.35 * (k + 1)) + 1):
-            count = k + 1 + spare
-            mean, term, tail = least_size / count, math.exp(-least_size / count), 0.0
-            for weak in range(8):
-                tail += term
-                term *= mean / (weak + 1)
-                if count * tail + 3 * math.sqrt(count * tail) > spare:
-                    break
-                if weak > best[2]:
-                    best = (count, spare, weak)
-        return best
+        spare = -(-(k + 1) // 4)
+        count, weak = k + 1 + spare, -1
+        term = tail = math.exp(-least_size / count)
+        while count * tail + 3 * math.sqrt(count * tail) <= max(1.0, 0.6 * spare):
+            weak += 1
+            term *= least_size / count / (weak + 1)
+            tail += term
+        return count, spare, max(weak, 0)
 
 
 @lru_cache(maxsize=8)
@@ -117,12 +118,16 @@ def bands_of(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets and the index of the set of each: as the larger or the smaller one of a pair."""
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets, the index of the set of each, and how many of them a link has at least.
+
+    A set has those of its own band, as the larger one of a pair, and those of
+    the next, as the smaller one.
+    """
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     home = np.array([bands.band(n) for n in sizes])
-    found, whose = [], []
+    found, whose, needed = [], [], []
     for step in (0, 1):
         plans = np.array([bands.plan(b) for b in home + step])
         parts, spare, weak = plans.T
@@ -140,12 +145,13 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         owner_of = np.repeat(np.arange(len(sets)), parts)
         number = np.arange(first[-1]) - first[owner_of]
         thin = count <= weak[owner_of]
-        few = np.add.reduceat(thin.astype(np.int64), first[:-1]) <= spare
-        keep = ~(thin & few[owner_of])
+        left_out = np.add.reduceat(thin.astype(np.int64), first[:-1])
+        keep = ~(thin & (left_out <= spare)[owner_of])
         mark = _mixed(total + _mixed(salt[owner_of] + number.astype(np.uint64)))
         found.append((mark[keep] >> np.uint64(1)).astype(np.int64))
         whose.append(owner_of[keep])
-    return np.concatenate(found), np.concatenate(whose)
+        needed.append((spare + 1 - np.minimum(left_out, spare))[owner_of[keep]])
+    return np.concatenate(found), np.concatenate(whose), np.concatenate(needed)
 
 
 # ---------------------------------------------------------------- comparison
@@ -185,24 +191,27 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None, num: int, den:
 
 
 # ---------------------------------------------------------------- Spark
+def _rows(key: int | np.ndarray, a, b, n) -> pa.RecordBatch:
+    """Rows of ``ROWS``; ``key`` may be one kind for all."""
+    key = np.full(len(a), key) if np.isscalar(key) else key
+    n = np.zeros(len(a)) if n is None else n
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.asarray(n, dtype=np.int32))], ["key", "a", "b", "n"])
+
+
 def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows ``key, a, b``: signatures of sets, and the rows whose key is one of the kinds above.
+    """Signatures of sets as ``(signature, document, shared signatures a link has, 0)``, and rows of the kinds above.
 
-    A task keeps one document of each set it meets, and one row of each
-    signature in a slice of texts; the others become links and candidates right
-    there. So a signature that very many documents share is one row per slice.
+    A task gives signatures for one document of each set it meets; the others
+    become links right there, so a text that very many documents copy has one
+    row per task and signature.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = bands_of(num, den), {}
-
-        def rows(key, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, a, b)], ["key", "a", "b"])
-
         for batch in slices(batches, "text", 4 << 20):
             ids = batch.column(0)
             sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            yield rows(np.full(len(sets), COUNT), ids, np.array([len(s) for s in sets]))
+            yield _rows(COUNT, ids, np.array([len(s) for s in sets]), None)
             own, copies = [], []
             for i, s in zip(ids.to_pylist(), sets):
                 if i is None or not len(s):
@@ -214,49 +223,93 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFram
                 else:
                     copies.append((i, first))
             if copies:
-                a, b = np.array(copies).T
-                yield rows(np.full(len(a), COPY), a, b)
-            if not own:
-                continue
-            key, whose = signatures([s for _, s in own], bands)
-            node = np.array([i for i, _ in own])[whose]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            fresh = np.append(True, key[1:] != key[:-1])
-            hub = node[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-            pairs = np.unique(np.stack([node, hub])[:, node != hub], axis=1)
-            yield rows(key[fresh], node[fresh], None if not fresh.any() else pa.nulls(int(fresh.sum()), pa.int64()))
-            if pairs.shape[1]:
-                yield rows(np.full(pairs.shape[1], CANDIDATE), pairs[0], pairs[1])
+                yield _rows(COPY, *np.array(copies).T, None)
+            if own:
+                key, whose, needed = signatures([s for _, s in own], bands)
+                yield _rows(key, np.array([i for i, _ in own])[whose], needed, None)
 
     source = with_python(docs).select("doc_id", text_of().alias("text"))
-    return source.mapInArrow(emit, "key bigint, a bigint, b bigint")
+    return source.mapInArrow(emit, ROWS)
+
+
+def pairs_of_runs(key: np.ndarray, node: np.ndarray, needed: np.ndarray, most: int = PAIRED_SETS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within runs of one signature, and ties to the first set for longer runs.
+
+    Rows are sorted by signature and document. Returns rows of first document,
+    second document, shared signatures and needed ones, and rows of document,
+    first document and needed signatures.
+    """
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(starts, append=len(key))
+    pairs = []
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= most)]).tolist():
+        here = starts[sizes == m][:, None]
+        one, two = np.triu_indices(m, 1)
+        one, two = (here + one).ravel(), (here + two).ravel()
+        pairs.append(np.stack([node[one], node[two], np.maximum(needed[one], needed[two])]))
+    large = np.repeat(sizes > most, sizes)
+    tied = np.stack([node, np.repeat(node[starts], sizes), needed])[:, large]
+    if not pairs:
+        return np.zeros((4, 0), dtype=np.int64), tied
+    a, b, t = np.concatenate(pairs, axis=1)
+    order = np.lexsort((t, b, a))
+    a, b, t = a[order], b[order], t[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return np.stack([a[first], b[first], np.diff(first, append=len(a)), t[first]]), tied
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """The rows that are no signatures, and a candidate for each set that shares a signature with an earlier one."""
+    """The rows that are no signatures, pairs of sets with the number of their shared signatures, and ties of large groups."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
+        held = np.zeros((3, 0), dtype=np.int64)  # the last signature's run, which may go on
         for batch in batches:
             key = batch.column(0).to_numpy()
-            sign = np.flatnonzero(key >= 0)
-            if len(sign) < len(key):
+            if (key < 0).any():
                 yield batch.filter(pa.array(key < 0))
+            sign = np.flatnonzero(key >= 0)
             if not len(sign):
                 continue
-            key, node = key[sign], batch.column(1).take(pa.array(sign)).to_numpy()
-            fresh = np.append(key[0] != last, key[1:] != key[:-1])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            hubs = np.where(start >= 0, node[start], hub if hub is not None else 0)
-            last, hub = int(key[-1]), int(hubs[-1])
-            pairs = np.unique(np.stack([node, hubs])[:, node != hubs], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], CANDIDATE)), pa.array(pairs[0]), pa.array(pairs[1])], ["key", "a", "b"])
+            new = np.stack([key[sign], *(batch.column(c).take(pa.array(sign)).to_numpy() for c in (1, 2))])
+            held = np.concatenate([held, new], axis=1)
+            stop = int(np.searchsorted(held[0], held[0, -1]))
+            done, held = held[:, :stop], held[:, stop:]
+            if held.shape[1] > PAIRED_SETS + 1:
+                # a large group goes on: of what is tied already only enough to know it is held
+                yield _rows(TIE, held[1], np.full(held.shape[1], held[1, 0]), held[2])
+                held = held[:, :PAIRED_SETS + 1]
+            yield from told(done)
+        yield from told(held)
+
+    def told(runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if runs.shape[1]:
+            pairs, tied = pairs_of_runs(*runs)
+            # the needed number stands above the shared one in a single integer
+            yield _rows(PAIR, pairs[0], pairs[1], np.minimum(pairs[3], 0x7FFF) << 16 | np.minimum(pairs[2], 0xFFFF))
+            yield _rows(TIE, *tied)
 
     # rows of a kind are dealt by their document, signatures by themselves
     dealt = rows.repartition(F.when(F.col("key") >= 0, F.col("key")).otherwise(F.xxhash64("a", "b")))
-    return dealt.sortWithinPartitions("key", "a").mapInArrow(meet, "key bigint, a bigint, b bigint")
+    return dealt.sortWithinPartitions("key", "a").mapInArrow(meet, ROWS)
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs that may be links, and ties that may stand for some.
+
+    Of the signatures that a pair shares, those of large groups are not
+    counted; there are at most as many as the set with fewer of them has. A
+    pair is a candidate if the others make up for the rest of what a link
+    needs. A set for which large groups alone may be enough keeps its ties to
+    them. So each link is a candidate, or both its ends are tied to one set.
+    """
+    shared, needed = F.col("n").bitwiseAND(0xFFFF), F.shiftright("n", 16)
+    pairs = met.filter(F.col("key") == PAIR).groupBy("a", "b").agg(F.sum(shared).alias("shared"), F.min(needed).alias("needed"))
+    ties = met.filter(F.col("key") == TIE)
+    large = write_table(ties.groupBy("a").agg(F.count("*").alias("large"), F.min("n").alias("least")), "jaccard-large")
+    one, two = (large.select(F.col("a").alias(c), F.col("large").alias(f"large_{c}")) for c in ("a", "b"))
+    left = F.col("needed") - F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    near = pairs.join(one, "a", "left").join(two, "b", "left").filter(F.col("shared") >= left).select("a", "b")
+    return near.unionByName(ties.select("a", "b").join(large.filter("large >= least").select("a"), "a", "left_semi").filter("a <> b").distinct())
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -265,8 +318,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     Returns ``doc_id, n_shingles, component_id`` for every row; the component
     is the smallest id that links reach. No link is lost:
 
-    1. Each distinct set gets its signatures (``Bands``). Sets that share one
-       are tied to the first set with it, which makes families of candidates.
+    1. Each distinct set gets its signatures (``Bands``). Pairs that share as
+       many as a link has at least are candidates; sets of signatures that many
+       share are tied to the first of them where those may be enough
+       (``_candidates``). Both make families.
     2. The texts of families are fetched once and compared within blocks. A
        family with more than a block of different sets is compared block by
        block, so no task grows with a family.
@@ -278,11 +333,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     """
     met = write_table(_meetings(_signature_rows(docs, width, num, den)), "jaccard")
     counts = met.filter(F.col("key") == COUNT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    family = components(met.filter(F.col("key") == CANDIDATE).select("a", "b"), "jaccard-family").withColumnRenamed("component", "family")
+    family = components(_candidates(met), "jaccard-family").withColumnRenamed("component", "family")
     sized = family.join(counts.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), F.col("node") == F.col("doc_id"))
     blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    # a table of its own: the join with it then starts from plain exchanges, which can be split
+    blocks = write_table(blocks, "jaccard-families")
     placed = write_table(sized.join(blocks, "family").select("node", "family", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "jaccard-blocks")
-    texts = docs.select("doc_id", text_of().alias("text")).join(placed, F.col("doc_id") == F.col("node")).select("family", "blocks", "block", "node", "text")
+    texts = docs.select("doc_id", text_of().alias("text")).join(placed.hint("merge"), F.col("doc_id") == F.col("node")).select("family", "blocks", "block", "node", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = texts.withColumn("other", other).select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "text")
 
@@ -302,4 +359,4 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with all its columns; of each component the document with the smallest id stays."""
     gone = jaccard_components(docs, width, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(write_table(gone, "jaccard-gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(write_table(gone, "jaccard-gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
