@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -22,30 +21,48 @@ CAPACITY = 2048
 END = 0
 # rows of a range of sizes that a task sweeps
 RANGE_ROWS = 100_000
-# words that a worker remembers with their ids
-MEMORY = 400_000
+# fixed value: the pattern that cuts a text before the merges of the byte-level vocabulary
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "key bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-# between two characters that are no blanks, a space always opens the next token
-_BLANK = r"\s\u180e\u200b\ufeff"
-_INNER = re.compile(rf"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
-_ODD = re.compile(rf"[{_BLANK}] | [{_BLANK}]|^ | $")
 
 
 # ---------------------------------------------------------------- tokens
 @lru_cache(maxsize=1)
-def _worker_state(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _tokenizers(path: str):
+    """The vocabulary in both libraries that read it, kept from task to task."""
+    import tiktoken
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    slow = Tokenizer.from_file(path)
+    special = {t.content for t in slow.get_added_tokens_decoder().values()}
+    letters = _byte_letters()
+    ranks = {bytes(letters[c] for c in word): i for word, i in slow.get_vocab().items() if word not in special}
+    return slow, tiktoken.Encoding("byte-pairs", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
 
+def _byte_letters() -> dict[str, int]:
+    """Byte that each letter of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
-def token_parts(text: str) -> list[str]:
-    """Parts of a text whose ids in a row are the text's: cut before single spaces between other characters."""
-    if not text:
-        return []
-    first, *rest = _INNER.split(text) if _ODD.search(text) else text.split(" ")
-    return [first, *[" " + r for r in rest]]
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids of a text as the tokenizers library gives them, without added special tokens.
+
+    Latin texts go through the faster library with the same vocabulary. Other
+    texts, and those that spell a special token, whose string is one token, do
+    not: there the two may differ.
+    """
+    slow, fast, special = _tokenizers(path)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        latin = False
+    else:
+        latin = not any(s in text for s in special)
+    return fast.encode_to_numpy(text, disallowed_special=()) if latin else np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cut_pieces(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,28 +76,19 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_folder
     """Pieces of every document with the checksum of their ids, and a key of their own.
 
     Ids are those of the tokenizers library for ``byte_bpe_50k.json`` without
-    added special tokens, then the id 0. Workers remember the ids of words.
+    added special tokens, then the id 0.
     """
     path = tokenizer_path("byte_bpe_50k.json", tokenizer_folder)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _worker_state(path)
         # the same in every attempt of a task, and different in all tasks
-        key, end = TaskContext.get().partitionId() << 36, np.array([END], dtype="<u4").tobytes()
+        key = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text", 4 << 20):
-            parts = [token_parts(t) for t in batch.column(1).to_pylist()]
-            new = list(set().union(*parts).difference(known))
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set().union(*parts))
-            for k in range(0, len(new), 20_000):
-                some = new[k:k + 20_000]
-                known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
             rows = []
-            for doc_id, ws in zip(batch.column(0).to_pylist(), parts):
-                ids = b"".join(map(known.__getitem__, ws)) + end
-                for number, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
-                    rows.append((key, doc_id, number, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.append(token_ids(text.as_py(), path), END).astype("<u4")
+                for number, (start, length) in enumerate(cut_pieces(len(ids), capacity)):
+                    rows.append((key, doc_id, number, start, length, zlib.crc32(ids[start:start + length])))
                     key += 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "doc_id", "piece", "start", "length", "ids_crc32"])
