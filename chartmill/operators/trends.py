@@ -116,6 +116,12 @@ def proximity_groups(docs: DataFrame, hours: int = 24) -> DataFrame:
     ).drop("__at", "anchor")
 
 
+def with_date_groups(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``date_key``, the first time of the day-long group of its patient that a document falls into."""
+    groups = proximity_groups(docs.select("doc_id", "patient_id", "uploaded_at"))
+    return docs.join(groups.select("doc_id", F.unix_seconds(F.col("anchor_at").cast("timestamp")).alias("date_key")), "doc_id")
+
+
 RELATION_SCORE = {"encounter": 0.9, "visit": 0.8, "provider": 0.7, "date_proximity": 0.6, "document_type": 0.5}
 
 

@@ -127,13 +127,15 @@ def _(t):
     return T.close_observations(t.events, ["user_id"], 7200).select("event_id", "prev_event_id", "user_id")
 
 
-@query(
-    "anchor_24h_groups",
-    """WITH RECURSIVE s AS (SELECT doc_id, patient_id, uploaded_at, row_number() OVER (PARTITION BY patient_id ORDER BY uploaded_at, doc_id) AS rn FROM pipeline),
+_ANCHORS = """s AS (SELECT doc_id, patient_id, uploaded_at, row_number() OVER (PARTITION BY patient_id ORDER BY uploaded_at, doc_id) AS rn FROM pipeline),
        g AS (SELECT doc_id, patient_id, uploaded_at, rn, uploaded_at AS anchor_at FROM s WHERE rn = 1
              UNION ALL SELECT s.doc_id, s.patient_id, s.uploaded_at, s.rn, CASE WHEN s.uploaded_at - g.anchor_at <= INTERVAL '24' HOUR THEN g.anchor_at ELSE s.uploaded_at END
-             FROM g JOIN s ON s.patient_id = g.patient_id AND s.rn = g.rn + 1)
-       SELECT doc_id, patient_id, anchor_at FROM g""",
+             FROM g JOIN s ON s.patient_id = g.patient_id AND s.rn = g.rn + 1)"""
+
+
+@query(
+    "anchor_24h_groups",
+    f"WITH RECURSIVE {_ANCHORS} SELECT doc_id, patient_id, anchor_at FROM g",
 )
 def _(t):
     return T.proximity_groups(t.pipeline).select("doc_id", "patient_id", "anchor_at")
@@ -142,17 +144,17 @@ def _(t):
 _RDOCS = """SELECT doc_id, patient_id, uploaded_at, CASE WHEN doc_id % 3 = 0 THEN doc_id % 700 END AS encounter_key,
    CASE WHEN doc_id % 5 = 0 THEN doc_id % 60 END AS visit_key, CASE WHEN doc_id % 2 = 0 THEN doc_id % 17 END AS provider_key,
    CASE WHEN doc_id % 4 = 1 THEN status END AS type_key FROM pipeline"""
-_KINDS = {"encounter": "encounter_key", "visit": "visit_key", "provider": "provider_key", "document_type": "type_key"}
-_REL_CTE = f"""d AS ({_RDOCS}), o AS ({' UNION ALL '.join(f"SELECT patient_id, doc_id, uploaded_at, {i} AS rank, '{k}' AS kind, CAST({c} AS STRING) AS member FROM d WHERE {c} IS NOT NULL" for i, (k, c) in enumerate(_KINDS.items()))}),
+_KINDS = {"encounter": "encounter_key", "visit": "visit_key", "provider": "provider_key", "date_proximity": "date_key", "document_type": "type_key"}
+_REL_CTE = f"""RECURSIVE {_ANCHORS}, d AS (SELECT r.*, CAST(floor(epoch(g.anchor_at)) AS BIGINT) AS date_key FROM ({_RDOCS}) r JOIN g USING (doc_id)), o AS ({' UNION ALL '.join(f"SELECT patient_id, doc_id, uploaded_at, {i} AS rank, '{k}' AS kind, CAST({c} AS STRING) AS member FROM d WHERE {c} IS NOT NULL" for i, (k, c) in enumerate(_KINDS.items()))}),
    rel AS (SELECT patient_id, kind, member, count(*) AS n, min(uploaded_at) AS first_at, max(uploaded_at) AS last_at FROM o GROUP BY ALL HAVING count(*) > 1)"""
 
 
 @query(
     "document_relationships",
-    f"""WITH {_REL_CTE} SELECT *, CASE kind WHEN 'encounter' THEN 0.9 WHEN 'visit' THEN 0.8 WHEN 'provider' THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM rel""",
+    f"""WITH {_REL_CTE} SELECT *, CASE kind WHEN 'encounter' THEN 0.9 WHEN 'visit' THEN 0.8 WHEN 'provider' THEN 0.7 WHEN 'date_proximity' THEN 0.6 ELSE 0.5 END::DOUBLE AS score FROM rel""",
 )
 def _(t):
-    return T.relationships(t.sql(_RDOCS), _KINDS)
+    return T.relationships(T.with_date_groups(t.sql(_RDOCS)), _KINDS)
 
 
 @query(
@@ -163,7 +165,7 @@ def _(t):
         SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY group_key = '', group_key, doc_id) AS place FROM x""",
 )
 def _(t):
-    return T.processing_order(t.sql(_RDOCS), _KINDS)
+    return T.processing_order(T.with_date_groups(t.sql(_RDOCS)), _KINDS)
 
 
 @query(
