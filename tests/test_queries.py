@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 # the training-data queries have tests of their own
 QUERIES, CHECKS = load_all()
 # nobody fits on the smallest tables; compared at the next scale instead
-EMPTY_HERE = {"no rows"}
+EMPTY_HERE = {"document_list", "provider_search"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_equals_check(spark, con, name):
     why = compare(spark, con, FOLDER, QUERIES[name], CHECKS[name])
-    assert why is None or why in EMPTY_HERE, why
+    assert why is None or (why == "no rows" and name in EMPTY_HERE), why
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
