@@ -1,4 +1,4 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries, on SQL functions only."""
+"""Removal of repeated multi-line chunks with content-defined boundaries, and of all repeated passages, on SQL functions only."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from chartmill.llm.common import text_of, write_table
 # a boundary falls behind a line with a chance of one in this many; prime to mix the rolling hash
 CHUNK_LINES = 3
 PRIME = 1_000_003
+# a line of so many words is a passage of its own
+LEAST_WORDS = 20
 
 
 def _chunks(lines: Column, chunk_lines: int) -> Column:
@@ -35,6 +37,26 @@ def _chunks(lines: Column, chunk_lines: int) -> Column:
     return F.transform(F.array(ends), lambda es: F.transform(es, lambda e, k: chunk(e, k, es)))[0]
 
 
+def _units(lines: Column, least_words: int) -> Column:
+    """Every two neighbouring lines, and every line of ``least_words`` words, as structs like ``_chunks``.
+
+    Blank lines start and end no unit; those between two neighbours belong to
+    their unit. Equal units of either kind have numbers in the order of their
+    places.
+    """
+    words = F.transform(lines, lambda line: F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    spoken = F.transform(F.array(words), lambda ws: F.filter(F.transform(ws, lambda n, i: F.struct(i.alias("at"), n.alias("words"))), lambda s: s["words"] > 0))[0]
+
+    def unit(s: Column, k: Column, all_lines: Column) -> Column:
+        after = F.get(all_lines, k + 1)["at"]
+        pair = F.struct((2 * k).alias("no"), s["at"].alias("first"), (after - s["at"] + 1).alias("n"))
+        alone = F.struct((2 * k + 1).alias("no"), s["at"].alias("first"), F.lit(1).alias("n"))
+        return F.array(F.when(after.isNotNull(), pair), F.when(s["words"] >= least_words, alone))
+
+    units = F.transform(F.array(spoken), lambda ss: F.flatten(F.transform(ss, lambda s, k: unit(s, k, ss))))[0]
+    return F.filter(units, lambda u: u.isNotNull())
+
+
 def _body(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["n"]), "\n")
 
@@ -97,3 +119,56 @@ def dedup_lines(docs: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
         "doc_id", F.when(F.size("gone") == 0, F.col("text")).otherwise(cleaned).alias("text"), F.size("lines").cast("bigint").alias("n_lines"),
         removed.cast("bigint").alias("removed_lines"), F.size("gone").cast("bigint").alias("removed_chunks"),
     )
+
+
+def dedup_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Texts without the passages that stand elsewhere before, whatever their length and place.
+
+    Returns ``doc_id, text, n_lines, removed_lines`` for every row. A passage
+    is two neighbouring lines or more, or one line of ``least_words`` words.
+    All pairs of neighbours and all such lines are compared, so a passage goes
+    as a whole, with its first and last line. Of equal ones that in the
+    smallest document, there the first one, stays. Whatever goes stands at an
+    earlier place with the same bytes, so the first place of a line is never
+    removed. Hashes, shuffles and odd rows are those of ``dedup_lines``.
+    """
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("version", F.xxhash64("text"))
+
+    def with_units(rows: DataFrame, *more: str) -> DataFrame:
+        lines = rows.select("doc_id", "version", "text", F.split("text", "\n").alias("lines"), *more)
+        return lines.withColumn("units", _units(F.col("lines"), least_words))
+
+    # hashed within the row: an exploded unit carries no lines
+    hashed = F.transform(F.array(F.struct("lines", "units")), lambda s: F.transform(s["units"], lambda u: F.struct(u.alias("u"), F.unhex(F.md5(_body(s["lines"], u))).alias("h"))))[0]
+    places = with_units(texts.filter("doc_id IS NOT NULL")).select("doc_id", "version", hashed.alias("hashed"))
+    places = places.select("doc_id", "version", F.explode("hashed").alias("x")).select("doc_id", "version", "x.u", "x.h")
+    places = write_table(places, "passage-units")
+
+    first = F.min(F.struct("doc_id", "u", "version")).alias("first")
+    repeated = places.groupBy("h").agg(F.count("*").alias("times"), first).filter("times > 1").select("h", "first")
+    stays = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.u.no") == F.col("u.no")) & (F.col("first.version") == F.col("version"))
+    hits = places.join(repeated, "h").select("doc_id", "version", F.struct("u", "h", stays.alias("stays")).alias("hit"))
+    per_doc = hits.groupBy("doc_id", "version").agg(F.collect_set("hit").alias("hits"))
+    marked = write_table(texts.join(per_doc, ["doc_id", "version"], "left"), "passage-marked")
+
+    spelt = F.transform(F.array(F.struct(F.split("text", "\n").alias("lines"), "hits")), lambda s: F.transform(
+        s["hits"], lambda x: F.struct(x["u"].alias("u"), x["h"].alias("h"), x["stays"].alias("stays"), _body(s["lines"], x["u"]).alias("body"))))[0]
+    found = marked.filter("hits IS NOT NULL").select("doc_id", "version", F.explode(spelt).alias("x")).select("doc_id", "version", "x.u", "x.h", "x.stays", "x.body")
+    kept = write_table(found.filter("stays").groupBy("h").agg(F.first("body").alias("kept_body")), "passage-kept")
+    other = found.filter("NOT stays").join(kept, "h").filter("body <> kept_body")
+    differing = write_table(other.select("doc_id", "version", "u"), "passage-differing")
+
+    unit = "array<struct<no:int,first:int,n:int>>"
+    gone = F.transform(F.filter(F.coalesce("hits", F.array().cast("array<struct<u:struct<no:int,first:int,n:int>,h:binary,stays:boolean>>")), lambda x: ~x["stays"]), lambda x: x["u"])
+    final = marked.withColumn("gone", gone)
+    if not differing.isEmpty():
+        spared = differing.groupBy("doc_id", "version").agg(F.collect_set("u").alias("spared"))
+        final = final.join(spared, ["doc_id", "version"], "left").withColumn("gone", F.array_except("gone", F.coalesce("spared", F.array().cast(unit))))
+    places_gone = F.array_distinct(F.flatten(F.transform("gone", lambda u: F.sequence(u["first"], u["first"] + u["n"] - 1))))
+    final = final.select("doc_id", "text", F.split("text", "\n").alias("lines"), places_gone.alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    cleaned = F.transform(F.array(F.col("lines")), lambda ls: F.array_join(F.transform(left, lambda k: F.get(ls, k)), "\n"))[0]
+    return final.select(
+        "doc_id", F.when(F.size("gone") == 0, F.col("text")).otherwise(cleaned).alias("text"),
+        F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("removed_lines"),
+    )

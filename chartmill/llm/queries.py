@@ -11,7 +11,7 @@ from chartmill.llm.common import read_table, text_of
 from chartmill.llm.exact_dedup import exact_groups
 from chartmill.llm.jaccard_join import jaccard_components
 from chartmill.llm.license_scan import scan_licenses
-from chartmill.llm.line_dedup import dedup_lines
+from chartmill.llm.line_dedup import dedup_lines, dedup_passages
 from chartmill.llm.packing import pack_documents
 from chartmill.llm.quality import fit, labelled_rows, score_quality
 from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
@@ -153,3 +153,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_passage_dedup")
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repeated passages, where ``op1_line_dedup`` has the chunks that its SQL defines."""
+    return dedup_passages(read_table(spark, sf_dir, "documents"))

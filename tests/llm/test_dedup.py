@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chartmill.llm.exact_dedup import drop_copies, exact_groups
 from chartmill.llm.jaccard_join import bands_of, drop_near_copies, jaccard_components, shingle_set, signatures
-from chartmill.llm.line_dedup import dedup_lines
+from chartmill.llm.line_dedup import dedup_lines, dedup_passages
 
 ROWS = [(1, "a b"), (2, "ab"), (3, "a\tb\n"), (4, ""), (5, None), (6, " \n"), (None, "ab"), (7, "ab c"), (7, "ab c"), (8, "é" * 50_000), (9, "é" * 50_000 + " "), (10, "ab ")]
 
@@ -89,6 +89,44 @@ def test_repeated_row_keeps_its_own_lines(documents):
     assert [r.text for r in got] == [text, text]
 
 
+def expected_passages(rows, least_words=20):
+    units = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        at = [k for k, line in enumerate(lines) if line.strip(" \t\n\v\f\r")]
+        pairs = [(k, range(a, b + 1)) for k, (a, b) in enumerate(zip(at, at[1:]))]
+        units.append((i, t, lines, pairs + [(k, range(a, a + 1)) for k, a in enumerate(at) if len(lines[a].split()) >= least_words]))
+    first = {}
+    for i, t, lines, us in sorted((u for u in units if u[0] is not None), key=lambda u: u[0]):
+        for k, span in sorted(us, key=lambda u: u[0]):
+            first.setdefault("\n".join(lines[s] for s in span), (i, k))
+    out = []
+    for i, t, lines, us in units:
+        gone = {s for k, span in us for s in span if i is not None and first["\n".join(lines[s] for s in span)] != (i, k)}
+        out.append((i, "\n".join(x for s, x in enumerate(lines) if s not in gone), len(lines), len(gone)))
+    return sorted(out, key=str)
+
+
+def test_passages_go_whatever_their_length_and_place(documents):
+    long = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, "one\n\ntwo\nthree"), (4, "x\none\n\ntwo\nthree\ny"), (5, "two"), (6, "z\ntwo\nthree")]
+    got = {r.doc_id: r.text for r in dedup_passages(documents(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "c\nd", 3: rows[2][1], 4: "x\ny", 5: "two", 6: "z"}
+
+
+def test_passages_against_brute_force(documents):
+    rng = random.Random(6)
+    lines = [f"line {k} {rng.random()}" for k in range(60)] + ["", " "] + [" ".join(f"v{rng.random()}" for _ in range(25)) for _ in range(6)]
+    rows = [(k, "\n".join([*rng.choices(lines, k=rng.randint(0, 8)), *(lines[:12] if k % 3 else []), *rng.choices(lines, k=rng.randint(0, 8))])) for k in range(40)]
+    rows += [(100, None), (101, ""), (102, rows[3][1]), (102, rows[3][1]), (None, rows[3][1]), (103, "\n" * 20), (104, "\n" * 20), (105, "\n".join(lines[:25] * 3)), (106, "x\n" * 30_000)]
+    got = [tuple(r) for r in dedup_passages(documents(rows)).collect()]
+    assert sorted(got, key=str) == expected_passages(rows)
+    assert dedup_passages(documents([])).collect() == []
+    # the first place of every line stays
+    left = {line for i, t, *_ in got for line in t.split("\n")}
+    assert {line for _, t in rows for line in (t or "").split("\n") if line.strip()} <= left
+
+
 # ---------------------------------------------------------------- Jaccard
 def brute_components(rows, width, num, den):
     sets, root = [], {}
