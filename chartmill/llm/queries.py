@@ -14,7 +14,7 @@ from chartmill.llm.license_scan import scan_licenses
 from chartmill.llm.line_dedup import dedup_lines, dedup_passages
 from chartmill.llm.packing import pack_documents
 from chartmill.llm.quality import fit, labelled_rows, score_quality
-from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
+from chartmill.llm.sentencepiece_codec import round_trips
 from chartmill.llm.token_counts import count_tokens
 from chartmill.llm.vector_topk import scaled, top_inner_products, usable
 from chartmill.llm.warc import archive, look_up, read_records, url_key
@@ -53,9 +53,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether decoding them gives the text back."""
-    docs = read_table(spark, sf_dir, "documents")
-    return encode_texts(docs).select("doc_id", "n_tokens", "ids")
+    """Ids of every text, the digest of what they decode to, and whether that is the text."""
+    return round_trips(read_table(spark, sf_dir, "documents"))
 
 
 @query("op5_token_counts")

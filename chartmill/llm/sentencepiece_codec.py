@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -257,6 +258,28 @@ def decoded(ids: list[int], spelling: list[bytes]) -> str:
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
+    """Slices of rows ``(doc_id, text)`` with the ids and the number of ids of each text."""
+    encoder, known = _worker_state(path)
+    for batch in slices(batches, "text", 6 << 20):
+        parts = [P.words(t) for t in batch.column(1).to_pylist()]
+        new = list(set().union(*parts).difference(known))
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = list(set().union(*parts))
+        for k in range(0, len(new), BATCH):
+            some = new[k:k + BATCH]
+            known.update(zip(some, encoder.encode([P.spelled(w) for w in some])))
+        rows = [b"".join(map(known.__getitem__, ws)) for ws in parts]
+        n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+        flat = np.frombuffer(b"".join(rows), dtype="<i4")
+        yield batch, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat)), pa.array(n)
+
+
+def _decoded(ids: pa.Array, spelling: list[bytes]) -> list[str]:
+    return [decoded(row or [], spelling) for start in range(0, len(ids), 256) for row in ids.slice(start, 256).to_pylist()]
+
+
 def encode_texts(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFrame:
     """Ids of each whole text: ``doc_id, ids, n_tokens``.
 
@@ -270,21 +293,8 @@ def encode_texts(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFr
     path = tokenizer_path("piece_bpe_32k.model", tokenizer_folder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = _worker_state(path)
-        for batch in slices(batches, "text", 6 << 20):
-            parts = [P.words(t) for t in batch.column(1).to_pylist()]
-            new = list(set().union(*parts).difference(known))
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set().union(*parts))
-            for k in range(0, len(new), BATCH):
-                some = new[k:k + BATCH]
-                known.update(zip(some, encoder.encode([P.spelled(w) for w in some])))
-            rows = [b"".join(map(known.__getitem__, ws)) for ws in parts]
-            n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            flat = np.frombuffer(b"".join(rows), dtype="<i4")
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(n)], ["doc_id", "ids", "n_tokens"])
+        for batch, ids, n in _encoded(batches, path):
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, n], ["doc_id", "ids", "n_tokens"])
 
     source = with_python(docs).select("doc_id", text_of().alias("text"))
     return source.mapInArrow(encode, "doc_id bigint, ids array<int>, n_tokens bigint")
@@ -303,7 +313,28 @@ def decode_ids(encoded: DataFrame, tokenizer_folder: str | None = None) -> DataF
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [decoded(ids or [], spelling) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_decoded(part.column(1), spelling), pa.string())], ["doc_id", "text"])
 
     return with_python(encoded).select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, text string")
+
+
+def round_trips(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFrame:
+    """Each whole text encoded and decoded again: ``doc_id, n_tokens, ids, decoded_sha256, round_trip``.
+
+    ``encode_texts`` and ``decode_ids`` in one pass, so that a worker keeps one
+    encoder and ids cross to Python once. ``round_trip`` says whether the
+    decoded text is the text, null counting as empty; a text with the mark of
+    a blank is not, for it decodes to the blank.
+    """
+    path = tokenizer_path("piece_bpe_32k.model", tokenizer_folder)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = piece_bytes(P.load(path))
+        for batch, ids, n in _encoded(batches, path):
+            texts = _decoded(ids, spelling)
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            same = [t == text for t, text in zip(texts, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, ids, pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
+
+    source = with_python(docs).select("doc_id", text_of().alias("text"))
+    return source.mapInArrow(both, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean")

@@ -1,5 +1,6 @@
 """SentencePiece codec, token counts and packing against the libraries."""
 
+import hashlib
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import pytest
 
 from chartmill.llm.common import tokenizer_path
 from chartmill.llm.packing import across, cut_pieces, pack_documents, ranges, sweep, token_ids
-from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts
+from chartmill.llm.sentencepiece_codec import decode_ids, encode_texts, round_trips
 from chartmill.llm.token_counts import count_tokens
 
 LETTERS = "abcdefgeinthrs  \n\t▁éàü漢日🤦.,!?0123 "
@@ -50,6 +51,24 @@ def test_decoding_gives_the_text_back(documents, pieces):
         assert got[i] == pieces.decode(pieces.encode(t or "")) == (t or "").replace("▁", " "), t
 
 
+def test_round_trips_decode_every_text(documents, pieces):
+    rows = texts(9, 200)
+    got = {r.doc_id: r for r in round_trips(documents(rows)).collect()}
+    assert len(got) == len(rows) and {r.round_trip for r in got.values()} == {True, False}
+    for i, t in rows:
+        ids, back = pieces.encode(t or ""), pieces.decode(pieces.encode(t or ""))
+        assert (got[i].ids, got[i].n_tokens, got[i].decoded_sha256, got[i].round_trip) == (ids, len(ids), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")), t
+
+
+def test_the_query_decodes_the_whole_table(spark, sf):
+    from chartmill.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op3_sentencepiece"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    assert all(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].replace("▁", " ").encode()).hexdigest() and r.round_trip == ("▁" not in docs[r.doc_id]) for r in rows)
+
+
 def test_decoding_odd_ids(spark, pieces):
     rows = [(1, None), (2, []), (3, [0, 1, 2, 300]), (4, [3 + 0xE9]), (5, [3 + 0xC3, 3 + 0xA9])]
     got = {r.doc_id: r.text for r in decode_ids(spark.createDataFrame(rows, "doc_id bigint, ids array<int>")).collect()}
