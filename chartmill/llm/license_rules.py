@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-# fixed values: label, gate word, expressions for the name over lower-case words joined by single spaces
+# fixed values: label, gate word that every alternative contains, expressions for the name over lower-case words joined by single spaces
 LICENSES = [
-    ("0bsd", "bsd", r"0bsd|(?:bsd )?zero clause(?: bsd)?|bsd 0 clause"),
+    ("0bsd", "bsd", r"0bsd|bsd 0 clause"),
+    ("0bsd", "zero", r"(?:bsd )?zero clause(?: bsd)?"),
     ("afl-3.0", "academic", r"academic free(?: license)?(?: version)?(?: 3 0)?"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public(?: license)?(?: version)?(?: 3)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
@@ -36,7 +37,8 @@ LICENSES = [
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc0-1.0", "zero", r"creative commons zero(?: v?1 0)?(?: universal)?"),
-    ("cddl-1.0", "distribution", r"common development and distribution(?: license)?(?: version)?(?: 1 [01])?|cddl(?: 1 [01])?"),
+    ("cddl-1.0", "distribution", r"common development and distribution(?: license)?(?: version)?(?: 1 [01])?"),
+    ("cddl-1.0", "cddl", r"cddl(?: 1 [01])?"),
     ("cdla-permissive-2.0", "community", r"community data license agreement permissive(?: version)?(?: [12] 0)?"),
     ("cdla-sharing-1.0", "community", r"community data license agreement sharing(?: version)?(?: 1 0)?"),
     ("cecill-2.1", "cecill", r"cecill(?: v?2 [01])?"),
@@ -69,7 +71,8 @@ LICENSES = [
     ("llama", "llama", r"llama(?: [234])?(?: [123])?(?: community)?"),
     ("lppl-1.3", "latex", r"latex project public(?: license)?(?: version)?(?: 1 3[ac]?)?"),
     ("miros", "miros", r"miros"),
-    ("mit", "mit", r"mit|expat"),
+    ("mit", "mit", r"mit"),
+    ("mit", "expat", r"expat"),
     ("mit-0", "mit", r"mit (?:0|no attribution)"),
     ("mpl-1.1", "mozilla", r"mozilla public(?: license)?(?: version)?(?: v)? 1 [01]"),
     ("mpl-2.0", "mozilla", r"mozilla public(?: license)?(?: version)?(?: v)?(?: 2 0)?"),
@@ -78,7 +81,8 @@ LICENSES = [
     ("mulan-2.0", "mulan", r"mulan(?: permissive software)?(?: license)?(?: v(?:ersion)?)?(?: ?2)?"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
     ("nposl-3.0", "profit", r"non profit open software(?: license)?(?: 3 0)?"),
-    ("odbl-1.0", "database", r"open (?:data commons open )?database(?: license)?(?: v?1 0)?|odbl(?: 1 0)?"),
+    ("odbl-1.0", "database", r"open (?:data commons open )?database(?: license)?(?: v?1 0)?"),
+    ("odbl-1.0", "odbl", r"odbl(?: 1 0)?"),
     ("odc-by-1.0", "commons", r"open data commons attribution(?: license)?(?: v?1 0)?"),
     ("ofl-1.1", "font", r"(?:sil )?open font(?: license)?(?: version)?(?: 1 1)?"),
     ("openrail", "rail", r"(?:creative ml |bigscience )?(?:open)? ?rail(?: m)?"),
@@ -99,7 +103,8 @@ LICENSES = [
     ("upl-1.0", "universal", r"universal permissive(?: license)?(?: version)?(?: 1 0)?"),
     ("vim", "vim", r"vim"),
     ("w3c", "w3c", r"w3c(?: software notice and)?"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("wtfpl", "want", r"do what the fuck you want to public"),
     ("x11", "x11", r"x11"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("zpl-2.1", "zope", r"zope public(?: license)?(?: version)?(?: 2 [01])?"),
@@ -143,6 +148,6 @@ def rules() -> list[Rule]:
             Rule(label, gate, rf"(?:{name}) (?:public )?licen[cs]e(?: v(?:ersion)? ?\d(?: \d)?)?", 1, 0.7),
         ]
     # names that stand for nothing else need no word of licensing beside them
-    alone = {"gpl", "general", "cc", "cc0", "creative", "affero", "lesser", "lgpl", "mozilla", "eclipse", "wtfpl", "unlicense"}
+    alone = {"gpl", "general", "cc", "cc0", "creative", "affero", "lesser", "lgpl", "mozilla", "eclipse", "wtfpl", "want", "unlicense"}
     out += [Rule(label, gate, rf"(?:{name})", 1, 0.7) for label, gate, name in LICENSES if gate in alone]
     return out + [Rule(*n) for n in NOTICES]

@@ -18,14 +18,14 @@ BASE_WEIGHT = 0.5
 
 
 def _may_match(text: Column) -> Column:
-    """False only if no rule and no phrase can match: cheap searches for words that each of them needs."""
+    """False only if no rule of ``rules()`` and no phrase can match: cheap searches for words that each of them needs."""
     low = F.lower(text)
 
     def holds(*words: str) -> Column:
         return reduce(Column.__and__, [low.contains(w) for w in words])
 
-    always = ["licen", "rights", "copyright", "gpl", "spdx", "cc0", "proprietary", "permission", "permitted", "warranty"]
-    paired = [("general", "public"), ("mozilla", "public"), ("eclipse", "public"), ("domain", "public"), ("creative", "commons")]
+    always = ["licen", "rights", "copyright", "gpl", "spdx", "cc0", "proprietary", "permission", "permitted", "warranty", "wtfpl"]
+    paired = [("general", "public"), ("mozilla", "public"), ("eclipse", "public"), ("domain", "public"), ("creative", "commons"), ("want", "public")]
     grants = ["released", "distributed", "available", "published", "provided", "offered", "shared", "covered"]
     granted = reduce(Column.__or__, [holds(w) for w in grants]) & text.rlike(rf"(?i)(?:{'|'.join(grants)})[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:under|by|subject)")
     hits = [holds(w) for w in always] + [holds(*w) for w in paired] + [granted, text.rlike(r"(?i)(?<![0-9a-z])cc(?![0-9a-z])")]
@@ -99,7 +99,8 @@ def scan_licenses(docs: DataFrame, signature_rules: list[Rule] | None = None) ->
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score`` for every row. A cheap search for anchor words picks the
     texts in which anything can match; there, a rule's expression runs only if
-    its gate word occurs. ``_resolved`` settles overlapping detections. Labels
+    its gate word occurs; rules that are passed are tried on every text.
+    ``_resolved`` settles overlapping detections. Labels
     of base phrases always stay. ``score`` is the largest weight of what was
     found: 1 for a grant, less for a tag, a name or a base phrase, 0 for none.
 
@@ -112,7 +113,8 @@ def scan_licenses(docs: DataFrame, signature_rules: list[Rule] | None = None) ->
         for r in (rules() if signature_rules is None else signature_rules)
     ])
     rows = docs.select("doc_id", text_of().alias("text"))
-    rows = rows.withColumn("may", _may_match(F.col("text")))
+    # the anchors are those of the package's own rules
+    rows = rows.withColumn("may", _may_match(F.col("text")) if signature_rules is None else F.lit(True))
     spoken = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"), F.when(F.col("may"), spoken).alias("words"))
     rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))

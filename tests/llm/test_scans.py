@@ -75,6 +75,52 @@ def test_rules_are_many_and_gated():
         re.compile(r.pattern)
 
 
+def shortest(pattern):
+    """The shortest text of each alternative of an expression."""
+
+    def texts(items):
+        out = [""]
+        for op, value in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "IN":
+                first, what = str(value[0][0]), value[0][1]
+                more = [chr(what) if first == "LITERAL" else chr(what[0]) if first == "RANGE" else "9" if "DIGIT" in str(what) else "x"]
+            elif kind == "BRANCH":
+                more = [t for branch in value[1] for t in texts(branch)]
+            elif kind == "SUBPATTERN":
+                more = texts(value[-1])
+            elif kind == "MAX_REPEAT":
+                more = texts(list(value[2]) * value[0])
+            else:
+                assert kind in ("ASSERT", "ASSERT_NOT"), kind
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_no_gate_or_anchor_drops_what_a_rule_matches(documents):
+    table, examples = rules(), {"WTFPL", "licensed under the CDDL 1.0", "licensed under ODbL 1.0", "released under the Expat license", "zero clause license", "do what the fuck you want to public license"}
+    rng = random.Random(4)
+    for r in table:
+        texts = shortest(r.pattern)
+        assert all(r.keyword in t for t in texts), r
+        examples |= {" ".join(t.split()) for t in rng.sample(texts, min(3, len(texts)))}
+    rows = list(enumerate(sorted(examples)))
+    got = {r.doc_id: r for r in scan_licenses(documents(rows)).collect()}
+    for i, t in rows:
+        labels, weight = brute_labels(t, [r._replace(keyword="") for r in table])
+        base = set(filter(None, brute_base(t)[4].split(",")))
+        assert weight and (got[i].labels, got[i].score) == (",".join(sorted(labels | base)), max(weight, 0.5 if base else 0.0)), t
+
+
+def test_passed_rules_need_no_anchor(documents):
+    assert scan_licenses(documents([(1, "some a b")]), [Rule("own", "a", "a b", 1, 0.2)]).first().labels == "own"
+
+
 def test_scan_stays_on_the_jvm(spark, sf):
     from chartmill.llm.queries import QUERIES
 
