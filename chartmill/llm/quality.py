@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from chartmill.llm.common import text_of, write_table
 
-# most labelled rows that the classifier is fitted on, and rows that one fit needs at least
+# most labelled rows that the classifier is fitted on
 SAMPLE_ROWS = 20_000
-LEAST_ROWS = 20
 THRESHOLD = 0.7
 # folds by the checksum of the id; this one is held out
 FOLDS, HELD_OUT = 4, 2
@@ -135,14 +134,13 @@ def fit(rows: DataFrame, trees: int = 30, depth: int = 3, penalty: float = 0.001
     """Fit the ensemble on rows of ``FEATURES`` and ``label``.
 
     A forest of shallow trees proposes rules; logistic regression with a lasso
-    penalty on their truth values keeps the few that matter. With fewer than
-    ``LEAST_ROWS`` rows, or one label only, the score is a constant: the
-    smoothed share of label 1.
+    penalty on their truth values keeps the few that matter. With one label
+    only, or none, the score is a constant: the smoothed share of label 1.
     """
     rows = write_table(rows.select(*FEATURES, "label"), "quality-sample")
     count, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     share = (positive + 1) / (count + 2) if count else 1.0
-    if count < LEAST_ROWS or positive in (0, count):
+    if positive in (0, count):
         odds = max(share, 1e-6) / max(1 - share, 1e-6)
         return RuleModel(math.log(odds), ())
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
@@ -168,6 +166,9 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOL
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model does not reject."""
+    if not model.weighted:
+        # nothing learnt rejects nothing
+        return docs
     columns = docs.columns
     own = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id"), F.col("text"))
     scored = statistics_beside(own)

@@ -155,6 +155,17 @@ def test_held_out_accuracy(spark):
     assert kept.count() == score_quality(docs, model).filter("predicted = 1").count()
 
 
+def test_few_labels_are_learnt_and_one_label_rejects_nothing(spark, documents):
+    docs = documents([(k, "good words in a row " * 9 if k % 2 else "!!! ### $$$") for k in range(16)])
+    both = spark.createDataFrame([(k, k % 2, 0) for k in range(16)], "doc_id bigint, quality int, toxic int")
+    rows = labelled_rows(docs, both)
+    assert rows.count() < 20
+    model = fit(rows)
+    assert model.weighted and {r.doc_id for r in accepted(docs, model).collect()} == set(range(1, 16, 2))
+    bad = fit(labelled_rows(docs, both.withColumn("quality", F.lit(0))))
+    assert bad.weighted == () and accepted(docs, bad).count() == 16
+
+
 def test_few_or_no_labels(spark, documents):
     docs = documents([(k, f"text {k}") for k in range(30)] + [(None, None)])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
