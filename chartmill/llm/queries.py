@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartmill.llm.common import read_table, text_of
+from chartmill.llm import queries_audit
+from chartmill.llm.common import read_table
 from chartmill.llm.exact_dedup import exact_groups
 from chartmill.llm.jaccard_join import jaccard_components
 from chartmill.llm.license_scan import scan_licenses
@@ -19,8 +20,8 @@ from chartmill.llm.token_counts import count_tokens
 from chartmill.llm.vector_topk import scaled, top_inner_products, usable
 from chartmill.llm.warc import archive, look_up, read_records, url_key
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(queries_audit.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(queries_audit.ORACLE_SQL)
 
 
 def query(name: str, sql: str | None = None):

@@ -16,7 +16,7 @@ def con(sf):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(QUERIES) | {"pipeline"} <= set(queries())
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLE_SQL) <= set(oracle_sql())
 
 
