@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chartmill.llm.common import read_table
 from chartmill.llm.merkle import verify_manifest
+from chartmill.llm.secret_scan import ACCESS, ASSIGN, ASSIGNED, BANDS, ENCODINGS, FALSE_SHARE, FOLDED, HEX, KINDS, MOST_STEPS, STRAY, THIRD, TOKEN, scan_secrets
 
 # levels that the check SQL unrolls: a million leaves a source, and 4096 sources
 SOURCE_LEVELS, TOP_LEVELS = 5, 3
@@ -57,5 +58,75 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_manifest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}
-ORACLE_SQL = {"op13_merkle_manifest": _manifest_sql()}
+def _secrets_sql() -> str:
+    """Base spans and the battery in SQL, a row per token and per symbol of it."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    # letters of either case as such: this dialect's flag also takes letters outside ASCII
+    cut = ASSIGN.index(")", ASSIGN.index("(password"))
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ASSIGN[ASSIGN.index("(password"):cut]) + ASSIGN[cut:]
+    patterns = [either, ACCESS, HEX, TOKEN]
+    hits = " UNION ALL ".join(f"""SELECT rn, {k} AS kind, unnest(regexp_extract_all(text, {text(p)}, 0)) AS hit, unnest(regexp_extract_all(text, {text(p)}, {2 if k == 0 else 0})) AS value,
+        unnest(regexp_split_to_array(text, {text(p)})) AS gap, generate_subscripts(regexp_split_to_array(text, {text(p)}), 1) AS i FROM d""" for k, p in enumerate(patterns))
+
+    def of_encoding(pick) -> str:
+        return "CASE encoding " + " ".join(f"WHEN {k} THEN {pick(e)}" for k, e in enumerate(ENCODINGS)) + " END"
+
+    encoding = "CASE " + " ".join(f"WHEN regexp_matches(hit, {text(e.whole)}) THEN {k}" for k, e in enumerate(ENCODINGS)) + " END"
+    folded = f"CASE WHEN encoding IN ({', '.join(str(k) for k, e in enumerate(ENCODINGS) if e.name in FOLDED)}) THEN lower(hit) ELSE hit END"
+    band = "CASE " + " ".join(f"WHEN n >= {BANDS[k]} THEN {k}" for k in reversed(range(len(BANDS)))) + " END"
+    kind = "CASE kind " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(KINDS)) + " END"
+    span = f"{kind} || ':' || s || ':' || e"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents), m AS ({hits}), p AS (
+        SELECT * FROM (
+            SELECT rn, kind, hit, value, CAST(sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+            FROM m WINDOW w AS (PARTITION BY rn, kind ORDER BY i)
+        ) WHERE hit IS NOT NULL
+    ), b AS (
+        SELECT rn, kind, s, s + length(hit) AS e FROM p WHERE kind < 3 AND (kind > 0 OR length(value) >= {ASSIGNED})
+    ), t AS (
+        SELECT row_number() OVER () AS tid, rn, s, s + length(hit) AS e, length(hit) AS n, encoding, {folded} AS token, {of_encoding(lambda e: text(e.alphabet))} AS alphabet, {of_encoding(lambda e: str(e.collision))} :: DOUBLE AS s2
+        FROM (SELECT *, {encoding} AS encoding FROM p WHERE kind = 3 AND NOT regexp_matches(hit, '^[0-9]+$')) WHERE encoding IS NOT NULL
+    ), c AS (
+        SELECT tid, unnest(string_split(token, '')) AS c, generate_subscripts(string_split(token, ''), 1) AS i, alphabet, length(alphabet) AS a FROM t
+    ), v AS (
+        SELECT tid, i, instr(alphabet, c) AS v, instr(alphabet, c) - 1 >= a / 2.0 AS h FROM c
+    ), x AS (
+        SELECT tid, v, h, coalesce(lead(v) OVER w, first_value(v) OVER w) AS next, coalesce(h <> lag(h) OVER w, true) AS starts FROM v WINDOW w AS (PARTITION BY tid ORDER BY i)
+    ), y AS (
+        SELECT tid, CAST(sum(v) AS BIGINT) AS sum, CAST(sum(v * v) AS BIGINT) AS square, CAST(sum(v * next) AS BIGINT) AS pair, CAST(count(*) FILTER (h) AS DOUBLE) AS high, count(*) FILTER (starts) AS runs FROM x GROUP BY tid
+    ), q AS (SELECT tid, CAST(sum(k * k) AS DOUBLE) AS q FROM (SELECT tid, c, count(*) AS k FROM c GROUP BY tid, c) GROUP BY tid), z AS (
+        SELECT t.*, CAST(t.n AS DOUBLE) AS r, s2 * s2 * {THIRD} AS s3, q.q, y.high * 2 * (t.n - y.high) / t.n AS more, y.runs,
+               CAST(t.n * y.pair - y.sum * y.sum AS DOUBLE) AS over, CAST(t.n * y.square - y.sum * y.sum AS DOUBLE) AS under
+        FROM t JOIN y USING (tid) JOIN q USING (tid)
+    ), f AS (
+        SELECT *, CASE WHEN more * (more - 1) / (r - 1) > 0 THEN (runs - more - 1) / sqrt(more * (more - 1) / (r - 1)) END AS run_z,
+               CASE WHEN under > 0 THEN (over / under + 1.0 :: DOUBLE / (r - 1)) / (sqrt(r * (r - 3) / (r + 1)) / (r - 1)) END AS serial_z,
+               (r + r * (r - 1) * s2 - q) / sqrt(r * 2 * (r - 1) * (s2 - s2 * s2 + (r - 2) * 2 * (s3 - s2 * s2))) AS far FROM z
+    ), g AS (
+        SELECT rn, s, e, {band} AS band, CASE WHEN coalesce(abs(run_z) <= {STRAY} AND abs(serial_z) <= {STRAY} AND far > 0, false) THEN exp(-far * far / 2) / 12 + exp(-far * far * 2 / 3) / 4 ELSE 1.0 :: DOUBLE END AS p FROM f
+    ), j AS (
+        SELECT *, CASE WHEN p > 0 THEN least({MOST_STEPS}, CAST(floor(log10(p) * -10) AS INTEGER)) ELSE {MOST_STEPS} END AS step FROM g
+    ), k AS (
+        SELECT band, min(step) AS least FROM (
+            SELECT band, step, sum(count(*)) OVER (PARTITION BY band ORDER BY step DESC) AS so_far, sum(count(*)) OVER (PARTITION BY band) AS total FROM j GROUP BY band, step
+        ) WHERE pow(10, -step / 10.0 :: DOUBLE) <= {FALSE_SHARE} * so_far / total GROUP BY band
+    ), u AS (
+        SELECT rn, kind, s, e FROM b UNION ALL
+        SELECT j.rn, 3, j.s, j.e FROM j JOIN k ON j.band = k.band AND j.step >= k.least WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rn = j.rn AND b.s <= j.s AND b.e >= j.e)
+    ), o AS (
+        SELECT rn, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+               string_agg({span}, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({span}, ',' ORDER BY s, kind) AS spans FROM u GROUP BY rn
+    )
+    SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN o USING (rn)"""
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op12_secret_scan": op12_secret_scan, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE_SQL = {"op12_secret_scan": _secrets_sql(), "op13_merkle_manifest": _manifest_sql()}
