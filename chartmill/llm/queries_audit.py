@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chartmill.llm.common import read_table
+from chartmill.llm.hard_negatives import mine_hard_negatives
 from chartmill.llm.merkle import verify_manifest
 from chartmill.llm.secret_scan import ACCESS, ASSIGN, ASSIGNED, BANDS, ENCODINGS, FALSE_SHARE, FOLDED, HEX, KINDS, MOST_STEPS, STRAY, THIRD, TOKEN, scan_secrets
+from chartmill.llm.vector_topk import scaled, usable
 
 # levels that the check SQL unrolls: a million leaves a source, and 4096 sources
 SOURCE_LEVELS, TOP_LEVELS = 5, 3
@@ -124,9 +127,34 @@ def _secrets_sql() -> str:
     FROM d LEFT JOIN o USING (rn)"""
 
 
+NEGATIVES_SQL = """
+    WITH v AS (
+        SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vector
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT a.rn, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_dot_product(a.vector, c.vector) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+    ), p AS (
+        SELECT * FROM (SELECT rn, anchor_id, vec_id, score, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5
+    ), n AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.rn, p.place ORDER BY s.score DESC, s.vec_id) AS rank,
+               s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.rn = s.rn AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.select("vec_id", label.alias("label"), scaled(F.col("embedding"), 256).alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op12_secret_scan": op12_secret_scan, "op13_merkle_manifest": op13_merkle_manifest}
-ORACLE_SQL = {"op12_secret_scan": _secrets_sql(), "op13_merkle_manifest": _manifest_sql()}
+QUERIES = {"op11_hard_negatives": op11_hard_negatives, "op12_secret_scan": op12_secret_scan, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE_SQL = {"op11_hard_negatives": NEGATIVES_SQL, "op12_secret_scan": _secrets_sql(), "op13_merkle_manifest": _manifest_sql()}
