@@ -5,10 +5,20 @@ from pyspark.sql import functions as F
 from chartmill.functions import fixed, scalar as S
 from chartmill.operators import dedup as D
 from chartmill.operators import similar as X
+from chartmill.operators import weighted as W
 from chartmill.plans.catalog import query
 from chartmill.plans.sqltext import case_contains
 
 _OBS = "SELECT patient_id, obs_id, loinc AS code, value, unit, effective_at AS at, source_id, CAST(1.0 - confidence_gap AS DOUBLE) AS confidence, line_no FROM observations"
+
+
+def _matching(fields, a="a", b="b", exact="false"):
+    """The equal fields of two rows by name, ``*`` for an exact pair."""
+    same = ", ".join(f"CASE WHEN {a}.{f} IS NOT DISTINCT FROM {b}.{f} THEN '{f}' END" for f in sorted(fields))
+    return f"CASE WHEN {exact} THEN '*' ELSE concat_ws(',', {same}) END"
+
+
+_OBS_FIELDS = ["at", "code", "patient_id", "unit", "value"]
 _NEAR = "10 * abs(a.value - b.value) <= greatest(a.value, b.value) AND a.unit = b.unit"
 _TIME = "abs(epoch_us(a.at) - epoch_us(b.at)) <= 86400000000"
 
@@ -38,11 +48,14 @@ def _dup_sql(obs, lt):
 
 @query(
     "weighted_duplicates",
-    f"""WITH {_dup_sql(_OBS, 'b.obs_id < a.obs_id')} SELECT patient_id, obs_id, CASE WHEN pc IS NOT NULL THEN 'exact' WHEN pn IS NOT NULL THEN 'near' ELSE 'fuzzy' END AS kind,
-          coalesce(pc, pn, pv, pt) AS partner, CASE WHEN pc IS NOT NULL OR pn IS NOT NULL THEN 1.0 WHEN pv IS NOT NULL THEN 0.875 ELSE 0.75 END::DOUBLE AS score FROM d""",
+    f"""WITH {_dup_sql(_OBS, 'b.obs_id < a.obs_id')} SELECT d.patient_id, d.obs_id, CASE WHEN pc IS NOT NULL THEN 'exact' WHEN pn IS NOT NULL THEN 'near' ELSE 'fuzzy' END AS kind,
+          coalesce(pc, pn, pv, pt) AS partner, CASE WHEN pc IS NOT NULL OR pn IS NOT NULL THEN 1.0 WHEN pv IS NOT NULL THEN 0.875 ELSE 0.75 END::DOUBLE AS score,
+          {_matching(_OBS_FIELDS, exact='pc IS NOT NULL')} AS matching
+        FROM d JOIN o a ON a.obs_id = d.obs_id JOIN o b ON b.obs_id = coalesce(pc, pn, pv, pt)""",
 )
 def _(t):
-    return D.observation_duplicates(t.sql(_OBS), F.col("obs_id"))
+    obs = t.sql(_OBS)
+    return W.with_matching(D.observation_duplicates(obs, F.col("obs_id")), obs, "obs_id", _OBS_FIELDS)
 
 
 @query(
@@ -67,16 +80,66 @@ def _(t):
     return obs.join(dups.select("obs_id"), "obs_id", "left_anti").select("obs_id")
 
 
-for _name, _role, _id, _code, _third in [
-    ("condition_duplicates", "conditions", "condition_id", "code", "status"),
-    ("medication_duplicates", "medications", "med_id", "name", "schedule"),
+for _name, _role, _id, _code, _third, _fields in [
+    ("condition_duplicates", "conditions", "condition_id", "code", "status", ["patient_id", "name", "code", "status", "severity", "onset_text", "evidence"]),
+    ("medication_duplicates", "medications", "med_id", "name", "schedule", ["patient_id", "name", "dose", "schedule", "status", "start_date"]),
 ]:
     query(
         _name,
         f"""WITH x AS (SELECT a.{_id}, a.patient_id, a.{_code}, min(b.{_id}) FILTER (lower(a.{_third}) = lower(b.{_third})) AS pn, min(b.{_id}) AS pf FROM {_role} a JOIN {_role} b
               ON a.patient_id = b.patient_id AND a.{_code} = b.{_code} AND b.{_id} < a.{_id} GROUP BY ALL)
-            SELECT patient_id, {_code}, {_id}, CASE WHEN pn IS NOT NULL THEN 'near' ELSE 'fuzzy' END AS kind, coalesce(pn, pf) AS partner FROM x""",
-    )(lambda t, r=_role, i=_id, c=_code, h=_third: D.coded_duplicates(getattr(t, r), i, ["patient_id", c], F.lower(h), F.col(i)))
+            SELECT x.patient_id, x.{_code}, x.{_id}, CASE WHEN pn IS NOT NULL THEN 'near' ELSE 'fuzzy' END AS kind, coalesce(pn, pf) AS partner, {_matching(_fields)} AS matching
+            FROM x JOIN {_role} a ON a.{_id} = x.{_id} JOIN {_role} b ON b.{_id} = coalesce(pn, pf)""",
+    )(lambda t, r=_role, i=_id, c=_code, h=_third, f=_fields: W.with_matching(D.coded_duplicates(getattr(t, r), i, ["patient_id", c], F.lower(h), F.col(i)), getattr(t, r), i, f))
+
+
+# family and given names, birth date, and identifiers as "system|value"
+_PERSONS = """SELECT patient_id, CASE WHEN patient_id % 4 = 0 THEN 'Meyer' WHEN patient_id % 4 = 2 THEN 'MEYER' ELSE last_name END AS family, CASE patient_id % 5 WHEN 0 THEN first_name || ' J.' WHEN 1 THEN 'Maria ' || lower(first_name) ELSE first_name END AS given,
+    CASE WHEN patient_id % 11 <> 0 THEN birth_date END AS birth_date, CASE WHEN patient_id % 3 <> 0 THEN gender END AS gender,
+    CASE WHEN patient_id % 7 <> 0 THEN 'mrn|' || mrn || ',card|' || CAST(patient_id % 880 AS STRING) END AS identifiers FROM patients"""
+_PERSON_FIELDS = ["family", "given", "birth_date", "gender", "identifiers"]
+
+
+def _best_sql(rows, row_id, score, fields, exact):
+    return f"""WITH p AS ({rows}), s AS (
+            SELECT a.{row_id}, b.{row_id} AS partner, {exact} AS exact, {score} AS score, {_matching(fields)} AS matching FROM p a JOIN p b ON b.{row_id} < a.{row_id}
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY {row_id} ORDER BY exact DESC, score DESC, partner) AS place FROM s WHERE exact OR score >= 0.7)
+        SELECT {row_id}, partner, CASE WHEN exact THEN 'exact' WHEN score >= 0.9 THEN 'near' ELSE 'fuzzy' END AS kind, CASE WHEN exact THEN 1.0 ELSE score END::DOUBLE AS score,
+               CASE WHEN exact THEN '*' ELSE matching END AS matching FROM r WHERE place = 1"""
+
+
+def _all_equal(fields):
+    return " AND ".join(f"a.{f} IS NOT DISTINCT FROM b.{f}" for f in fields)
+
+
+@query(
+    "patient_similarity",
+    _best_sql(
+        _PERSONS, "patient_id",
+        """(CASE WHEN lower(a.family) = lower(b.family) AND list_has_any(string_split(lower(a.given), ' '), string_split(lower(b.given), ' ')) THEN 2 ELSE 0 END
+            + CASE WHEN a.birth_date = b.birth_date THEN 2 ELSE 0 END
+            + CASE WHEN list_has_any(string_split(a.identifiers, ','), string_split(b.identifiers, ',')) THEN 1 ELSE 0 END) / 5.0::DOUBLE""",
+        _PERSON_FIELDS, _all_equal(_PERSON_FIELDS),
+    ),
+)
+def _(t):
+    names = F.transform(F.split(F.lower("given"), " "), lambda g: F.concat(F.lower("family"), F.lit("|"), g))
+    none = F.array().cast("array<string>")
+    factors = [W.Factor("name", 2, F.coalesce(names, none)), W.equal("birth_date", 2, "birth_date"), W.Factor("identifier", 1, F.coalesce(F.split("identifiers", ","), none))]
+    return W.best_partner(t.sql(_PERSONS), "patient_id", factors, _PERSON_FIELDS)
+
+
+_VISITS = "SELECT encounter_id, patient_id, status, enc_class, type_text, date_text, reason FROM encounters"
+_VISIT_FIELDS = ["patient_id", "status", "enc_class", "type_text", "date_text", "reason"]
+
+
+@query(
+    "generic_similarity",
+    _best_sql(_VISITS, "encounter_id", "(" + " + ".join(f"CASE WHEN a.{f} IS NOT DISTINCT FROM b.{f} THEN 1 ELSE 0 END" for f in _VISIT_FIELDS) + ") / 6.0::DOUBLE", _VISIT_FIELDS, _all_equal(_VISIT_FIELDS)),
+)
+def _(t):
+    factors = [W.equal(f, 1, f, null_equals_null=True) for f in _VISIT_FIELDS]
+    return W.best_partner(t.sql(_VISITS), "encounter_id", factors, _VISIT_FIELDS)
 
 
 @query(

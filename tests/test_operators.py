@@ -16,6 +16,7 @@ from chartmill.operators import link as L
 from chartmill.operators import merge as G
 from chartmill.operators import similar as X
 from chartmill.operators import text as T
+from chartmill.operators import weighted as W
 
 
 def ratio(a, b):
@@ -245,3 +246,33 @@ def test_merge_actions_keep_types_apart(spark):
     rows = spark.createDataFrame([pair("Observation", new_value=1.0, old_value=9.0), pair("MedicationStatement", new_status="a", old_status="a")], columns)
     got = {r["resource_type"]: (r["merge_action"], r["conflicts"]) for r in G.merge_actions(rows, "row_id").collect()}
     assert got == {"Observation": ("added_as_sequence", 1), "MedicationStatement": ("added", 0)}
+
+
+def test_best_partner_against_all_pairs(spark):
+    rng = random.Random(4)
+    # a hot group of copies, near copies, missing values, several tokens
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["x y", "y z", "z", ""]), rng.choice([1, 2, None]), rng.choice(["1:", "11", ":"])) for k in range(150)] + [(200 + k, "a", "x y", 1, "11") for k in range(60)]
+    frame = spark.createDataFrame(rows, "id int, family string, given string, born int, card string")
+    tokens = F.filter(F.transform(F.split("given", " "), lambda g: F.concat("family", F.lit("|"), g)), lambda x: x.isNotNull())
+    factors = [W.Factor("name", 2, tokens), W.equal("born", 2, "born"), W.equal("card", 1, "card", null_equals_null=True)]
+    fields = ["family", "given", "born", "card"]
+
+    def score(a, b):
+        name = a[1] is not None and a[1] == b[1] and set(a[2].split(" ")) & set(b[2].split(" "))
+        return (2 * bool(name) + 2 * (a[3] is not None and a[3] == b[3]) + (a[4] == b[4])) / 5
+
+    want = []
+    for a in rows:
+        earlier = sorted((a[1:] != b[1:], -score(a, b), b[0], b) for b in rows if b[0] < a[0] and (a[1:] == b[1:] or score(a, b) >= 0.7))
+        if earlier:
+            other, s, i, b = earlier[0]
+            same = ",".join(sorted(f for f, x, y in zip(fields, a[1:], b[1:]) if x == y))
+            want.append((a[0], i, "exact" if not other else "near" if -s >= 0.9 else "fuzzy", -s if other else 1.0, same if other else "*"))
+    assert sorted(tuple(r) for r in W.best_partner(frame, "id", factors, fields).collect()) == sorted(want)
+    assert len({w[2] for w in want}) == 3
+
+
+def test_too_many_signatures_are_refused():
+    assert [w for _, w in W.signatures([W.Factor("a", 3, None), W.Factor("b", 2, None), W.Factor("c", 1, None)], 0.7)] == [6, 5]
+    with pytest.raises(ValueError):
+        W.signatures([W.Factor(str(k), 1, None) for k in range(12)], 0.5)
