@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chartmill.llm import pieces as P
 from chartmill.llm.common import slices, text_of, tokenizer_path, with_python
@@ -253,9 +254,46 @@ def piece_bytes(pieces: P.Pieces) -> list[bytes]:
     return [value.get(i, p.replace(P.MARK, " ").encode() if p in pieces.ids else b"") for i, p in enumerate(pieces.text)]
 
 
-def decoded(ids: list[int], spelling: list[bytes]) -> str:
-    text = b"".join(map(spelling.__getitem__, ids))
-    return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+class Decoder:
+    """Decodes the id lists of many texts by one lookup in a table of spellings.
+
+    The bytes of all tokens in a row are the texts in a row, so a text begins
+    where its first token does. A first token is looked up without its leading
+    blank. Only texts with byte pieces can be other than UTF-8.
+    """
+
+    def __init__(self, pieces: P.Pieces):
+        spelling = piece_bytes(pieces)
+        self.size = len(spelling)
+        # each piece, and behind them each piece as the first of a text
+        self.spelling = pa.array(spelling + [s.removeprefix(b" ") for s in spelling], pa.binary())
+        self.silent = np.array([not s for s in spelling])
+        self.raw = np.zeros(self.size, dtype=bool)
+        self.raw[list(pieces.byte.values())] = True
+
+    def decode(self, ids: pa.ListArray) -> pa.StringArray:
+        """The texts of ``ids``, null lists as empty ones."""
+        offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        # control ids stand for nothing, so the token behind them may be the first
+        said = ~self.silent[flat]
+        if not said.all():
+            offsets = np.append(0, np.cumsum(said))[offsets]
+            flat = flat[said]
+        looked = flat.copy()
+        first = offsets[:-1][np.diff(offsets) > 0]
+        looked[first] += self.size
+        found = self.spelling.take(pa.array(looked))
+        starts = np.frombuffer(found.buffers()[1], dtype=np.int32)[:len(found) + 1][offsets] if len(found) else np.zeros(len(offsets), dtype=np.int32)
+        data = found.buffers()[2] if len(found) else pa.py_buffer(b"")
+        texts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts, dtype=np.int32)), data])
+        doubtful = np.flatnonzero(np.diff(np.append(0, np.cumsum(self.raw[flat]))[offsets]))
+        if len(doubtful):
+            mended = [texts[k].as_py().decode("utf-8", "replace").encode() for k in doubtful.tolist()]
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[doubtful] = True
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(mended, pa.binary()))
+        return pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
@@ -276,10 +314,6 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.
         yield batch, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat)), pa.array(n)
 
 
-def _decoded(ids: pa.Array, spelling: list[bytes]) -> list[str]:
-    return [decoded(row or [], spelling) for start in range(0, len(ids), 256) for row in ids.slice(start, 256).to_pylist()]
-
-
 def encode_texts(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFrame:
     """Ids of each whole text: ``doc_id, ids, n_tokens``.
 
@@ -309,11 +343,11 @@ def decode_ids(encoded: DataFrame, tokenizer_folder: str | None = None) -> DataF
     path = tokenizer_path("piece_bpe_32k.model", tokenizer_folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = piece_bytes(P.load(path))
+        decoder = Decoder(P.load(path))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_decoded(part.column(1), spelling), pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), decoder.decode(part.column(1))], ["doc_id", "text"])
 
     return with_python(encoded).select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, text string")
 
@@ -329,12 +363,11 @@ def round_trips(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFra
     path = tokenizer_path("piece_bpe_32k.model", tokenizer_folder)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = piece_bytes(P.load(path))
+        decoder = Decoder(P.load(path))
         for batch, ids, n in _encoded(batches, path):
-            texts = _decoded(ids, spelling)
-            digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            same = [t == text for t, text in zip(texts, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, ids, pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
+            texts = decoder.decode(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, ids, texts, pc.equal(texts, batch.column(1))], ["doc_id", "n_tokens", "ids", "decoded", "round_trip"])
 
     source = with_python(docs).select("doc_id", text_of().alias("text"))
-    return source.mapInArrow(both, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean")
+    out = source.mapInArrow(both, "doc_id bigint, n_tokens bigint, ids array<int>, decoded string, round_trip boolean")
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
