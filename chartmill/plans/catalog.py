@@ -46,6 +46,7 @@ def load_all() -> tuple[dict, dict]:
         queries_text,
         queries_convert,
         queries_report,
+        queries_capture,
         queries_stream,
     )
 
