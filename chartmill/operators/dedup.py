@@ -177,6 +177,16 @@ def first_by_any_key(rows: DataFrame, row_id: str, key_sets: Sequence[Sequence[s
     return out.filter(~beaten).select(*rows.columns)
 
 
+def newest_equivalent(rows: DataFrame) -> DataFrame:
+    """Of a patient's resources with equal type, code and content the newest, then the one of the latest source and id.
+
+    The rows collapse before the shuffle, so a hot patient is no task of its own.
+    """
+    keys = ["patient_id", "resource_type", "code", "body"]
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.max_by(row, F.struct("updated_at", "source_id", "resource_id")).alias("__r")).select("__r.*")
+
+
 def equivalent_patients(rows: DataFrame) -> DataFrame:
     """First patient of each identity: equal record numbers when both have one, else name and birth date."""
     by_mrn = rows.filter("mrn IS NOT NULL").groupBy("mrn").agg(F.min("patient_id").alias("__m"))
