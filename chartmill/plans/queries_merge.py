@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import scalar as S
+from chartmill.operators import decisions as DC
 from chartmill.operators import merge as G
 from chartmill.plans.catalog import query
 from chartmill.plans.sqltext import case_map, half, pct
@@ -309,6 +310,84 @@ def _(t):
     return G.decision_audit(t.patients.select("patient_id", "last_name", "phone"), t.sql(_DEC), ["last_name", "phone"])
 
 
+# several decisions of one field, by different reviewers
+_REVIEWS = """SELECT change_id AS decision_id, created_at AS decided_at, patient_id % 60 AS patient_id,
+        CASE change_id % 5 WHEN 0 THEN 'phone' WHEN 1 THEN 'date_of_birth' WHEN 2 THEN 'mrn' WHEN 3 THEN 'last_name' ELSE 'shoe_size' END AS field_name,
+        CASE change_id % 4 WHEN 0 THEN 'use_extracted' WHEN 1 THEN 'manual_edit' WHEN 2 THEN 'use_extracted' ELSE CASE WHEN change_id % 3 = 0 THEN 'pending' ELSE 'keep_existing' END END AS resolution,
+        CASE WHEN change_id % 17 = 0 THEN ' ' WHEN change_id % 5 = 0 THEN CASE WHEN change_id % 7 = 0 THEN '555' ELSE '(555) 010-' || CAST(1000 + change_id % 9000 AS STRING) END
+             WHEN change_id % 5 = 1 THEN CASE WHEN change_id % 7 = 0 THEN 'soon' ELSE CAST(1 + change_id % 12 AS STRING) || '/' || CAST(1 + change_id % 28 AS STRING) || '/1970' END
+             WHEN change_id % 5 = 2 THEN CASE WHEN change_id % 7 = 0 THEN 'MRN' || CAST(100000 + change_id % 60 AS STRING) ELSE 'NEW' || CAST(change_id AS STRING) END
+             ELSE 'Name' || CAST(change_id AS STRING) END AS new_value, confidence
+    FROM field_audit"""
+_FIELDS = ["last_name", "phone", "mrn", "date_of_birth"]
+_VALUES = "SELECT patient_id, last_name, phone, mrn, CAST(birth_date AS STRING) AS date_of_birth FROM patients"
+_FIELD_CTE = f"v AS ({_VALUES}), f AS (" + " UNION ALL ".join(f"SELECT patient_id, '{x}' AS field_name, {x} AS value FROM v" for x in _FIELDS) + f"), r AS ({_REVIEWS})"
+_CHECKED = f"""{_FIELD_CTE}, k AS (
+    SELECT r.*, CASE WHEN coalesce(trim(new_value) = '', true) THEN 'missing' WHEN r.field_name = 'shoe_size' THEN 'unknown field'
+        WHEN r.field_name = 'date_of_birth' AND try_strptime(new_value, '%m/%d/%Y') IS NULL THEN 'invalid' WHEN r.field_name = 'phone' AND length(regexp_replace(new_value, '[^0-9]', '', 'g')) NOT IN (10, 11) THEN 'invalid'
+        WHEN r.field_name = 'mrn' AND EXISTS (SELECT 1 FROM f WHERE f.field_name = 'mrn' AND f.value = r.new_value AND f.patient_id <> r.patient_id) THEN 'taken' END AS error
+    FROM r WHERE resolution IN ('use_extracted', 'manual_edit'))"""
+_LOG = f"""{_CHECKED}, l AS (
+    SELECT k.decision_id, k.patient_id, k.field_name, row_number() OVER w AS version, CASE WHEN row_number() OVER w = 1 THEN f.value ELSE lag(k.new_value) OVER w END AS before, k.new_value AS after
+    FROM k LEFT JOIN f USING (patient_id, field_name) WHERE error IS NULL WINDOW w AS (PARTITION BY k.patient_id, k.field_name ORDER BY decided_at, decision_id)
+), u AS (
+    SELECT l.*, CASE WHEN decision_id % 2 = 0 THEN CASE WHEN version > coalesce(max(version) FILTER (decision_id % 2 <> 0) OVER (PARTITION BY patient_id, field_name), 0) THEN 'undone' ELSE 'blocked' END END AS outcome FROM l)"""
+
+
+def _decisions(t):
+    fields = DC.as_fields(t.sql(_VALUES), _FIELDS)
+    return fields, t.sql(_REVIEWS)
+
+
+def _log(t):
+    fields, reviews = _decisions(t)
+    checked = DC.check_batch(fields, reviews, _FIELDS)
+    return fields, DC.undo_log(fields, checked.filter("error IS NULL"))
+
+
+@query(
+    "decision_preview",
+    f"WITH {_FIELD_CTE} SELECT r.patient_id, decision_id, field_name, coalesce(f.value, '') AS current_value, new_value, resolution FROM r LEFT JOIN f USING (patient_id, field_name) WHERE resolution IN ('use_extracted', 'manual_edit')",
+)
+def _(t):
+    return DC.preview(*_decisions(t))
+
+
+@query(
+    "decision_preview_summary",
+    f"""WITH r AS ({_REVIEWS}) SELECT patient_id, bool_or(resolution IN ('use_extracted', 'manual_edit')) AS has_changes, count(*) FILTER (resolution IN ('use_extracted', 'manual_edit')) AS total_changes,
+        count(*) FILTER (resolution = 'use_extracted' AND confidence >= 0.8) AS high_confidence_changes, count(*) FILTER (resolution = 'manual_edit') AS manual_edits FROM r GROUP BY 1""",
+)
+def _(t):
+    return DC.preview_summary(t.sql(_REVIEWS))
+
+
+@query("decision_batch", f"WITH {_CHECKED} SELECT decision_id, patient_id, field_name, error FROM k")
+def _(t):
+    return DC.check_batch(*_decisions(t), _FIELDS).select("decision_id", "patient_id", "field_name", "error")
+
+
+@query("decision_log", f"WITH {_LOG} SELECT decision_id, patient_id, field_name, version, before, after FROM l")
+def _(t):
+    return _log(t)[1].select("decision_id", "patient_id", "field_name", F.col("version").cast("bigint").alias("version"), "before", "after")
+
+
+@query(
+    "decision_rollback",
+    f"""WITH {_LOG}, s AS (SELECT patient_id, field_name, arg_max(after, version) AS after FROM u WHERE outcome IS DISTINCT FROM 'undone' GROUP BY ALL)
+        SELECT patient_id, field_name, coalesce(s.after, f.value) AS value FROM f FULL JOIN s USING (patient_id, field_name)""",
+)
+def _(t):
+    fields, log = _log(t)
+    return DC.current_values(fields, DC.roll_back(log, log.filter("decision_id % 2 = 0")))
+
+
+@query("decision_rollback_outcome", f"WITH {_LOG} SELECT decision_id, outcome FROM u WHERE outcome IS NOT NULL")
+def _(t):
+    _, log = _log(t)
+    return DC.roll_back(log, log.filter("decision_id % 2 = 0")).filter("outcome IS NOT NULL").select("decision_id", "outcome")
+
+
 @query("pending_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def _(t):
     return G.pending_documents(t.documents, t.labels.filter("quality = 1").select("doc_id")).select("doc_id")
