@@ -70,17 +70,18 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, without the copies that ``exact_groups`` drops.
 
-    Of repeated rows (same id, same text) one stays, whatever their other columns.
+    Of repeated rows (same id, same text) one stays, whatever their other
+    columns. Null and empty texts are copies of one another. Columns may have
+    any names: a row travels as one value. No rows give no rows.
     """
     groups = exact_groups(docs)
     marks = write_table(
-        groups.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_times")).filter("NOT _kept OR _times > 1"), "exact-dedup-marks"
+        groups.groupBy(F.col("doc_id").alias("marked_id"), F.col("text_sha256").alias("marked_sha")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("times")).filter("NOT kept OR times > 1"), "exact-dedup-marks"
     )
-    sha = F.sha2(normalized(text_of()), 256)
-    marked = docs.withColumn("_sha", sha).alias("d").join(
-        marks.alias("m").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._sha") == F.col("m.text_sha256")), "left"
-    ).select("d.*", "m._kept", "m._times").filter("_kept IS NULL OR _kept")
-    if marks.filter("_kept").isEmpty():
-        return marked.select(*docs.columns)
-    once = marked.filter("_times IS NULL")
-    return once.unionByName(marked.filter("_times IS NOT NULL").dropDuplicates(["doc_id", "_sha"])).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.sha2(normalized(text_of()), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("marked_id")) & (F.col("sha") == F.col("marked_sha"))
+    marked = rows.join(marks.hint("merge"), same, "left").filter("kept IS NULL OR kept")
+    if marks.filter("kept").isEmpty():
+        return marked.select("row.*")
+    once = marked.filter("times IS NULL")
+    return once.unionByName(marked.filter("times IS NOT NULL").dropDuplicates(["id", "sha"])).select("row.*")

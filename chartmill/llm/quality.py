@@ -165,16 +165,15 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOL
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not reject."""
+    """The rows of ``docs``, with all their columns, that the model does not reject.
+
+    A score equal to the threshold stays. Null and empty texts are scored like
+    any other; repeated rows stay or go together. Columns may have any names:
+    a row travels as one value. A model without rules rejects nothing.
+    """
     if not model.weighted:
-        # nothing learnt rejects nothing
         return docs
-    columns = docs.columns
-    own = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id"), F.col("text"))
-    scored = statistics_beside(own)
-    return scored.filter(model.score() >= threshold).select("_row.*")
-
-
-def statistics_beside(rows: DataFrame) -> DataFrame:
-    """``_row`` and the statistics of ``text``."""
-    return statistics(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    own = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    scored = statistics(own).select(F.col("doc_id").alias("row"), model.score().alias("score"))
+    # a filter on the score would be pushed down with the statistics spelt out again for every rule
+    return scored.select(F.inline(F.when(F.col("score") >= threshold, F.array("row"))))
