@@ -2,42 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions.udfs import seq_ratio
 from chartmill.session import cut_lineage
 
 
-def _prefixes(texts: DataFrame, block: list[str], text: str, threshold: float) -> DataFrame:
-    """Rarest characters of each text, enough that any two texts whose ratio
-    reaches ``threshold`` share at least one of them (prefix filter).
+def shared_bigrams(len_a: Column, len_b: Column, threshold: float) -> Column:
+    """Pairs of neighbouring letters that two texts of these lengths must share, in place but for few letters, to reach a ratio.
 
-    A ratio above t needs a character overlap above t/2 of both lengths
-    together, hence above t/(2-t) of either length.
+    A ratio of ``threshold`` leaves at most ``(1 - threshold)`` of all letters
+    unmatched. An unmatched letter breaks two pairs of its own text and one of
+    the other. 0 or less promises nothing.
     """
+    total = len_a + len_b
+    free = F.floor(total * (1 - threshold) + 1e-9)
+    # both texts have the same number of matched letters
+    free = free - (total - free) % 2
+    matched = F.least((total - free) / 2, len_a, len_b)
+    left, right = len_a - matched, len_b - matched
+    return F.greatest(len_a - 1 - left * 2 - right, len_b - 1 - right * 2 - left)
+
+
+def _bigram_pairs(texts: DataFrame, block: list[str], text: str, threshold: float) -> DataFrame:
+    """Candidates among texts whose lengths promise a shared bigram.
+
+    Of each text the rarest bigrams are indexed, as many as it takes for two
+    texts with the promised number in common to meet in one of them. They meet
+    only where the bigram stands at about the same place: matched letters
+    shift by as many letters as are unmatched.
+    """
+    n = F.length(text)
+    # partners can be as short or long as the ratio allows
+    partners = F.sequence(F.greatest(F.lit(1), F.ceil(n * (threshold / (2 - threshold)) - 1e-9)), F.floor(n * ((2 - threshold) / threshold) + 1e-9))
+    promised = F.filter(F.transform(partners, lambda m: shared_bigrams(n.cast("double"), m.cast("double"), threshold)), lambda x: x >= 1)
+    bigrams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.substring(F.col(text), i, 2).alias("gram"), i.alias("at")))
+    usable = texts.filter(n >= 2).select(*block, text, n.alias("len"), F.array_min(promised).alias("least"), F.inline(bigrams)).filter("least IS NOT NULL")
+    rarity = usable.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = usable.join(rarity, "gram").groupBy(*block, text, "len", "least").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "at"))).alias("grams"))  # one text's own bigrams
+    kept = F.slice("grams", 1, F.greatest(F.col("len") - F.col("least"), F.lit(1)).cast("int"))
+    index = ranked.select(*block, text, "len", F.inline(F.transform(kept, lambda g: F.struct(g["gram"].alias("gram"), g["at"].alias("at")))))
+    a = index.select(*block, "gram", F.col(text).alias("text_a"), F.col("len").alias("len_a"), F.col("at").alias("at_a"))
+    b = index.select(*block, "gram", F.col(text).alias("text_b"), F.col("len").alias("len_b"), F.col("at").alias("at_b"))
+    # unmatched letters of the longer text: no matched letter shifts further
+    total = F.col("len_a") + F.col("len_b")
+    shift = F.greatest("len_a", "len_b") - total * (threshold / 2)
+    near = F.abs(F.col("at_a") - F.col("at_b")) <= shift + 1e-9
+    return a.join(b, [*block, "gram"]).filter((F.col("text_a") < F.col("text_b")) & near).select(*block, "text_a", "text_b", "len_a", "len_b").distinct()
+
+
+def _letter_pairs(texts: DataFrame, block: list[str], text: str, threshold: float) -> DataFrame:
+    """Candidates among texts of lengths that promise no shared bigram, which are short, by their rarest letters.
+
+    A ratio above t needs common letters for t/2 of both lengths together,
+    hence for t/(2-t) of either one.
+    """
+    n = F.length(text)
+    partners = F.sequence(F.greatest(F.lit(1), F.ceil(n * (threshold / (2 - threshold)) - 1e-9)), F.floor(n * ((2 - threshold) / threshold) + 1e-9))
+    short = texts.filter(F.exists(partners, lambda m: shared_bigrams(n.cast("double"), m.cast("double"), threshold) < 1))
     chars = F.filter(F.split(F.col(text), ""), lambda c: c != "")
     runs = F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda x: x == c)).alias("n")))
     tokens = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda i: F.concat(r["c"], i.cast("string")))))
-    exploded = texts.select(*block, text, F.length(text).alias("len"), F.explode(tokens).alias("token"))
+    exploded = short.select(*block, text, n.alias("len"), F.explode(tokens).alias("token"))
     rarity = exploded.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = exploded.join(F.broadcast(rarity), "token")  # alphabet times repetition: thousands of rows at most
-    ordered = ranked.groupBy(*block, text, "len").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))  # one text's own characters
+    ordered = exploded.join(rarity, "token").groupBy(*block, text, "len").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))  # one text's own letters
     keep = (F.col("len") - F.ceil(F.col("len") * (threshold / (2 - threshold)) - 1e-9) + 1).cast("int")
-    return ordered.select(*block, text, "len", F.explode(F.slice("ts", 1, F.greatest(keep, F.lit(1)))).alias("t")).select(
-        *block, text, "len", F.col("t.token").alias("token")
-    )
+    p = ordered.select(*block, text, "len", F.explode(F.slice("ts", 1, F.greatest(keep, F.lit(1)))).alias("t"))
+    a = p.select(*block, F.col("t.token").alias("token"), F.col(text).alias("text_a"), F.col("len").alias("len_a"))
+    b = p.select(*block, F.col("t.token").alias("token"), F.col(text).alias("text_b"), F.col("len").alias("len_b"))
+    unpromised = shared_bigrams(F.col("len_a").cast("double"), F.col("len_b").cast("double"), threshold) < 1
+    return a.join(b, [*block, "token"]).filter((F.col("text_a") < F.col("text_b")) & unpromised).select(*block, "text_a", "text_b", "len_a", "len_b").distinct()
+
+
+def candidates(texts: DataFrame, block: list[str], text: str, threshold: float) -> DataFrame:
+    """Pairs of distinct texts of a block that may reach the ratio: ``text_a < text_b``."""
+    distinct = texts.select(*block, text).filter(F.length(text) > 0).distinct()
+    pairs = _bigram_pairs(distinct, block, text, threshold).unionByName(_letter_pairs(distinct, block, text, threshold))
+    feasible = F.least("len_a", "len_b") * 2 >= (F.col("len_a") + F.col("len_b")) * threshold - 1e-9
+    return pairs.filter(feasible).select(*block, "text_a", "text_b").distinct()
 
 
 def similar_texts(texts: DataFrame, block: list[str], text: str, threshold: float, strict: bool = True) -> DataFrame:
     """Ordered pairs ``(text_a < text_b)`` of distinct texts of a block with ratio above ``threshold``."""
-    distinct = texts.select(*block, text).filter(F.length(text) > 0).distinct()
-    p = _prefixes(distinct, block, text, threshold)
-    a = p.select(*block, "token", F.col(text).alias("text_a"), F.col("len").alias("len_a"))
-    b = p.select(*block, "token", F.col(text).alias("text_b"), F.col("len").alias("len_b"))
-    short, total = F.least("len_a", "len_b"), F.col("len_a") + F.col("len_b")
-    pairs = a.join(b, [*block, "token"]).filter((F.col("text_a") < F.col("text_b")) & (short * 2 >= total * threshold))
-    pairs = pairs.select(*block, "text_a", "text_b").distinct().withColumn("ratio", seq_ratio("text_a", "text_b"))
+    pairs = candidates(texts, block, text, threshold).withColumn("ratio", seq_ratio("text_a", "text_b"))
     return pairs.filter(F.col("ratio") > threshold if strict else F.col("ratio") >= threshold)
 
 
@@ -123,13 +171,16 @@ EXAMPLE_CODES = {
 KNOWN_MAPPINGS = [
     ("2093-3", "LOINC", "CHOL", "LOCAL", 1.0, "exact"), ("E11.9", "ICD-10-CM", "44054006", "SNOMED", 0.95, "equivalent"),
 ]
+MAPPING = "code string, system string, target_code string, target_system string, confidence double, kind string"
 
 
-def equivalent_codes(codes: DataFrame, per_system: int = 3, threshold: float = 0.8) -> DataFrame:
+def equivalent_codes(codes: DataFrame, mappings: DataFrame | None = None, per_system: int = 3, threshold: float = 0.8) -> DataFrame:
     """Equivalents of ``(code, system)`` in other systems.
 
-    A known mapping wins; other codes get the most similar example codes of each
-    other system above ``threshold``, with confidence 0.7 of the similarity.
+    ``mappings`` is a table as ``MAPPING``, the known ones by default. What it
+    maps wins, systems in either case; other codes get the most similar example
+    codes of each other system above ``threshold``, with confidence 0.7 of the
+    similarity. The examples are a fixed list.
     """
     from chartmill.operators.ordered import top_rows
 
@@ -139,13 +190,14 @@ def equivalent_codes(codes: DataFrame, per_system: int = 3, threshold: float = 0
     def plain(column):
         return F.lower(F.regexp_replace(column, r"[^\w]", ""))
 
-    distinct = codes.select("code", "system").distinct()
-    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("from_code", "from_system", "target_code", "target_system", "confidence", "kind"), m)]) for m in KNOWN_MAPPINGS])
-    hits = F.filter(known, lambda m: (m["from_code"] == F.col("code")) & (F.upper(m["from_system"]) == F.upper(F.col("system"))))
-    rows = distinct.withColumn("__hits", hits)
-    exact = rows.select("code", "system", F.inline("__hits")).drop("from_code", "from_system")
+    if mappings is None:
+        mappings = codes.sparkSession.createDataFrame(KNOWN_MAPPINGS, MAPPING)
+    known = mappings.select("code", F.upper("system").alias("__system"), "target_code", "target_system", "confidence", "kind")
+    distinct = codes.select("code", "system").distinct().withColumn("__system", F.upper("system"))
+    exact = distinct.join(known, ["code", "__system"]).select("code", "system", "target_code", "target_system", "confidence", "kind")
+    rest = distinct.join(known.select("code", "__system").distinct(), ["code", "__system"], "left_anti")
     examples = F.array(*[F.struct(F.lit(c).alias("target_code"), F.lit(s).alias("target_system")) for s, cs in EXAMPLE_CODES.items() for c in cs])
-    offers = rows.filter(F.size("__hits") == 0).select("code", "system", F.inline(examples)).filter(F.upper("target_system") != F.upper("system"))
+    offers = rest.select("code", "system", F.inline(examples)).filter(F.upper("target_system") != F.upper("system"))
     ratio = seq_ratio(plain(F.col("code")), plain(F.col("target_code"))) * 0.7
     same = F.when(shape(F.col("code")) == shape(F.col("target_code")), 1.0).otherwise(seq_ratio(shape(F.col("code")), shape(F.col("target_code"))))
     scored = offers.withColumn("score", ratio + same * 0.3).filter(F.col("score") > threshold)

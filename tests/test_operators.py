@@ -83,6 +83,31 @@ def test_similar_and_equivalent_codes(spark):
     assert any(r["code"] == "E11.8" and r["target_code"] == "E11.9" and r["kind"] == "related" for r in eq)
 
 
+@pytest.mark.parametrize("threshold", [(0.8 - 0.3) / 0.7, 0.6, 0.85])
+def test_bigram_index_loses_no_pair(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    stems = ["".join(rng.choice("0123456789e") for _ in range(rng.randrange(3, 13))) for _ in range(120)]
+    codes = {"a", "ab", "aab", "aaaaaaaaaa", "aaaaaaaaab", "abababab", "babababa"}
+    for stem in stems:
+        for _ in range(4):
+            k = rng.randrange(len(stem) + 1)
+            codes.add(rng.choice([stem, stem[:k] + rng.choice("0e") + stem[k:], stem[:k] + stem[k + 1:], stem[::-1], stem[:k] + "9" + stem[k + 1:]]))
+    codes = sorted(c for c in codes if c)
+    want = {(a, b) for i, a in enumerate(codes) for b in codes[i + 1:] if SequenceMatcher(None, a, b).ratio() >= threshold - 1e-9}
+    met = {(r.text_a, r.text_b) for r in X.candidates(spark.createDataFrame([(c,) for c in codes], "c string"), [], "c", threshold - 1e-9).collect()}
+    assert want <= met and len(want) > 100
+    if threshold > 0.8:
+        assert len(met) < len(codes) ** 2 / 2 / 20
+
+
+def test_mapping_table_wins(spark):
+    codes = spark.createDataFrame([("2093-3", "loinc"), ("X1", "LOCAL"), ("E11.8", "OTHER")], "code string, system string")
+    table = spark.createDataFrame([("X1", "local", "Y1", "ICD-10", 0.5, "exact"), ("X1", "LOCAL", "Z1", "CPT", 0.4, "equivalent")], X.MAPPING)
+    got = {(r.code, r.target_code, r.kind) for r in X.equivalent_codes(codes, table).collect()}
+    assert {g for g in got if g[0] == "X1"} == {("X1", "Y1", "exact"), ("X1", "Z1", "equivalent")}
+    assert ("2093-3", "CHOL", "exact") not in got and ("E11.8", "E11.9", "related") in got
+
+
 def test_chunks_cover_and_respect_size(spark):
     text = " ".join(f"Sentence number {i} by Dr. Who about mg. doses." for i in range(200))
     df = spark.createDataFrame([(1, text), (2, "short. text")], "doc_id bigint, text string")
