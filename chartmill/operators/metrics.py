@@ -246,6 +246,43 @@ def component_health(errors: DataFrame) -> DataFrame:
     )
 
 
+def error_window(errors: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Counts of the errors of the last ``hours`` before ``now`` in long form, with their number and rate an hour.
+
+    Besides the dimensions of ``error_summary``: ``total``, and ``critical``
+    for the errors a report lists one by one (``critical_errors``).
+    """
+    recent = errors.filter(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours)))
+    counts = error_summary(recent)
+    critical = S.error_severity(F.col("error_type")) == "critical"
+    totals = recent.agg(F.count("*").alias("total"), F.count_if(critical).alias("critical"))
+    lines = totals.select(F.inline(F.array(*[F.struct(F.lit(n).alias("dimension"), F.lit("all").alias("member"), F.col(n).alias("n")) for n in ("total", "critical")])))
+    return counts.unionByName(lines).withColumn("per_hour", S.half_up(F.col("n") / F.lit(float(max(hours, 1))), 4))
+
+
+def critical_errors(errors: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Critical errors of the last ``hours`` before ``now``."""
+    critical = S.error_severity(F.col("error_type")) == "critical"
+    return errors.filter(critical & (F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours)))).select("error_id", "ts", "error_type", "message", "component")
+
+
+def component_health_since(errors: DataFrame, resets: DataFrame) -> DataFrame:
+    """Worst state of each component since it was reset last: ``component, health, last_check, reset_at``.
+
+    ``resets`` is ``(component, reset_at)``, any number per component. An error
+    at the time of the reset is forgotten. A component without errors since
+    then is healthy and was checked at its reset; one never reset is judged by
+    the whole log.
+    """
+    last = resets.groupBy("component").agg(F.max("reset_at").alias("reset_at"))
+    severity = S.error_severity(F.col("error_type"))
+    level = F.when(severity == "critical", 2).when(severity == "error", 1).otherwise(0)
+    seen = errors.join(last, "component", "left").filter("reset_at IS NULL OR ts > reset_at")
+    worst = seen.groupBy("component").agg(F.max(level).alias("worst"), F.max("ts").alias("seen"))
+    out = worst.join(last, "component", "full")
+    return out.select("component", F.when(F.col("worst") == 2, "critical").when(F.col("worst") == 1, "degraded").otherwise("healthy").alias("health"), F.coalesce("seen", "reset_at").alias("last_check"), "reset_at")
+
+
 def operation_alerts(ops: DataFrame) -> DataFrame:
     """Alert texts per operation beyond the configured limits."""
     per = F.when(F.col("resources") > 0, F.col("db_queries") / F.col("resources"))

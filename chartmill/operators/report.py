@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import fixed, scalar as S
-from chartmill.operators.ordered import top_rows
+from chartmill.operators.ordered import numbered, top_rows
 
 
 def best_date(resource_type: Column, dates: dict[str, Column]) -> Column:
@@ -164,6 +164,54 @@ def comprehensive_report(rows: DataFrame, obs: DataFrame, encounters: DataFrame,
     return body.join(kinds, "patient_id", "left").join(visits, "patient_id", "left")
 
 
+# fixed values: the sections of the full report
+SECTIONS = [
+    "conditions", "procedures", "medications", "observations", "encounters", "allergies", "care_plans", "service_requests", "diagnostic_reports", "immunizations", "family_history",
+    "practitioners", "organizations",
+]
+PAGE_ITEMS = 500
+
+
+def all_report_rows(rows: DataFrame, converted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of every section: those of the typed tables, and those of converted documents under their patient.
+
+    ``documents`` is ``(doc_id, patient_id)``.
+    """
+    own = converted.join(documents.select("doc_id", "patient_id"), "doc_id")
+    return rows.unionByName(own.select("patient_id", "section", F.col("doc_id").cast("string").alias("item_id"), "title", "status", "detail", "day"))
+
+
+def full_report(patients: DataFrame, rows: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """The whole report of each patient as nested rows: ``patient_id, page, pages, status, patient, total_resources, sections``.
+
+    Every section has all its items, newest first, and its totals. A row holds
+    up to ``page_items`` of each section; a patient with more has further
+    pages, so no row grows with a record. Sections without items are there,
+    empty, on the first page; a patient without any has status ``no_data``.
+    """
+    order = [F.desc_nulls_last("day"), F.col("item_id"), F.col("title"), F.col("status"), F.col("detail")]
+    placed = numbered(rows, ["patient_id", "section"], order, "place").withColumn("page", F.floor((F.col("place") - 1) / page_items).cast("int"))
+    item = F.struct("place", "item_id", "title", "status", "detail", "day")
+    parts = placed.groupBy("patient_id", "page", "section").agg(F.array_sort(F.collect_list(item)).alias("items"))  # a page at most
+    totals = rows.groupBy("patient_id", "section").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
+    entry = F.struct("section", "total", "active", "items")
+    pages = parts.join(totals, ["patient_id", "section"]).groupBy("patient_id", "page").agg(F.collect_list(entry).alias("held"))
+    counts = totals.groupBy("patient_id").agg(F.sum("total").alias("total_resources"), F.ceil(F.max("total") / page_items).cast("int").alias("pages"))
+    out = patients.join(pages, "patient_id", "left").join(counts, "patient_id", "left")
+    kind = "struct<section:string,total:bigint,active:bigint,items:array<struct<place:bigint,item_id:string,title:string,status:string,detail:string,day:string>>>"
+
+    def empty(name: Column) -> Column:
+        return F.struct(name.alias("section"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("active"), F.array().alias("items")).cast(kind)
+
+    held = F.coalesce("held", F.array().cast(f"array<{kind}>"))
+    page = F.coalesce("page", F.lit(0))
+    every = F.transform(F.array(*map(F.lit, SECTIONS)), lambda n: F.coalesce(F.get(F.filter(held, lambda s: s["section"] == n), F.lit(0)).cast(kind), empty(n)))
+    sections = F.filter(every, lambda s: (page == 0) | (F.size(s["items"]) > 0))
+    person = F.struct("mrn", F.concat_ws(" ", "first_name", "last_name").alias("name"), F.col("birth_date").alias("date_of_birth"), "gender", "living_setting", "phone")
+    total = F.coalesce("total_resources", F.lit(0))
+    return out.select("patient_id", page.alias("page"), F.coalesce("pages", F.lit(1)).alias("pages"), F.when(total > 0, "success").otherwise("no_data").alias("status"), person.alias("patient"), total.alias("total_resources"), sections.alias("sections"))
+
+
 def metrics_text(metrics: DataFrame) -> DataFrame:
     """Capture metrics as report lines."""
     title = S.title_case(F.replace(F.col("category"), F.lit("_"), F.lit(" ")))

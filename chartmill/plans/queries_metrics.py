@@ -243,6 +243,38 @@ def _(t):
     return M.component_health(t.error_log)
 
 
+_RESETS = "SELECT component, ts AS reset_at FROM error_log WHERE error_id % 7 = 0 AND component <> 'pdf' UNION ALL SELECT 'queue', max(ts) FROM error_log"
+_WINDOW = "ts >= (SELECT max(ts) FROM error_log) - INTERVAL '240' HOUR"
+
+
+@query(
+    "error_window_summary",
+    f"""WITH e AS (SELECT error_type, component, {ERR_SEVERITY_SQL} AS severity, {ERR_STRATEGY_SQL} AS strategy FROM error_log WHERE {_WINDOW}), n AS (
+        SELECT 'type' AS dimension, error_type AS member, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'component', component, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM e GROUP BY 2
+        UNION ALL SELECT 'strategy', strategy, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM e UNION ALL SELECT 'critical', 'all', count(*) FILTER (severity = 'critical') FROM e)
+        SELECT *, {half('n / 240.0::DOUBLE', 4)} AS per_hour FROM n""",
+)
+def _(t):
+    errors = t.error_log
+    return M.error_window(errors, F.lit(errors.agg(F.max("ts")).first()[0]), 240)
+
+
+@query("recent_critical_errors", f"SELECT error_id, ts, error_type, message, component FROM error_log WHERE {_WINDOW} AND {ERR_SEVERITY_SQL} = 'critical'")
+def _(t):
+    errors = t.error_log
+    return M.critical_errors(errors, F.lit(errors.agg(F.max("ts")).first()[0]), 240)
+
+
+@query(
+    "component_health_since_reset",
+    f"""WITH l AS (SELECT component, max(reset_at) AS reset_at FROM ({_RESETS}) GROUP BY 1), w AS (
+          SELECT e.component, max(CASE {ERR_SEVERITY_SQL} WHEN 'critical' THEN 2 WHEN 'error' THEN 1 ELSE 0 END) AS worst, max(ts) AS seen FROM error_log e LEFT JOIN l USING (component) WHERE reset_at IS NULL OR ts > reset_at GROUP BY 1)
+        SELECT component, CASE worst WHEN 2 THEN 'critical' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS health, coalesce(seen, reset_at) AS last_check, reset_at FROM w FULL JOIN l USING (component)""",
+)
+def _(t):
+    return M.component_health_since(t.error_log, t.sql(_RESETS))
+
+
 _OPS = """SELECT event_id AS op_id, ts AS started_at, value AS seconds, value * 2 AS memory_mb, CAST(event_id % 10 AS DOUBLE) / 10 AS hit_ratio,
    event_id % 7 AS resources, event_id % 50 AS db_queries, event_id % 3 AS errors FROM events"""
 

@@ -92,6 +92,37 @@ def _(t):
     return sections.select("patient_id", "section", "total", "active", "visits", "last_visit", F.inline("items"))
 
 
+_ALL_ROWS = f"""{_ROWS}, x AS ({check_body("converted_report_rows")}),
+    every AS (SELECT * FROM rr UNION ALL SELECT e.patient_id, x.section, CAST(x.doc_id AS STRING), x.title, x.status, x.detail, x.day FROM x JOIN encounters e ON e.encounter_id = x.doc_id)"""
+
+
+def _full(t, page_items):
+    documents = docs(t)
+    every = R.all_report_rows(rows(t), R.converted_report_rows(documents), documents)
+    return R.full_report(t.patients, every, page_items)
+
+
+@query(
+    "full_report_items",
+    f"""WITH {_ALL_ROWS} SELECT patient_id, section, row_number() OVER (PARTITION BY patient_id, section ORDER BY day DESC NULLS LAST, item_id, title, status, detail) AS place,
+          item_id, title, status, detail, day, count(*) OVER (PARTITION BY patient_id, section) AS total FROM every""",
+)
+def _(t):
+    sections = _full(t, 20).select("patient_id", F.inline("sections"))
+    return sections.select("patient_id", "section", "total", F.inline("items"))
+
+
+@query(
+    "full_report",
+    f"""WITH {_ALL_ROWS}, s AS (SELECT patient_id, section, count(*) AS n FROM every GROUP BY ALL), m AS (SELECT patient_id, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM s GROUP BY 1)
+        SELECT p.patient_id, CAST(i AS INTEGER) AS page, CAST(greatest(1, ceil(coalesce(most, 0) / 500.0)) AS INTEGER) AS pages, CASE WHEN total IS NULL THEN 'no_data' ELSE 'success' END AS status, p.mrn,
+               p.first_name || ' ' || p.last_name AS name, coalesce(total, 0) AS total_resources, CASE WHEN i = 0 THEN 13 ELSE (SELECT count(*) FROM s WHERE s.patient_id = p.patient_id AND s.n > 500 * i) END AS sections
+        FROM patients p LEFT JOIN m USING (patient_id), LATERAL (SELECT unnest(range(CAST(greatest(1, ceil(coalesce(most, 0) / 500.0)) AS INTEGER))) AS i)""",
+)
+def _(t):
+    return _full(t, 500).select("patient_id", "page", "pages", "status", "patient.mrn", "patient.name", "total_resources", F.size("sections").cast("bigint").alias("sections"))
+
+
 @query(
     "report_with_parameters",
     f"""WITH {_ROWS}, s AS (SELECT patient_id, section, count(*) AS n FROM rr WHERE day IS NULL OR day >= '1999' GROUP BY ALL) SELECT p.patient_id, p.mrn, section, n FROM patients p JOIN s USING (patient_id) WHERE p.living_setting = 'HOUSEHOLD'""",
