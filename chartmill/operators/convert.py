@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import scalar as S
-from chartmill.operators.link import link_encounters
+from chartmill.session import stored
 
 # fixed values
 VITAL_LOINC = [
@@ -311,7 +311,13 @@ def family_history(docs: DataFrame) -> DataFrame:
 
 
 def resource_rows(docs: DataFrame) -> DataFrame:
-    """All resources of the documents in one table, vaccines claimed, visits linked."""
+    """All resources of the documents in one table, vaccines claimed, visits linked.
+
+    The nested documents are written once, and each projection reads its own
+    lists of them; what the documents are made of is read by that write alone.
+    The united rows are written once, too, and linked from there.
+    """
+    docs = stored(docs, "conversion-documents")
     common = ["doc_id", "patient_id", "resource_type", "resource_id", "name", "status", "effective", "confidence"]
     tables = [
         encounters(docs), synthesized_encounters(docs), medications(docs), observations(docs), exam_and_social(docs).withColumn("status", F.lit("final")),
@@ -323,13 +329,30 @@ def resource_rows(docs: DataFrame) -> DataFrame:
     rows = tables[0].select(*common)
     for table in tables[1:]:
         rows = rows.unionByName(table.select(*common))
-    visits = rows.filter("resource_type = 'Encounter'").select(
-        F.col("doc_id").alias("patient_id"), F.col("resource_id").alias("encounter_id"), F.col("effective").alias("date_text")
-    )
-    linkable = rows.filter(F.col("resource_type").isin(LINKED_TYPES) & ~((F.col("resource_type") == "Immunization") & (F.col("status") == "not-done")))
-    asked = linkable.select(F.col("doc_id").alias("patient_id"), "resource_id", F.col("effective").alias("date_text"))
-    links = link_encounters(asked, "resource_id", visits).select("resource_id", F.col("visit").alias("encounter_id"))
-    return rows.join(links, "resource_id", "left")
+    rows = stored(rows, "conversion-rows")
+    return link_within_documents(rows)
+
+
+def link_within_documents(rows: DataFrame) -> DataFrame:
+    """Add ``encounter_id``: the document's first encounter whose date agrees at the shared precision, for an undated row its only one.
+
+    A document's encounters come from one of its lists, so they travel as an
+    array and every row decides by itself; the rows move once, by document.
+    """
+    parts = S.date_parts(F.col("effective"))
+    visit = F.struct(F.col("resource_id").alias("id"), parts.alias("parts"))
+    visits = rows.filter("resource_type = 'Encounter'").groupBy("doc_id").agg(F.array_sort(F.collect_list(visit)).alias("__visits"))
+    out = rows.join(visits, "doc_id", "left").withColumn("__parts", parts)
+
+    def agrees(v: Column) -> Column:
+        n = F.least(F.size(v["parts"]), F.size("__parts"))
+        return v["parts"].isNotNull() & (n > 0) & (F.slice(v["parts"], F.lit(1), n) == F.slice("__parts", F.lit(1), n))
+
+    linkable = F.col("resource_type").isin(LINKED_TYPES) & ~((F.col("resource_type") == "Immunization") & (F.col("status") == "not-done"))
+    dated = F.get(F.filter("__visits", agrees), F.lit(0))["id"]
+    alone = F.when(F.size("__visits") == 1, F.get("__visits", F.lit(0))["id"])
+    link = F.when(linkable, F.when(F.col("effective").isNull(), alone).otherwise(dated))
+    return out.withColumn("encounter_id", link).drop("__visits", "__parts")
 
 
 def document_type(has: dict[str, Column]) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chartmill.functions import fixed, scalar as S
 from chartmill.operators import convert as C
-from chartmill.plans.catalog import query
+from chartmill.plans.catalog import check_body, query
 from chartmill.plans.extraction import FLAT, extraction_documents as docs
 from chartmill.plans.sqltext import case_contains, case_map, words
 
@@ -300,3 +300,30 @@ def _(t):
     body = F.concat(F.lit('{"props": '), F.col("props"), F.lit(', "a": {"b": [{"c": "v'), F.col("event_id").cast("string"), F.lit('"}]}}'))
     rows = t.events.select("event_id", F.parse_json(body).alias("body"))
     return select_paths(rows, "body", {"k": ("$.props.k", "bigint"), "deep": ("$.a.b[0].c", "string")}).select("event_id", "k", "deep")
+
+
+# type, name and date in the columns of each projection's own check; dates that a check does not give are not compared
+_ALL = {
+    "convert_conditions": ("Condition", "name", "effective"), "convert_observations": ("Observation", "name", "effective"), "convert_exam_and_social": ("Observation", "name", "effective"),
+    "convert_medications": ("MedicationStatement", "name", "effective"), "convert_immunizations": ("Immunization", "name", "effective"), "convert_procedures": ("Procedure", "name", "effective"),
+    "convert_encounters": ("Encounter", "NULL", "effective"), "synthesize_encounters": ("Encounter", "NULL", "effective"), "convert_practitioners": ("Practitioner", "name", "NULL"),
+    "convert_organizations": ("Organization", "name", "NULL"), "convert_allergies": ("AllergyIntolerance", "name", "NULL"), "convert_care_plans": ("CarePlan", "name", "NULL"),
+    "convert_service_requests": ("ServiceRequest", "name", "effective"), "convert_diagnostic_reports": ("DiagnosticReport", "name", "effective"), "convert_family_history": ("FamilyMemberHistory", "name", "NULL"),
+}
+_UNITED = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS resource_type, CAST({name} AS VARCHAR) AS name, CAST({day} AS VARCHAR) AS effective, {'status' if kind == 'Immunization' else 'NULL'} AS status FROM ({check_body(check)})" for check, (kind, name, day) in _ALL.items()
+)
+
+
+@query(
+    "convert_all_linked",
+    f"""WITH u AS ({_UNITED}), e AS (SELECT doc_id, effective AS visit FROM u WHERE resource_type = 'Encounter')
+        SELECT u.doc_id, resource_type, name, effective, resource_type IN ({', '.join(f"'{x}'" for x in C.LINKED_TYPES)}) AND status IS DISTINCT FROM 'not-done' AND e.doc_id IS NOT NULL
+               AND (effective IS NULL OR coalesce(starts_with(effective, visit) OR starts_with(visit, effective), false)) AS linked FROM u LEFT JOIN e ON e.doc_id = u.doc_id""",
+)
+def _(t):
+    rows = C.resource_rows(docs(t))
+    dated = F.col("resource_type").isin(*[kind for kind, _, day in _ALL.values() if day != "NULL"])
+    return rows.select(
+        "doc_id", "resource_type", F.when(F.col("resource_type") != "Encounter", F.col("name")).alias("name"), F.when(dated, F.col("effective").cast("string")).alias("effective"), F.col("encounter_id").isNotNull().alias("linked")
+    )
