@@ -175,3 +175,23 @@ def test_few_or_no_labels(spark, documents):
     assert labelled_rows(docs, odd, SAMPLE_ROWS).count() == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(30))
     assert fit(labelled_rows(docs, odd)).weighted == ()
     assert score_quality(documents([]), model).collect() == []
+
+
+def test_scores_are_those_of_the_rules(spark, sf):
+    import math
+
+    from chartmill.llm.quality import THRESHOLD, statistics
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "!!"), (None, "a b")], "doc_id bigint, text string"))
+    model = fit(labelled_rows(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    assert model.weighted
+    want = []
+    for row in statistics(docs).collect():
+        total = model.intercept
+        for path, weight in model.weighted:
+            if all(row[c.feature] > c.threshold if c.above else row[c.feature] <= c.threshold for c in path):
+                total += weight
+        want.append((row.doc_id, round(1 / (1 + math.exp(-total)), 9)))
+    scored = score_quality(docs, model).collect()
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in scored), key=str) == sorted(want, key=str)
+    assert all(r.predicted == int(r.score >= THRESHOLD) for r in scored)
