@@ -260,24 +260,43 @@ def merge_result(actions: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def row_issues(rows: DataFrame) -> DataFrame:
+    """What is wrong with incoming typed rows: ``resource_type, resource_id, patient_id, severity, issue``, one row per broken rule.
+
+    Rows without type, id or patient cannot be merged (error); others miss
+    their code, content or date, or have a confidence outside 0 to 1.
+    """
+    c = F.col
+
+    def blank(column: str) -> Column:
+        return F.coalesce(F.trim(c(column).cast("string")) == "", F.lit(True))
+
+    rules = [
+        (blank("resource_type"), "error", "missing type"), (blank("resource_id"), "error", "missing id"), (blank("patient_id"), "error", "missing patient"),
+        (blank("code"), "warning", "missing code"), (blank("body"), "warning", "missing content"), (c("updated_at").isNull(), "warning", "missing date"),
+        (F.coalesce((c("confidence") < 0) | (c("confidence") > 1), F.lit(False)), "warning", "confidence out of range"),
+    ]
+    found = F.array_compact(F.array(*[F.when(broken, F.struct(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"))) for broken, severity, issue in rules]))
+    return rows.select("resource_type", "resource_id", "patient_id", F.inline(found))
+
+
 def merge_run(existing: DataFrame, new: DataFrame, run_ts: str) -> dict[str, DataFrame]:
-    """Whole merge of validated, typed rows: replace, deduplicate, keep provenance and counts.
+    """Whole merge of typed rows: validate, replace, deduplicate, keep provenance and counts.
 
     Rows are ``(patient_id, resource_type, resource_id, source_id, code, body, updated_at, confidence)``.
+    Rows with an error of ``row_issues`` are not merged.
     """
     from chartmill.operators.dedup import first_per_key, rank_order
-    from chartmill.operators.quality import resource_issues
 
-    usable = new.filter("resource_type IS NOT NULL AND resource_id IS NOT NULL")
+    usable = new.filter("trim(resource_type) <> '' AND trim(CAST(resource_id AS STRING)) <> '' AND patient_id IS NOT NULL")
     merged = merge_documents(existing, usable)
     order = rank_order(F.col("confidence"), F.col("resource_type"), F.col("resource_id"))
     kept = first_per_key(merged, [F.col("patient_id"), F.col("resource_type"), F.col("code"), F.col("body"), F.col("updated_at")], order)
     counts = usable.groupBy("resource_type").agg(F.count("*").alias("incoming"))
     before = merged.groupBy("resource_type").agg(F.count("*").alias("merged"))
     after = kept.groupBy("resource_type").agg(F.count("*").alias("kept"))
-    shaped = new.withColumns({"status": F.lit("active"), "display": F.lit(""), "value": F.lit(None).cast("double"), "unit": F.lit("")})
     return {
-        "store": kept, "issues": resource_issues(shaped), "provenance": provenance_rows(usable, "merge", run_ts),
+        "store": kept, "issues": row_issues(new), "provenance": provenance_rows(usable, "merge", run_ts),
         "counts": before.join(after, "resource_type", "left").join(counts, "resource_type", "left").fillna(0),
     }
 

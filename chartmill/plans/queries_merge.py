@@ -226,9 +226,30 @@ def _(t):
     return _flat(G.merge_care_plans(rows))
 
 
-@query("merge_run_counts")
+# some incoming rows are broken
+_BROKEN = f"""SELECT CASE WHEN patient_id % 18 = 0 THEN ' ' ELSE resource_type END AS resource_type, CASE WHEN patient_id % 15 = 0 THEN NULL ELSE resource_id END AS resource_id, patient_id, source_id,
+    CASE WHEN patient_id % 9 <> 0 THEN updated_at END AS updated_at, CASE WHEN patient_id % 12 = 0 THEN confidence + 1 ELSE confidence END AS confidence, CASE WHEN patient_id % 6 = 0 THEN '' ELSE code END AS code, body FROM ({_NEW}) AS n"""
+_RUN = f"""old AS ({_OLD}), new AS ({_BROKEN}), inc AS (SELECT * FROM new WHERE trim(resource_type) <> '' AND resource_id IS NOT NULL),
+    store AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.patient_id = o.patient_id AND i.source_id = o.source_id) UNION ALL BY NAME SELECT * FROM inc)"""
+
+
+@query(
+    "merge_run_counts",
+    f"""WITH {_RUN}, b AS (SELECT resource_type, count(*) AS merged FROM store GROUP BY 1), a AS (SELECT resource_type, count(*) AS kept FROM (SELECT DISTINCT patient_id, resource_type, code, body, updated_at FROM store) GROUP BY 1),
+        c AS (SELECT resource_type, count(*) AS incoming FROM inc GROUP BY 1) SELECT resource_type, merged, coalesce(kept, 0) AS kept, coalesce(incoming, 0) AS incoming FROM b LEFT JOIN a USING (resource_type) LEFT JOIN c USING (resource_type)""",
+)
+def _(t):
+    return G.merge_run(t.sql(_OLD), t.sql(_BROKEN), "2024-06-15 00:00:00")["counts"]
+
+
+@query(
+    "merge_run_issues",
+    f"""WITH new AS ({_BROKEN}) SELECT resource_type, resource_id, patient_id, severity, issue FROM new, LATERAL (
+          SELECT 'error' AS severity, 'missing type' AS issue WHERE trim(resource_type) = '' UNION ALL SELECT 'error', 'missing id' WHERE resource_id IS NULL UNION ALL SELECT 'warning', 'missing code' WHERE trim(code) = ''
+          UNION ALL SELECT 'warning', 'missing content' WHERE coalesce(trim(body), '') = '' UNION ALL SELECT 'warning', 'missing date' WHERE updated_at IS NULL UNION ALL SELECT 'warning', 'confidence out of range' WHERE confidence > 1)""",
+)
 def _(t):
-    return G.merge_run(t.sql(_OLD), t.sql(_NEW), "2024-06-15 00:00:00")["counts"]
+    return G.merge_run(t.sql(_OLD), t.sql(_BROKEN), "2024-06-15 00:00:00")["issues"]
 
 
 _A = "SELECT patient_id, first_name, last_name, phone, living_setting, CASE WHEN patient_id % 4 <> 0 THEN gender END AS gender FROM patients"
