@@ -137,18 +137,42 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
     ), h AS (
         SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS hash FROM l
+    ), m AS (
+        SELECT *, (hash + 31 * coalesce(lag(hash) OVER d, 0)) % 1000003 % 3 = 0 AS mark FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
     ), b AS (
-        SELECT *, CASE WHEN (hash + 31 * coalesce(lag(hash) OVER d, 0)) % 1000003 % 3 = 0 THEN 1 ELSE 0 END AS ends FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        SELECT *, CASE WHEN mark AND NOT coalesce(lag(mark) OVER d, false) THEN 1 ELSE 0 END AS ends FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i)
     ), n AS (
-        SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b
+        SELECT doc_id, i, line, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b
     ), c AS (
-        SELECT doc_id, no, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, no
+        SELECT doc_id, no, min(i) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body, bool_or(trim(line) <> '') AS spoken FROM n GROUP BY doc_id, no
+    ), reach AS (
+        SELECT doc_id, no, min(start) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS low,
+               max(start + lines - 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS high FROM c
+    ), u AS (
+        SELECT doc_id, no, start, lines, body FROM c WHERE lines >= 2 AND spoken
+        UNION ALL SELECT doc_id, no, i, 1, line FROM n WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20
     ), r AS (
-        SELECT *, lines >= 2 AND trim(replace(body, chr(10), '')) <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AS gone FROM c
+        SELECT *, row_number() OVER p AS place, first_value(doc_id) OVER p AS first_doc, first_value(start) OVER p AS first_start, first_value(no) OVER p AS first_no
+        FROM u WINDOW p AS (PARTITION BY body ORDER BY doc_id, start)
+    ), hit AS (
+        SELECT r.*, p.low, p.high, q.low AS first_low, q.high AS first_high
+        FROM r JOIN reach p ON p.doc_id = r.doc_id AND p.no = r.no JOIN reach q ON q.doc_id = first_doc AND q.no = first_no WHERE place > 1
+    ), gone AS (
+        SELECT DISTINCT n.doc_id, n.i FROM hit JOIN n ON n.doc_id = hit.doc_id AND n.i BETWEEN hit.start AND hit.start + hit.lines - 1
+    ), around AS (
+        SELECT e.doc_id, e.start, e.lines, x.i < e.start AS before, abs(x.i - e.start) AS step, x.i,
+               g.i IS NULL AND y.i BETWEEN e.first_low AND e.first_high AND coalesce(x.line = y.line, false) AS equal
+        FROM hit e JOIN n x ON x.doc_id = e.doc_id AND (x.i BETWEEN e.low AND e.start - 1 OR x.i BETWEEN e.start + e.lines AND e.high)
+        LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i LEFT JOIN n y ON y.doc_id = e.first_doc AND y.i = e.first_start + x.i - e.start
+    ), grown AS (
+        SELECT doc_id, i FROM (SELECT *, bool_and(coalesce(equal, false)) OVER (PARTITION BY doc_id, start, lines, before ORDER BY step) AS so_far FROM around) WHERE so_far
+    ), out AS (
+        SELECT doc_id, i FROM gone UNION SELECT doc_id, i FROM grown
+    ), t AS (
+        SELECT n.doc_id, coalesce(string_agg(line, chr(10) ORDER BY n.i) FILTER (out.i IS NULL), '') AS text, count(*) AS n_lines, count(out.i) AS removed_lines
+        FROM n LEFT JOIN out ON out.doc_id = n.doc_id AND out.i = n.i GROUP BY n.doc_id
     )
-    SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text, CAST(sum(lines) AS BIGINT) AS n_lines,
-           CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines, count(*) FILTER (gone) AS removed_chunks
-    FROM r GROUP BY doc_id
+    SELECT t.*, coalesce(k.times, 0) AS removed_chunks FROM t LEFT JOIN (SELECT doc_id, count(*) AS times FROM hit GROUP BY doc_id) k ON k.doc_id = t.doc_id
     """,
 )
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

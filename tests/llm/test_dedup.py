@@ -45,42 +45,60 @@ def test_no_rows(documents):
 
 
 # ---------------------------------------------------------------- lines
-def expected_lines(rows, chunk_lines=3):
+def expected_lines(rows, chunk_lines=3, least_words=20):
     def line_hash(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
 
-    chunked = []
+    cut = []
     for i, t in rows:
-        lines, chunks, now = (t or "").split("\n"), [], []
-        for k, line in enumerate(lines):
-            now.append(line)
-            rolling = (line_hash(line) + 31 * (line_hash(lines[k - 1]) if k else 0)) % 1_000_003
-            if rolling % chunk_lines == 0 or k == len(lines) - 1:
-                chunks.append("\n".join(now))
-                now = []
-        chunked.append((i, t, chunks))
+        lines = (t or "").split("\n")
+        marks = [(line_hash(line) + 31 * (line_hash(lines[k - 1]) if k else 0)) % 1_000_003 % chunk_lines == 0 for k, line in enumerate(lines)]
+        ends = [k for k in range(len(lines)) if k == len(lines) - 1 or marks[k] and not (k and marks[k - 1])]
+        chunks = [(a, e + 1) for a, e in zip([0, *[e + 1 for e in ends[:-1]]], ends)]
+        units = [(c, *chunks[c]) for c in range(len(chunks)) if chunks[c][1] - chunks[c][0] >= 2 and any(x.strip(" ") for x in lines[slice(*chunks[c])])]
+        units += [(c, k, k + 1) for c in range(len(chunks)) for k in range(*chunks[c]) if len(lines[k].split()) >= least_words]
+        cut.append((i, lines, [(a, b, chunks[max(0, c - 2)][0], chunks[min(len(chunks) - 1, c + 2)][1]) for c, a, b in units]))
     first = {}
-    for i, t, chunks in sorted((c for c in chunked if c[0] is not None), key=lambda c: c[0]):
-        for k, c in enumerate(chunks):
-            if "\n" in c and c.replace("\n", "").strip(" "):
-                first.setdefault(c, (i, k))
+    for i, lines, units in sorted((c for c in cut if c[0] is not None), key=lambda c: c[0]):
+        for u in sorted(units):
+            first.setdefault("\n".join(lines[u[0]:u[1]]), (i, lines, u))
     out = []
-    for i, t, chunks in chunked:
-        left = [c for k, c in enumerate(chunks) if i is None or first.get(c, (i, k)) == (i, k)]
-        out.append((i, "\n".join(left), len((t or "").split("\n"))))
+    for i, lines, units in cut:
+        removed = [(u, first["\n".join(lines[u[0]:u[1]])]) for u in units if i is not None and first["\n".join(lines[u[0]:u[1]])][::2] != (i, u)]
+        covered = {k for u, _ in removed for k in range(u[0], u[1])}
+        grown = set()
+        for (a, b, low, high), (_, theirs, (fa, fb, flow, fhigh)) in removed:
+            for here, there, step, inside in ((a - 1, fa - 1, -1, lambda k, q: k >= low and q >= flow), (b, fb, 1, lambda k, q: k < high and q < fhigh)):
+                while inside(here, there) and here not in covered and lines[here] == theirs[there]:
+                    grown.add(here)
+                    here, there = here + step, there + step
+        gone = covered | grown
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone), len(removed)))
     return sorted(out, key=str)
 
 
 def test_lines_against_brute_force(documents):
     rng = random.Random(5)
-    lines = [f"line {k} {rng.random()}" for k in range(60)] + ["", " "]
+    lines = [f"line {k} {rng.random()}" for k in range(60)] + ["", " "] + [" ".join(f"v{rng.random()}" for _ in range(25)) for _ in range(6)]
     passage = lines[:25]
     rows = [(k, "\n".join([*rng.choices(lines[30:], k=rng.randint(0, 8)), *(passage if k % 3 else []), *rng.choices(lines, k=rng.randint(0, 8))])) for k in range(40)]
     rows += [(100, None), (101, ""), (102, rows[3][1]), (None, rows[3][1]), (103, "\n" * 20), (104, "\n" * 20), (105, "\n".join(passage * 3)), (106, "x\n" * 30_000)]
-    got = sorted(((r.doc_id, r.text, r.n_lines) for r in dedup_lines(documents(rows)).collect()), key=str)
+    got = sorted((tuple(r) for r in dedup_lines(documents(rows)).collect()), key=str)
     assert got == expected_lines(rows)
     removed = dedup_lines(documents(rows)).agg(F.sum("removed_lines"), F.sum("removed_chunks")).first()
     assert removed[0] > 2 * removed[1] > 0
+    # the first place of every line stays
+    left = {line for _, t, *_ in got for line in t.split("\n")}
+    assert {line for _, t in rows for line in (t or "").split("\n") if line.strip()} <= left
+
+
+def test_short_passages_go_as_a_whole(documents):
+    rng = random.Random(6)
+    for n in (2, 3, 4, 12):
+        passage = [" ".join(f"p{k}{rng.random()}" for _ in range(26 if k == n // 2 else 9)) for k in range(n)]
+        rows = [(d, "\n".join([*[f"own {d} {k} {rng.random()}" for k in range(9)], *passage, *[f"own {d} {k} {rng.random()}" for k in range(9)]])) for d in range(20)]
+        got = {r.doc_id: r.removed_lines for r in dedup_lines(documents(rows)).collect()}
+        assert got == {d: n if d else 0 for d in range(20)}
 
 
 def test_repeated_row_keeps_its_own_lines(documents):
