@@ -48,8 +48,11 @@ def _chunks(lines: Column, chunk_lines: int) -> Column:
 
 def _comparable(lines: Column, chunks: Column, least_words: int) -> Column:
     """What is compared: chunks of two lines or more that are not blank, and lines of ``least_words`` words, with the number of their chunk."""
+    # reads a line as far as its last word that counts
+    enough = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{least_words - 1}}}[^\x20\x09-\x0D]"
+
     def long_lines(c: Column) -> Column:
-        at = F.filter(F.sequence(c["first"], c["first"] + c["n"] - 1), lambda i: F.regexp_count(F.get(lines, i), F.lit(r"[^\x20\x09-\x0D]+")) >= least_words)
+        at = F.filter(F.sequence(c["first"], c["first"] + c["n"] - 1), lambda i: F.get(lines, i).rlike(enough))
         return F.transform(at, lambda i: F.struct(c["no"].alias("no"), i.alias("first"), F.lit(1).alias("n")))
 
     whole = F.filter(chunks, lambda c: (c["n"] >= 2) & F.exists(F.slice(lines, c["first"] + 1, c["n"]), lambda line: F.trim(line) != ""))
@@ -104,7 +107,7 @@ def _units(lines: Column, least_words: int) -> Column:
 
 
 def _body(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["n"]), "\n")
+    return F.when(chunk["n"] == 1, F.get(lines, chunk["first"])).otherwise(F.array_join(F.slice(lines, chunk["first"] + 1, chunk["n"]), "\n"))
 
 
 UNIT = "struct<no:int,first:int,n:int>"
@@ -140,7 +143,7 @@ def dedup_lines(docs: DataFrame, chunk_lines: int = CHUNK_LINES, least_words: in
     lines, key = F.split("text", "\n"), ["doc_id", "version"]
 
     def cut(*more: Column) -> Column:
-        return F.struct(lines.alias("lines"), _let(lines, lambda ls: _chunks(ls, chunk_lines)).alias("chunks"), *more)
+        return _let(lines, lambda ls: F.struct(ls.alias("lines"), _chunks(ls, chunk_lines).alias("chunks"), *more))
 
     units = _let(cut(), lambda s: F.transform(_comparable(s["lines"], s["chunks"], least_words), lambda u: F.struct(u.alias("u"), F.unhex(F.md5(_body(s["lines"], u))).alias("h"))))
     places = texts.filter("doc_id IS NOT NULL").select(*key, units.alias("units")).select(*key, F.explode("units").alias("x"))
