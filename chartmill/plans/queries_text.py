@@ -53,7 +53,29 @@ def _(t):
     )
 
 
-@query("chunk_documents")
+def _chunk_sql(text):
+    """Check query of chunks of 2000 characters with 200 of overlap: one recursion step a sentence."""
+    split = _SENT.replace("(x,", "(text,")
+    return f"""RECURSIVE s AS (SELECT doc_id, unnest({split}) AS p, generate_subscripts({split}, 1) AS i FROM documents WHERE length(text) > 2000),
+        k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, replace(p, '~PERIOD~', '.') || '. ' AS sentence FROM s WHERE {_strip('p')} <> ''),
+        d AS (SELECT documents.doc_id, text, CAST(length(text) AS BIGINT) AS chars, coalesce(j.joined, '') AS joined, coalesce(j.n, 0) AS n FROM documents
+              LEFT JOIN (SELECT doc_id, string_agg(sentence, '' ORDER BY i) AS joined, count(*) AS n FROM k GROUP BY 1) j ON j.doc_id = documents.doc_id WHERE length(text) > 2000),
+        f AS (SELECT doc_id, chars, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS upto, CAST(0 AS BIGINT) AS filled, CAST(NULL AS BIGINT) AS cut FROM d
+              UNION ALL SELECT f.doc_id, chars, k.i, upto + length(sentence),
+                     CASE WHEN filled > 0 AND filled + length(sentence) > 2000 THEN greatest(0, least(chars, upto) - greatest(0, upto - 200)) + length(sentence) ELSE filled + length(sentence) END,
+                     CASE WHEN filled > 0 AND filled + length(sentence) > 2000 THEN upto END FROM f JOIN k ON k.doc_id = f.doc_id AND k.i = f.i + 1),
+        c AS (SELECT doc_id, cut FROM f WHERE cut IS NOT NULL UNION ALL SELECT f.doc_id, upto FROM f JOIN d ON d.doc_id = f.doc_id AND f.i = d.n),
+        o AS (SELECT doc_id, cut, row_number() OVER w - 1 AS chunk_id, coalesce(lag(cut) OVER w, 0) AS before, lead(cut) OVER w IS NULL AS ends FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY cut)),
+        t AS (SELECT o.*, joined, CASE WHEN chunk_id > 0 THEN {_tail('before')} ELSE '' END AS carried, CASE WHEN NOT ends THEN {_tail('cut')} END AS overlap_text FROM o JOIN d ON d.doc_id = o.doc_id)
+        SELECT doc_id, 0 AS chunk_id, 0 AS start_index, length(text) AS end_index, text AS {text}, NULL AS overlap_text FROM documents WHERE length(text) <= 2000
+        UNION ALL SELECT doc_id, chunk_id, before - length(carried), cut, carried || substring(joined, before + 1, cut - before), overlap_text FROM t WHERE cut > 0"""
+
+
+def _tail(before):
+    return f"substring(text, greatest(0, {before} - 200) + 1, greatest(0, {before} - greatest(0, {before} - 200)))"
+
+
+@query("chunk_documents", "WITH " + _chunk_sql("text"))
 def _(t):
     return T.chunk_documents(t.documents, 2000, 200)
 
@@ -145,7 +167,17 @@ def _(t):
     return T.page_texts(_blocks(t))
 
 
-@query("page_lines")
+@query(
+    "page_lines",
+    f"""WITH RECURSIVE b AS ({_BLOCKS}), x AS (SELECT doc_id, page, CAST(round(top * 1000000) AS BIGINT) AS t, left_edge, text FROM b
+           WHERE text <> '' AND (block_type = 'LINE' OR (block_type = 'WORD' AND NOT (left_edge < 0.05 AND EXISTS (SELECT 1 FROM b l WHERE l.doc_id = b.doc_id AND l.page = b.page AND l.block_type = 'LINE'))))),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY t, left_edge, text) AS i FROM x),
+        f AS (SELECT doc_id, page, i, t AS top, 1 AS line, text FROM r WHERE i = 1
+              UNION ALL SELECT r.doc_id, r.page, r.i, CASE WHEN r.t - f.top <= 10000 THEN f.top ELSE r.t END, CASE WHEN r.t - f.top <= 10000 THEN line ELSE line + 1 END, r.text
+              FROM f JOIN r ON r.doc_id = f.doc_id AND r.page = f.page AND r.i = f.i + 1),
+        w AS (SELECT doc_id, page, line, trim(string_agg(text, ' ' ORDER BY i)) AS text FROM f GROUP BY ALL)
+        SELECT doc_id, page, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (text <> ''), '') AS text FROM w GROUP BY ALL""",
+)
 def _(t):
     return T.page_lines(T.page_fragments(_blocks(t)))
 
@@ -388,7 +420,7 @@ def _(t):
     return E.snippet_stats(rows)
 
 
-@query("chunk_table_function")
+@query("chunk_table_function", "WITH " + _chunk_sql("chunk_text"))
 def _(t):
     from chartmill.functions.udfs import register
 
