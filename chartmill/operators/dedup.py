@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from chartmill.functions import fixed, scalar as S
 from chartmill.operators.ordered import within_distance
+from chartmill.operators.weighted import with_matching
+from chartmill.session import cut_lineage
 
 LOG_SCALE = 1_000_000_000
 TEN_PERCENT = 105_360_516  # -ln(0.9) on the log scale, rounded up
+SMALL_GROUP = 64  # rows that are compared within one array
 
 
 def content_hash(df: DataFrame, columns: Sequence[str], name: str = "content_hash") -> DataFrame:
@@ -61,7 +64,22 @@ def values_near(df: DataFrame, keys: Sequence[str], value: str, order: Column, n
     return out.withColumn(name, F.least("__near", extra)).drop("__order", "__sign", "__log", "__near", "__zero", "__tiny")
 
 
-def observation_duplicates(obs: DataFrame, order: Column, hours: int = 24) -> DataFrame:
+def split_by_size(rows: DataFrame, keys: Sequence[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with up to ``most`` rows (``SMALL_GROUP``), and those of larger keys, None if there are none."""
+    most = SMALL_GROUP if most is None else most
+    large = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(*keys))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, list(keys), "left_anti"), rows.join(large, list(keys), "left_semi")
+
+
+def _values_agree(v: Column, w: Column) -> Column:
+    """Within ten percent of the larger value, or of zero and at most 0.1."""
+    gap, top = F.abs(v - w), F.greatest(F.abs(v), F.abs(w))
+    return F.when((v == 0) | (w == 0), gap <= 0.1).otherwise(gap * 10 <= top * (1 + 1e-12))
+
+
+def observation_duplicates(obs: DataFrame, order: Column, hours: int = 24, fields: Sequence[str] = ()) -> DataFrame:
     """Earlier partner of each duplicate observation and how close it is.
 
     ``obs(patient_id, obs_id, code, value, unit, at)``. Weights are code 3,
@@ -69,8 +87,71 @@ def observation_duplicates(obs: DataFrame, order: Column, hours: int = 24) -> Da
     rows are duplicates when the code agrees and the value (0.875) or the time
     (0.75) does; both make 1.0, which is near, or exact when all content is
     equal. A row is a duplicate when an earlier one matches, whether or not
-    that one is itself removed.
+    that one is itself removed. With ``fields`` the equal ones of both rows
+    stand in ``matching``, as ``weighted.with_matching`` lists them; the order
+    is then the row's id.
+    """
+    judged = judged_observations(obs.filter("patient_id IS NOT NULL AND code IS NOT NULL"), order, hours, fields)
+    return judged.filter("kind IS NOT NULL")
+
+
+def judged_observations(obs: DataFrame, order: Column, hours: int = 24, fields: Sequence[str] = ()) -> DataFrame:
+    """Every observation with what ``observation_duplicates`` finds for it, null for rows that are no duplicate.
+
+    A patient has few rows of one test. They travel once, as one array, in
+    which each row looks for its partners; larger groups go by way of
+    distances, which need no group in one task.
     """
+    group = ["patient_id", "code"]
+    obs = obs.withColumn("__ord", order)
+    known = obs.filter("patient_id IS NOT NULL AND code IS NOT NULL")
+    small, large = split_by_size(known, group)
+    out = _judged_in_groups(small, hours, fields)
+    columns = out.columns
+    if large is not None:
+        found = _judged_by_distance(large.drop("__ord"), order, hours)
+        if fields:
+            lone, twins = found.filter("kind IS NULL").withColumn("matching", F.lit(None).cast("string")), found.filter("kind IS NOT NULL")
+            found = lone.unionByName(with_matching(twins, large, "obs_id", fields))
+        out = out.unionByName(found.select(*columns))
+    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in columns[2:]}
+    keyless = obs.filter("patient_id IS NULL OR code IS NULL").select("patient_id", "obs_id", *[c.alias(n) for n, c in none.items()])
+    return out.unionByName(keyless)
+
+
+def _judged_in_groups(rows: DataFrame, hours: int, fields: Sequence[str]) -> DataFrame:
+    width = hours * 3_600_000_000
+    carried = list(dict.fromkeys(["obs_id", "value", "unit", *[f for f in fields if f not in ("patient_id", "code")]]))
+    row = F.struct("__ord", F.unix_micros(F.col("at").cast("timestamp")).alias("__at"), *carried)
+    groups = rows.groupBy("patient_id", "code").agg(F.collect_list(row).alias("__rows"))  # SMALL_GROUP rows at most
+    kind_of = groups.schema["__rows"].dataType.elementType
+    none = F.lit(None).cast(kind_of)
+
+    def judge(a: Column) -> Column:
+        def meet(found: Column, b: Column) -> Column:
+            time = F.abs(a["__at"] - b["__at"]) <= width
+            value = (a["unit"] == b["unit"]) & _values_agree(a["value"], b["value"])
+            copy = (a["unit"] == b["unit"]) & (a["value"] == b["value"]) & (a["__at"] == b["__at"])
+            tests = {"copy": copy, "both": time & value, "value": value, "time": time}
+            nearer = F.struct(*[F.least(found[n], F.when(t, b)).alias(n) for n, t in tests.items()])
+            return F.when(b["__ord"] < a["__ord"], nearer).otherwise(found)
+
+        start = F.struct(*[none.alias(n) for n in ("copy", "both", "value", "time")])
+        return F.struct(a.alias("own"), F.aggregate("__rows", start, meet).alias("met"))
+
+    each = groups.select("patient_id", "code", F.inline(F.transform("__rows", judge)))
+    kind = F.when(F.col("met.copy").isNotNull(), "exact").when(F.col("met.both").isNotNull(), "near").when(F.coalesce("met.value", "met.time").isNotNull(), "fuzzy")
+    score = F.when(F.coalesce("met.copy", "met.both").isNotNull(), 1.0).when(F.col("met.value").isNotNull(), 0.875).when(F.col("met.time").isNotNull(), 0.75)
+    partner = F.coalesce("met.copy", "met.both", "met.value", "met.time")
+    out = each.select("patient_id", "code", "own", kind.alias("kind"), partner.alias("partner"), score.alias("score"))
+    columns = ["patient_id", F.col("own.obs_id").alias("obs_id"), "kind", F.col("partner.__ord").alias("partner"), "score"]
+    if fields:
+        same = [F.lit(c) if c in ("patient_id", "code") else F.when(F.col(f"own.{c}").eqNullSafe(F.col(f"partner.{c}")), F.lit(c)) for c in sorted(fields)]
+        columns.append(F.when(F.col("kind") == "exact", "*").when(F.col("kind").isNotNull(), F.concat_ws(",", *same)).alias("matching"))
+    return out.select(*columns)
+
+
+def _judged_by_distance(obs: DataFrame, order: Column, hours: int) -> DataFrame:
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     rows = obs.withColumns({"__ord": order, "__at": micros})
     group = ["patient_id", "code"]
@@ -83,9 +164,9 @@ def observation_duplicates(obs: DataFrame, order: Column, hours: int = 24) -> Da
     exact, near = F.col("__copy") < own, F.col("__both") < own
     value, time = F.col("__by_value") < own, F.col("__by_time") < own
     kind = F.when(exact, "exact").when(near, "near").when(value | time, "fuzzy")
-    partner = F.when(exact, F.col("__copy")).when(near, F.col("__both")).when(value, F.col("__by_value")).otherwise(F.col("__by_time"))
-    score = F.when(exact | near, 1.0).when(value, 0.875).otherwise(0.75)
-    return rows.filter(kind.isNotNull()).select("patient_id", "obs_id", kind.alias("kind"), partner.alias("partner"), score.alias("score"))
+    partner = F.when(exact, F.col("__copy")).when(near, F.col("__both")).when(value, F.col("__by_value")).when(time, F.col("__by_time"))
+    score = F.when(exact | near, 1.0).when(value, 0.875).when(time, 0.75)
+    return rows.select("patient_id", "obs_id", kind.alias("kind"), partner.alias("partner"), score.alias("score"))
 
 
 def _near_in_both(rows: DataFrame, hours: int) -> DataFrame:
@@ -103,8 +184,7 @@ def _near_in_both(rows: DataFrame, hours: int) -> DataFrame:
         *keys, F.col("value").alias("__v2"), F.col("__at").alias("__a2"), F.col("__o").alias("__o2"),
         F.explode(F.array(block - 1, block, block + 1)).alias("__b"),
     )
-    gap, top = F.abs(F.col("value") - F.col("__v2")), F.greatest(F.abs("value"), F.abs("__v2"))
-    near = F.when((F.col("value") == 0) | (F.col("__v2") == 0), gap <= 0.1).otherwise(gap * 10 <= top * (1 + 1e-12))
+    near = _values_agree(F.col("value"), F.col("__v2"))
     met = left.join(right, [*keys, "__b"]).filter((F.abs(F.col("__at") - F.col("__a2")) <= width) & near)
     return met.groupBy(*keys, "value", "__at").agg(F.min("__o2").alias("__both"))
 

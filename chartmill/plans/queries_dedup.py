@@ -55,7 +55,7 @@ def _dup_sql(obs, lt):
 )
 def _(t):
     obs = t.sql(_OBS)
-    return W.with_matching(D.observation_duplicates(obs, F.col("obs_id")), obs, "obs_id", _OBS_FIELDS)
+    return D.observation_duplicates(obs, F.col("obs_id"), fields=_OBS_FIELDS)
 
 
 @query(
