@@ -65,7 +65,7 @@ def _(t):
 )
 def _(t):
     obs = t.sql(_OBS)
-    return D.remove_duplicates(obs, "obs_id", D.observation_duplicates(obs, F.col("obs_id"))).select("obs_id", "merged")
+    return D.remove_judged(D.judged_observations(obs, F.col("obs_id")), "obs_id").select("obs_id", "merged")
 
 
 @query(
