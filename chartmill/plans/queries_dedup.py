@@ -76,8 +76,7 @@ def _(t):
 def _(t):
     obs = t.sql(_OBS)
     order = D.rank_order(F.col("confidence"), F.lit("Observation"), F.col("obs_id"))
-    dups = D.observation_duplicates(obs, order)
-    return obs.join(dups.select("obs_id"), "obs_id", "left_anti").select("obs_id")
+    return D.judged_observations(obs, order).filter("kind IS NULL").select("obs_id")
 
 
 for _name, _role, _id, _code, _third, _fields in [
