@@ -241,14 +241,30 @@ def equivalent_observations(obs: DataFrame, order: Column, keep_latest: bool = T
     text = F.trim(F.concat_ws(" ", F.col("value").cast("string"), F.col("unit")))
     rows = obs.withColumns({"__text": text, "__at": F.unix_micros(F.col("at").cast("timestamp")), "__ord": order})
     width = hours * 3_600_000_000
+    keyless = obs.filter("patient_id IS NULL OR code IS NULL")
+    small, large = split_by_size(rows.filter("patient_id IS NOT NULL AND code IS NOT NULL"), keys)
+    row = F.struct("__ord", "__at", F.struct(*obs.columns).alias("__row"))
+    groups = small.groupBy(*keys).agg(F.collect_list(row).alias("__rows"))  # SMALL_GROUP rows at most
+
+    def best(a: Column, name: str, pick) -> Column:
+        return F.coalesce(pick(F.transform(F.filter("__rows", lambda b: F.abs(a["__at"] - b["__at"]) <= width), lambda b: b[name])), a[name])
+
+    if keep_latest:
+        groups = groups.withColumn("__rows", F.transform("__rows", lambda a: F.struct(a["__ord"].alias("__ord"), a["__at"].alias("__at"), a["__row"].alias("__row"), best(a, "__ord", F.array_max).alias("__best"))))
+        kept = F.filter("__rows", lambda a: best(a, "__best", F.array_max) == a["__ord"])
+    else:
+        kept = F.filter("__rows", lambda a: best(a, "__ord", F.array_min) == a["__ord"])
+    out = groups.select(F.inline(F.transform(kept, lambda a: a["__row"]))).unionByName(keyless)
+    if large is None:
+        return out
     if keep_latest:
-        rows = within_distance(rows, keys, "__at", width, F.col("__ord"), "max", "__best")
-        rows = within_distance(rows, keys, "__at", width, F.col("__best"), "max", "__best2")
-        rows = rows.filter(F.col("__best2") == F.col("__ord"))
+        large = within_distance(large, keys, "__at", width, F.col("__ord"), "max", "__best").withColumn("__best", F.coalesce("__best", "__ord"))
+        large = within_distance(large, keys, "__at", width, F.col("__best"), "max", "__best2").withColumn("__best2", F.coalesce("__best2", "__ord"))
+        large = large.filter(F.col("__best2") == F.col("__ord"))
     else:
-        rows = within_distance(rows, keys, "__at", width, F.col("__ord"), "min", "__best")
-        rows = rows.filter(F.col("__best") == F.col("__ord"))
-    return rows.select(*obs.columns)
+        large = within_distance(large, keys, "__at", width, F.col("__ord"), "min", "__best")
+        large = large.filter(F.coalesce("__best", "__ord") == F.col("__ord"))
+    return out.unionByName(large.select(*obs.columns))
 
 
 def first_by_any_key(rows: DataFrame, row_id: str, key_sets: Sequence[Sequence[str]]) -> DataFrame:

@@ -317,3 +317,77 @@ def test_too_many_signatures_are_refused():
     assert [w for _, w in W.signatures([W.Factor("a", 3, None), W.Factor("b", 2, None), W.Factor("c", 1, None)], 0.7)] == [6, 5]
     with pytest.raises(ValueError):
         W.signatures([W.Factor(str(k), 1, None) for k in range(12)], 0.5)
+
+
+OBSERVATIONS = "patient_id bigint, obs_id string, code string, value double, unit string, at timestamp"
+
+
+def _observations():
+    rng = random.Random(11)
+    start = datetime.datetime(2020, 1, 1)
+    rows = [
+        (rng.randrange(3), f"o{i:03d}", rng.choice("ab"), rng.choice([0.0, 0.05, 1.0, 1.1, 2.0, -1.0, None]), rng.choice(["mg", "ml", None]), start + datetime.timedelta(hours=rng.randrange(200)) if rng.random() < 0.9 else None)
+        for i in range(120)
+    ]
+    return rows + [(None, "x1", "a", 1.0, "mg", start), (None, "x2", "a", 1.0, "mg", start), (1, "x3", None, 1.0, "mg", start)]
+
+
+@pytest.mark.parametrize("most", [0, 15, 1000])
+def test_observation_groups_and_distances_judge_alike(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "SMALL_GROUP", most)
+    rows = _observations()
+    df = spark.createDataFrame(rows, OBSERVATIONS)
+    fields = ["at", "code", "patient_id", "unit", "value"]
+    got = {r["obs_id"]: tuple(r)[2:] for r in D.judged_observations(df, F.col("obs_id"), fields=fields).collect()}
+
+    def near(a, b):
+        if a is None or b is None:
+            return False
+        return abs(a - b) <= 0.1 if 0 in (a, b) else abs(a - b) * 10 <= max(abs(a), abs(b)) * (1 + 1e-12)
+
+    want = {}
+    for p, i, c, v, u, at in rows:
+        met = {"copy": [], "both": [], "value": [], "time": []}
+        for q, j, d, w, x, when in rows:
+            if None in (p, c) or (p, c) != (q, d) or j >= i:
+                continue
+            time = None not in (at, when) and abs(at - when) <= datetime.timedelta(hours=24)
+            value = u is not None and u == x and near(v, w)
+            copy = value and v == w and at is not None and at == when
+            for name, hit in [("copy", copy), ("both", time and value), ("value", value), ("time", time)]:
+                met[name] += [j] if hit else []
+        first = next((n for n in met if met[n]), None)
+        if first is None:
+            want[i] = (None, None, None, None)
+            continue
+        q, j, d, w, x, when = next(r for r in rows if r[1] == min(met[first]))
+        same = ",".join(n for n, y, z in [("at", at, when), ("code", c, d), ("patient_id", p, q), ("unit", u, x), ("value", v, w)] if y == z)
+        kind = {"copy": "exact", "both": "near"}.get(first, "fuzzy")
+        want[i] = (kind, j, {"value": 0.875, "time": 0.75}.get(first, 1.0), "*" if kind == "exact" else same)
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("latest", [True, False])
+def test_equivalent_observations_like_brute_force(spark, monkeypatch, most, latest):
+    monkeypatch.setattr(D, "SMALL_GROUP", most)
+    rows = [r for r in _observations() if r[3] is not None and r[4] is not None]
+    got = {r["obs_id"] for r in D.equivalent_observations(spark.createDataFrame(rows, OBSERVATIONS), F.col("obs_id"), keep_latest=latest).collect()}
+
+    def star(a):
+        met = {b[1] for b in rows if None not in (a[0], a[2], a[5], b[5]) and (a[0], *a[2:5]) == (b[0], *b[2:5]) and abs(a[5] - b[5]) <= datetime.timedelta(hours=24)}
+        return met | {a[1]}
+
+    if latest:
+        lost = {i for a in rows for i in star(a) if i != max(star(a))}
+        assert got == {r[1] for r in rows} - lost
+    else:
+        assert got == {r[1] for r in rows if min(star(r)) == r[1]}
+
+
+@pytest.mark.parametrize("name", ["weighted_duplicates", "bundle_dedup_by_confidence", "equivalent_observations_latest", "equivalent_observations_first"])
+def test_observations_travel_once_as_groups(spark, name):
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 4 and "Window" not in plan
