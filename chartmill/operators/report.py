@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.functions import fixed, scalar as S
+from chartmill.operators.dedup import split_by_size
 from chartmill.operators.ordered import numbered, top_rows
 
 
@@ -72,17 +74,18 @@ def report_rows(conditions: DataFrame, medications: DataFrame, results: DataFram
     )
 
 
-def converted_report_rows(docs: DataFrame) -> DataFrame:
+def converted_report_rows(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Uniform report rows ``(doc_id, section, title, status, detail, day)`` of converted documents.
 
     The nine sections that the typed tables of ``report_rows`` do not have.
+    ``keys`` names what is kept of the document, its patient for example.
     """
     from chartmill.operators import convert as C
 
     none = F.lit(None).cast("string")
 
     def shape(df, section, status, day, *detail):
-        return df.select("doc_id", F.lit(section).alias("section"), F.col("name").alias("title"), status.alias("status"), F.concat_ws("; ", *detail).alias("detail"), day.alias("day"))
+        return df.select(*keys, F.lit(section).alias("section"), F.col("name").alias("title"), status.alias("status"), F.concat_ws("; ", *detail).alias("detail"), day.alias("day"))
 
     c = F.col
     tables = [
@@ -170,15 +173,44 @@ SECTIONS = [
     "practitioners", "organizations",
 ]
 PAGE_ITEMS = 500
+SMALL_SECTION = 1000  # rows of a section that are sorted as one array
 
 
-def all_report_rows(rows: DataFrame, converted: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rows of every section: those of the typed tables, and those of converted documents under their patient.
+def all_report_rows(rows: DataFrame, converted: DataFrame) -> DataFrame:
+    """Rows of every section: those of the typed tables, and those of converted documents under their ``patient_id``."""
+    return rows.unionByName(converted.select("patient_id", "section", F.col("doc_id").cast("string").alias("item_id"), "title", "status", "detail", "day"))
 
-    ``documents`` is ``(doc_id, patient_id)``.
-    """
-    own = converted.join(documents.select("doc_id", "patient_id"), "doc_id")
-    return rows.unionByName(own.select("patient_id", "section", F.col("doc_id").cast("string").alias("item_id"), "title", "status", "detail", "day"))
+
+def _pages_of_arrays(rows: DataFrame, page_items: int) -> DataFrame:
+    """Pages of sections of up to ``SMALL_SECTION`` rows, sorted as one array each."""
+    listed = rows.groupBy("patient_id", "section").agg(
+        F.collect_list(F.struct("day", F.struct("item_id", "title", "status", "detail").alias("rest"))).alias("__all"),
+        F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"),
+    )
+
+    def compare(a: Column, b: Column) -> Column:
+        x, y = a["day"], b["day"]
+        by_day = F.when(x.isNull() & y.isNotNull(), 1).when(x.isNotNull() & y.isNull(), -1).when(x > y, -1).when(x < y, 1)
+        return F.coalesce(by_day, F.when(a["rest"] < b["rest"], -1).when(a["rest"] > b["rest"], 1).otherwise(0))
+
+    def item(x: Column, i: Column) -> Column:
+        r = x["rest"]
+        return F.struct((i + 1).cast("bigint").alias("place"), r["item_id"].alias("item_id"), r["title"].alias("title"), r["status"].alias("status"), r["detail"].alias("detail"), x["day"].alias("day"))
+
+    placed = listed.withColumn("__all", F.array_sort("__all", compare)).withColumn("__all", F.transform("__all", item))
+    numbers = F.sequence(F.lit(0), F.floor((F.col("total") - 1) / page_items).cast("int"))
+    paged = placed.select("*", F.explode(numbers).alias("page"))
+    return paged.withColumn("items", F.slice("__all", F.col("page") * page_items + 1, F.lit(page_items)))
+
+
+def _pages_of_numbered(rows: DataFrame, page_items: int) -> DataFrame:
+    """Pages of sections of any size, cut along their order."""
+    order = [F.desc_nulls_last("day"), F.col("item_id"), F.col("title"), F.col("status"), F.col("detail")]
+    placed = numbered(rows, ["patient_id", "section"], order, "place").withColumn("page", F.floor((F.col("place") - 1) / page_items).cast("int"))
+    item = F.struct("place", "item_id", "title", "status", "detail", "day")
+    parts = placed.groupBy("patient_id", "page", "section").agg(F.array_sort(F.collect_list(item)).alias("items"))  # a page at most
+    totals = rows.groupBy("patient_id", "section").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
+    return parts.join(totals, ["patient_id", "section"])
 
 
 def full_report(patients: DataFrame, rows: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
@@ -189,14 +221,14 @@ def full_report(patients: DataFrame, rows: DataFrame, page_items: int = PAGE_ITE
     pages, so no row grows with a record. Sections without items are there,
     empty, on the first page; a patient without any has status ``no_data``.
     """
-    order = [F.desc_nulls_last("day"), F.col("item_id"), F.col("title"), F.col("status"), F.col("detail")]
-    placed = numbered(rows, ["patient_id", "section"], order, "place").withColumn("page", F.floor((F.col("place") - 1) / page_items).cast("int"))
-    item = F.struct("place", "item_id", "title", "status", "detail", "day")
-    parts = placed.groupBy("patient_id", "page", "section").agg(F.array_sort(F.collect_list(item)).alias("items"))  # a page at most
-    totals = rows.groupBy("patient_id", "section").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
-    entry = F.struct("section", "total", "active", "items")
-    pages = parts.join(totals, ["patient_id", "section"]).groupBy("patient_id", "page").agg(F.collect_list(entry).alias("held"))
-    counts = totals.groupBy("patient_id").agg(F.sum("total").alias("total_resources"), F.ceil(F.max("total") / page_items).cast("int").alias("pages"))
+    keys = ["patient_id", "section"]
+    small, large = split_by_size(rows, keys, SMALL_SECTION)
+    columns = ["patient_id", "page", "section", "total", "active", "items"]
+    parts = _pages_of_arrays(small, page_items).select(*columns)
+    if large is not None:
+        parts = parts.unionByName(_pages_of_numbered(large, page_items).select(*columns))
+    pages = parts.groupBy("patient_id", "page").agg(F.collect_list(F.struct("section", "total", "active", "items")).alias("held"))
+    counts = parts.filter("page = 0").groupBy("patient_id").agg(F.sum("total").alias("total_resources"), F.ceil(F.max("total") / page_items).cast("int").alias("pages"))
     out = patients.join(pages, "patient_id", "left").join(counts, "patient_id", "left")
     kind = "struct<section:string,total:bigint,active:bigint,items:array<struct<place:bigint,item_id:string,title:string,status:string,detail:string,day:string>>>"
 
