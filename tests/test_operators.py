@@ -391,3 +391,34 @@ def test_observations_travel_once_as_groups(spark, name):
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 4 and "Window" not in plan
+
+
+def test_conversion_writes_no_rows_aside(spark):
+    from chartmill.plans.extraction import extraction_documents
+    from chartmill.plans.roles import Tables
+
+    rows = C.resource_rows(extraction_documents(Tables(spark, "/root/testdata/sf0.001")))
+    assert "conversion-rows" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [0, 5, 1000])
+def test_report_pages_of_small_and_large_sections(spark, monkeypatch, small):
+    from chartmill.operators import report as R
+
+    monkeypatch.setattr(R, "SMALL_SECTION", small)
+    rng = random.Random(2)
+    rows = [(1 + (i > 30), rng.choice(["conditions", "allergies"]), f"i{i:02d}", "t", rng.choice(["active", None]), None, rng.choice([None, "2001", "2001-02", "2001-02-03"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "patient_id bigint, section string, item_id string, title string, status string, detail string, day string")
+    people = spark.createDataFrame([(p, "m", "a", "b", datetime.date(2000, 1, 1), "x", "y", "z") for p in (1, 2, 3)], "patient_id bigint, mrn string, first_name string, last_name string, birth_date date, gender string, living_setting string, phone string")
+    got = {}
+    for r in R.full_report(people, df, 3).collect():
+        for s in r["sections"]:
+            for x in s["items"]:
+                got[(r["patient_id"], s["section"], x["place"])] = (r["page"], x["item_id"], s["total"], s["active"], r["total_resources"])
+    want = {}
+    for p, k in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == (p, k)), key=lambda r: r[2])
+        own = sorted((r for r in own if r[6]), key=lambda r: r[6], reverse=True) + [r for r in own if not r[6]]
+        for n, r in enumerate(own, 1):
+            want[(p, k, n)] = ((n - 1) // 3, r[2], len(own), sum(x[4] == "active" for x in own), sum(x[0] == p for x in rows))
+    assert got == want
