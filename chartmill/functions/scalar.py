@@ -140,12 +140,16 @@ def clinical_date(column: Column, today: Column) -> Column:
     inner = F.regexp_extract(text, r"\b(\d{4}-\d{1,2}-\d{1,2})\b", 1)
     month = F.regexp_extract(text, r"(?i)\b((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b", 1)
     month = F.regexp_replace(F.initcap(F.regexp_replace(month, r"[.,]", "")), r"^([A-Z][a-z]{2})[a-z]*", "$1")
-    two = F.try_to_date(short, "M/d/yy")
+
+    def read(possible: Column, found: Column, pattern: str) -> Column:
+        # a match or parse that fails costs far more than a look at the length
+        return F.try_to_date(F.when(possible, found), pattern)
+
+    n = F.length(text)
+    two = read((n >= 6) & text.contains("/"), short, "M/d/yy")
     best = F.coalesce(
-        F.try_to_date(iso, "yyyy-MM-dd"),
-        F.try_to_date(inner, "yyyy-M-d"),
-        F.try_to_date(F.translate(slash, "-", "/"), "M/d/yyyy"),
-        F.try_to_date(squeeze(month), "MMM d yyyy"),
+        read((n >= 10) & (F.substring(text, 5, 1) == "-"), iso, "yyyy-MM-dd"), read((n >= 8) & text.contains("-"), inner, "yyyy-M-d"),
+        read(n >= 8, F.translate(slash, "-", "/"), "M/d/yyyy"), read(n >= 10, squeeze(month), "MMM d yyyy"),
         F.when(F.year(two) >= 2050, F.add_months(two, -1200)).otherwise(two),
     )
     return F.when(best.between(F.lit(EARLIEST).cast("date"), F.add_months(today, 12)), best)

@@ -37,9 +37,18 @@ CLINICAL_LISTS = ["conditions", "medications", "vital_signs", "lab_results", "pr
 LINKED_TYPES = ["Observation", "Condition", "Procedure", "MedicationStatement", "DiagnosticReport", "ServiceRequest", "Immunization"]
 
 
+def taken_out(docs: DataFrame, *names: str) -> DataFrame:
+    """Keys of the documents and the named lists as columns."""
+    return docs.select("doc_id", "patient_id", "clinical_date", "run_date", *[F.col(f"data.{n}").alias(n) for n in names])
+
+
 def items(docs: DataFrame, name: str) -> DataFrame:
-    """One row per list entry as struct ``x`` with its position."""
-    return docs.select("doc_id", "patient_id", "clinical_date", "run_date", F.posexplode(F.col(f"data.{name}")).alias("ord", "x"))
+    """One row per list entry as struct ``x`` with its position.
+
+    The list is taken out of the document before it is spread: what other lists
+    are made of, with the joins for it, then falls out of the plan.
+    """
+    return taken_out(docs, name).select("doc_id", "patient_id", "clinical_date", "run_date", F.posexplode(name).alias("ord", "x"))
 
 
 def filled(column: str | Column) -> Column:
@@ -169,7 +178,7 @@ def medications_from_text(docs: DataFrame, column: str = "medication_text") -> D
 
 
 def _claims() -> Column:
-    names = F.transform(F.coalesce("data.immunizations", F.array()), lambda i: F.lower(F.trim(i["vaccine_name"])))
+    names = F.transform(F.coalesce("immunizations", F.array()), lambda i: F.lower(F.trim(i["vaccine_name"])))
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 
@@ -192,7 +201,7 @@ def immunizations(docs: DataFrame) -> DataFrame:
     )
     # fold over the procedures of one document: a name taken once claims its later matches
     candidates = F.filter(
-        F.transform(F.coalesce("data.procedures", F.array()), lambda p, i: F.struct(i.alias("i"), F.lower(F.trim(p["name"])).alias("n"))),
+        F.transform(F.coalesce("procedures", F.array()), lambda p, i: F.struct(i.alias("i"), F.lower(F.trim(p["name"])).alias("n"))),
         lambda p: S.is_vaccine(p["n"]),
     )
     start = F.struct(_claims().alias("seen"), F.array().cast("array<int>").alias("taken"))
@@ -201,8 +210,8 @@ def immunizations(docs: DataFrame) -> DataFrame:
         met = F.exists(state["seen"], lambda s: _names_meet(p["n"], s))
         return F.when(met, state).otherwise(F.struct(F.array_append(state["seen"], p["n"]).alias("seen"), F.array_append(state["taken"], p["i"]).alias("taken")))
 
-    chosen = docs.withColumn("__taken", F.aggregate(candidates, start, claim)["taken"])
-    taken = chosen.select("doc_id", "patient_id", "clinical_date", "run_date", "__taken", F.posexplode("data.procedures").alias("ord", "x")).filter(
+    chosen = taken_out(docs, "immunizations", "procedures").withColumn("__taken", F.aggregate(candidates, start, claim)["taken"])
+    taken = chosen.select("doc_id", "patient_id", "clinical_date", "run_date", "__taken", F.posexplode("procedures").alias("ord", "x")).filter(
         F.array_contains("__taken", F.col("ord"))
     )
     converted = taken.select(
@@ -214,7 +223,8 @@ def immunizations(docs: DataFrame) -> DataFrame:
 
 def procedures(docs: DataFrame) -> DataFrame:
     """Procedures without the vaccine-like ones."""
-    rows = docs.select("doc_id", "patient_id", "clinical_date", "run_date", _claims().alias("claims"), F.posexplode("data.procedures").alias("ord", "x"))
+    lists = taken_out(docs, "immunizations", "procedures")
+    rows = lists.select("doc_id", "patient_id", "clinical_date", "run_date", _claims().alias("claims"), F.posexplode("procedures").alias("ord", "x"))
     return rows.filter(filled("x.name") & ~S.is_vaccine(F.col("x.name"), F.col("claims"))).select(
         *_base("Procedure"), F.trim("x.name").alias("name"), F.trim("x.cpt_code").alias("code"), F.lit("completed").alias("status"),
         clinical_or("x.procedure_date").alias("effective"), F.trim("x.provider").alias("performer"), F.trim("x.outcome").alias("outcome"), *_evidence(),
