@@ -182,8 +182,12 @@ def all_report_rows(rows: DataFrame, converted: DataFrame) -> DataFrame:
 
 
 def _pages_of_arrays(rows: DataFrame, page_items: int) -> DataFrame:
-    """Pages of sections of up to ``SMALL_SECTION`` rows, sorted as one array each."""
-    listed = rows.groupBy("patient_id", "section").agg(
+    """Pages of sections of up to ``SMALL_SECTION`` rows, sorted as one array each.
+
+    The rows move once, by patient, and stay there for the pages: a patient
+    has few sections, each of bounded size.
+    """
+    listed = rows.repartition("patient_id").groupBy("patient_id", "section").agg(
         F.collect_list(F.struct("day", F.struct("item_id", "title", "status", "detail").alias("rest"))).alias("__all"),
         F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"),
     )

@@ -21,3 +21,9 @@ def plan_of(df, part="executedPlan"):
 
 def test_sections_of_documents_do_not_join_lists_they_do_not_read(spark):
     assert "Join" not in plan_of(QUERIES["converted_report_rows"](spark, FOLDER))
+
+
+def test_full_report_moves_its_rows_once_and_writes_no_documents(spark):
+    plan = plan_of(QUERIES["full_report"](spark, FOLDER))
+    assert "hashpartitioning(patient_id" in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(patient_id" in line and ", page" in line]
