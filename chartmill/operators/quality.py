@@ -247,9 +247,10 @@ def config_issues(configs: DataFrame) -> DataFrame:
 
 def leaked_names(patients: DataFrame, search_rows: DataFrame) -> DataFrame:
     """Search rows whose text holds a word equal to the patient's own last name or record number."""
-    words = search_rows.select("patient_id", "code", "display", F.explode(F.array_distinct(F.split(F.lower("display"), r"[^\p{L}\d]+"))).alias("word"))
-    private = patients.select("patient_id", F.explode(F.array(F.lower("last_name"), F.lower("mrn"))).alias("word"))
-    return words.join(private, ["patient_id", "word"], "left_semi").select("patient_id", "code", "display")
+    words = F.split(F.lower("display"), r"[^\p{L}\d]+")
+    own = F.array_distinct(F.flatten(F.collect_list(F.array(F.lower("last_name"), F.lower("mrn")))))
+    private = patients.groupBy("patient_id").agg(own.alias("__private"))
+    return search_rows.join(private, "patient_id").filter(F.arrays_overlap(words, "__private")).select("patient_id", "code", "display")
 
 
 def unmatched_types(categories: DataFrame, produced: DataFrame) -> DataFrame:

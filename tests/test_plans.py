@@ -27,3 +27,11 @@ def test_full_report_moves_its_rows_once_and_writes_no_documents(spark):
     plan = plan_of(QUERIES["full_report"](spark, FOLDER))
     assert "hashpartitioning(patient_id" in plan
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(patient_id" in line and ", page" in line]
+
+
+def test_leaked_row_with_name_and_number_is_listed_once(spark):
+    people = spark.createDataFrame([(1, "Meyer", "MRN1"), (2, "Li", "MRN2"), (2, None, "MRN9")], "patient_id bigint, last_name string, mrn string")
+    rows = [(1, "a", "mrn1 of Meyer"), (1, "b", "Li"), (2, "c", "LI, x"), (2, "d", "mrn9"), (3, "e", "Meyer"), (1, "f", None)]
+    got = V.leaked_names(people, spark.createDataFrame(rows, "patient_id bigint, code string, display string"))
+    assert sorted(r["code"] for r in got.collect()) == ["a", "c", "d"]
+    assert "explode" not in plan_of(got)
