@@ -140,7 +140,8 @@ def duplicate_patients(patients: DataFrame, threshold: float = 0.8) -> DataFrame
 def similar_codes(codes: DataFrame, code: str, k: int = 10, threshold: float = 0.8) -> DataFrame:
     """Most similar other codes of each code: 0.7 text ratio plus 0.3 shape ratio."""
     plain = F.lower(F.regexp_replace(F.col(code), r"[^\w]", ""))
-    table = codes.select(F.col(code).alias("raw"), plain.alias("plain")).distinct()
+    # few codes stand in many rows: the rows are read once
+    table = cut_lineage(codes.select(F.col(code).alias("raw"), plain.alias("plain")).distinct())
     least = (threshold - 0.3) / 0.7
     pairs = similar_texts(table, [], "plain", least - 1e-9).drop("ratio")
     same = table.select(F.col("plain").alias("text_a"), F.col("plain").alias("text_b")).distinct()

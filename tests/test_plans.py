@@ -35,3 +35,9 @@ def test_leaked_row_with_name_and_number_is_listed_once(spark):
     got = V.leaked_names(people, spark.createDataFrame(rows, "patient_id bigint, code string, display string"))
     assert sorted(r["code"] for r in got.collect()) == ["a", "c", "d"]
     assert "explode" not in plan_of(got)
+
+
+def test_similar_codes_reads_its_rows_once(spark):
+    codes = spark.range(1000).select(F.concat(F.lit("ABCDEFGH-"), (F.col("id") % 5).cast("string")).alias("c"))
+    out = X.similar_codes(codes, "c")
+    assert "Range (0" not in plan_of(out) and out.count() == 20
