@@ -16,33 +16,59 @@ def _prefix(parts: Column, n: int) -> Column:
     return F.when(F.size(parts) >= n, F.array_join(F.slice(parts, 1, n), "-"))
 
 
-def match_by_date(rows: DataFrame, row_id: str, encounters: DataFrame) -> DataFrame:
-    """First encounter of the patient whose date agrees at the shared precision.
-
-    ``rows(patient_id, <row_id>, date_text)``; ``encounters(patient_id, encounter_id, date_text)``
-    in order of ``encounter_id``. Two dates agree when the coarser one is a
-    prefix of the finer one. The encounter side is first reduced to one row per
-    (patient, key), so a crowded day joins one row to one row: keys of all
-    prefixes answer rows of equal or coarser date, keys of whole texts answer
-    finer rows. Returns ``(row_id, by_date)``.
+def by_date_offers(encounters: DataFrame) -> DataFrame:
+    """First encounter per patient and date key, as one map for each year of a patient.
+
+    Two dates agree when the coarser one is a prefix of the finer one, so they
+    share their year. Keys of all prefixes (``prefix:``) answer rows of equal
+    or coarser date, keys of whole texts (``whole:``) finer rows. A year has
+    few different keys however many encounters it has.
     """
-    enc_parts = S.date_parts(F.col("date_text"))
+    parts = S.date_parts(F.col("date_text"))
     keys = F.array(
-        *[F.struct(_prefix(enc_parts, n).alias("key"), F.lit("prefix").alias("mode")) for n in (1, 2, 3)],
-        F.struct(_prefix(enc_parts, 1).alias("key"), F.when(F.size(enc_parts) == 1, "whole").alias("mode")),
-        F.struct(_prefix(enc_parts, 2).alias("key"), F.when(F.size(enc_parts) == 2, "whole").alias("mode")),
+        *[F.concat(F.lit("prefix:"), _prefix(parts, n)) for n in (1, 2, 3)],
+        *[F.when(F.size(parts) == n, F.concat(F.lit("whole:"), _prefix(parts, n))) for n in (1, 2)],
     )
-    offers = (
-        encounters.filter("date_text IS NOT NULL").select("patient_id", "encounter_id", F.inline(keys))
-        .filter("key IS NOT NULL AND mode IS NOT NULL").groupBy("patient_id", "key", "mode").agg(F.min("encounter_id").alias("by_date"))
+    first = (
+        encounters.filter("date_text IS NOT NULL").select("patient_id", "encounter_id", _prefix(parts, 1).alias("__year"), F.explode(F.array_compact(keys)).alias("key"))
+        .groupBy("patient_id", "__year", "key").agg(F.min("encounter_id").alias("first"))
     )
+    return first.groupBy("patient_id", "__year").agg(F.map_from_entries(F.collect_list(F.struct("key", "first"))).alias("__by_key"))
+
+
+def with_date_match(rows: DataFrame, encounters: DataFrame, lone: bool = False) -> DataFrame:
+    """Add ``by_date``: first encounter of the patient whose date agrees at the shared precision.
+
+    ``rows(patient_id, date_text)``; ``encounters(patient_id, encounter_id, date_text)`` in order of
+    ``encounter_id``. Rows move once, by patient and year, to the map of that
+    year. With ``lone`` an undated row gets the patient's only encounter in
+    ``__lone``, which stands beside the years.
+    """
+    offers = by_date_offers(encounters).withColumn("__lone", F.lit(None).cast(encounters.schema["encounter_id"].dataType))
+    if lone:
+        only = encounters.groupBy("patient_id").agg(F.count("*").alias("__n"), F.min("encounter_id").alias("__lone")).filter("__n = 1")
+        offers = offers.unionByName(only.select("patient_id", F.lit("").alias("__year"), "__lone"), allowMissingColumns=True)
     parts = S.date_parts(F.col("date_text"))
-    probes = F.array(
-        F.struct(F.array_join(F.slice(parts, 1, 3), "-").alias("key"), F.lit("prefix").alias("mode")),
-        *[F.struct(F.when(F.size(parts) > n, _prefix(parts, n)).alias("key"), F.lit("whole").alias("mode")) for n in (1, 2)],
-    )
-    asked = rows.filter("date_text IS NOT NULL").select("patient_id", row_id, F.inline(probes)).filter("key IS NOT NULL")
-    return asked.join(offers, ["patient_id", "key", "mode"]).groupBy(row_id).agg(F.min("by_date").alias("by_date"))
+    year = F.when(F.col("date_text").isNull(), "").otherwise(_prefix(parts, 1))
+    out = rows.withColumn("__year", year).join(offers, ["patient_id", "__year"], "left")
+
+    def offered(key: Column) -> Column:
+        return F.try_element_at("__by_key", key)
+
+    finer = [F.when(F.size(parts) > n, offered(F.concat(F.lit("whole:"), _prefix(parts, n)))) for n in (1, 2)]
+    asked = offered(F.concat(F.lit("prefix:"), F.array_join(F.slice(parts, 1, 3), "-")))
+    return out.withColumn("by_date", F.least(asked, *finer)).drop("__year", "__by_key")
+
+
+def match_by_date(rows: DataFrame, row_id: str, encounters: DataFrame) -> DataFrame:
+    """Rows ``(row_id, by_date)`` that ``with_date_match`` finds an encounter for."""
+    return with_date_match(rows, encounters).filter("by_date IS NOT NULL").groupBy(row_id).agg(F.min("by_date").alias("by_date"))
+
+
+def _with_reference(rows: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Add ``by_ref``: the hinted encounter, if it is known."""
+    known = encounters.select(F.col("encounter_id").alias("encounter_ref"), F.col("encounter_id").alias("by_ref"))
+    return rows.join(known, "encounter_ref", "left")
 
 
 def link_encounters(rows: DataFrame, row_id: str, encounters: DataFrame) -> DataFrame:
@@ -51,25 +77,20 @@ def link_encounters(rows: DataFrame, row_id: str, encounters: DataFrame) -> Data
     A column ``encounter_ref`` of ``rows`` is the hint; one to an unknown encounter is ignored.
     """
     if "encounter_ref" in rows.columns:
-        known = encounters.select(F.col("encounter_id").alias("encounter_ref"), F.col("encounter_id").alias("by_ref"))
-        hinted = rows.join(known, "encounter_ref", "left")
+        hinted = _with_reference(rows, encounters)
     else:
         hinted = rows.withColumn("by_ref", F.lit(None).cast(encounters.schema["encounter_id"].dataType))
-    lone = encounters.groupBy("patient_id").agg(F.count("*").alias("__n"), F.min("encounter_id").alias("__lone")).filter("__n = 1").drop("__n")
-    out = hinted.join(match_by_date(rows, row_id, encounters), row_id, "left").join(lone, "patient_id", "left")
-    undated = F.col("date_text").isNull()
+    out = with_date_match(hinted, encounters, lone=True)
     tier = (
         F.when(F.col("by_ref").isNotNull(), "reference").when(F.col("by_date").isNotNull(), "date")
-        .when(undated & F.col("__lone").isNotNull(), "lone").otherwise("unlinked")
+        .when(F.col("__lone").isNotNull(), "lone").otherwise("unlinked")
     )
-    visit = F.coalesce("by_ref", "by_date", F.when(undated, F.col("__lone")))
-    return out.withColumns({"visit": visit, "tier": tier}).drop("by_ref", "by_date", "__lone")
+    return out.withColumns({"visit": F.coalesce("by_ref", "by_date", "__lone"), "tier": tier}).drop("by_ref", "by_date", "__lone")
 
 
 def group_by_visit(rows: DataFrame, row_id: str, encounters: DataFrame) -> DataFrame:
     """Counts per visit and tier; rows without a visit stay under 'unlinked'."""
-    known = encounters.select(F.col("encounter_id").alias("encounter_ref"), F.col("encounter_id").alias("by_ref"))
-    out = rows.join(known, "encounter_ref", "left").join(match_by_date(rows, row_id, encounters), row_id, "left")
+    out = with_date_match(_with_reference(rows, encounters), encounters)
     visit = F.coalesce(F.coalesce("by_ref", "by_date").cast("string"), F.lit("unlinked"))
     tier = F.when(F.col("by_ref").isNotNull(), "reference").when(F.col("by_date").isNotNull(), "date").otherwise("unlinked")
     return out.groupBy("patient_id", visit.alias("visit"), tier.alias("tier")).agg(F.count("*").alias("n"))

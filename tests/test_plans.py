@@ -41,3 +41,22 @@ def test_similar_codes_reads_its_rows_once(spark):
     codes = spark.range(1000).select(F.concat(F.lit("ABCDEFGH-"), (F.col("id") % 5).cast("string")).alias("c"))
     out = X.similar_codes(codes, "c")
     assert "Range (0" not in plan_of(out) and out.count() == 20
+
+
+def test_rows_meet_the_encounters_of_their_year_without_being_multiplied(spark):
+    visits = [(7, "2020"), (5, "2020-03"), (6, "2020-03-04"), (4, "2021-01-01"), (3, None)]
+    visits = spark.createDataFrame([(1, *v) for v in visits] + [(2, 9, None)], "patient_id bigint, encounter_id bigint, date_text string")
+    asked = {"a": "2020", "b": "2020-03", "c": "2020-03-04", "d": "2020-03-05", "e": "2020-04", "f": "2021", "g": "2022", "h": None, "i": ""}
+    rows = spark.createDataFrame([(1, k, v) for k, v in asked.items()] + [(2, "z", None)], "patient_id bigint, row string, date_text string")
+    out = L.link_encounters(rows, "row", visits)
+    got = {r["row"]: (r["visit"], r["tier"]) for r in out.collect()}
+    assert got == {
+        "a": (5, "date"), "b": (5, "date"), "c": (5, "date"), "d": (5, "date"), "e": (7, "date"), "f": (4, "date"), "g": (None, "unlinked"),
+        "h": (None, "unlinked"), "i": (None, "unlinked"), "z": (9, "lone"),
+    }
+    assert plan_of(out, "optimizedPlan").count("Generate ") == 1
+
+
+def test_visit_groups_move_rows_without_multiplying_them(spark):
+    plan = plan_of(QUERIES["visit_grouping_three_tier"](spark, FOLDER), "optimizedPlan")
+    assert plan.count("Generate ") == 1
