@@ -647,8 +647,8 @@ def parse_medication(column: Column) -> Column:
     text = F.trim(column)
     low = F.lower(text)
     every = fixed.MED_DOSAGE + fixed.MED_ROUTE + fixed.MED_SCHEDULE
-    hits = [F.nullif(F.regexp_instr(low, F.lit(p)), F.lit(0)) for p in every]
-    start = F.least(*hits)
+    # the first match of any pattern starts where the earliest of them does
+    start = F.nullif(F.regexp_instr(low, F.lit("|".join(f"(?:{p})" for p in every))), F.lit(0))
     head = squeeze(F.when(start.isNotNull(), text.substr(F.lit(1), start - 1)).otherwise(text))
     name = F.regexp_replace(head, r"^[,\-\s]+|[,\-\s]+$", "")
     return F.struct(

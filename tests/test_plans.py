@@ -60,3 +60,8 @@ def test_rows_meet_the_encounters_of_their_year_without_being_multiplied(spark):
 def test_visit_groups_move_rows_without_multiplying_them(spark):
     plan = plan_of(QUERIES["visit_grouping_three_tier"](spark, FOLDER), "optimizedPlan")
     assert plan.count("Generate ") == 1
+
+
+def test_medication_name_ends_at_one_match_of_all_patterns(spark):
+    plan = plan_of(QUERIES["medication_sentence_parse"](spark, FOLDER), "optimizedPlan")
+    assert 1 <= plan.count("regexp_instr") <= 10
