@@ -388,9 +388,8 @@ LABEL_CATEGORY_SQL = "CASE " + " ".join(
           {case_map('d', {k: v[1] for k, v in fixed.FIELD_RESOURCE.items()}, 'd')} AS path FROM x""",
 )
 def _(t):
-    c = F.col("label")
-    d = S.demographic_label(c)
-    return t.fields.select(
+    c, d = F.col("label"), F.col("demographic")
+    return t.fields.withColumn("demographic", S.demographic_label(c)).select(
         *KEYS, S.label_category(c).alias("category"), S.comparison_category(c).alias("comparison_category"),
         S.resource_of_field(d).alias("resource"), S.resource_path_of_field(d).alias("path"),
     )

@@ -65,3 +65,8 @@ def test_visit_groups_move_rows_without_multiplying_them(spark):
 def test_medication_name_ends_at_one_match_of_all_patterns(spark):
     plan = plan_of(QUERIES["medication_sentence_parse"](spark, FOLDER), "optimizedPlan")
     assert 1 <= plan.count("regexp_instr") <= 10
+
+
+def test_label_rules_are_evaluated_once_for_resource_and_path(spark):
+    plan = plan_of(QUERIES["field_label_category"](spark, FOLDER), "optimizedPlan")
+    assert plan.count("RLIKE") < 60
