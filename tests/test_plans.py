@@ -70,3 +70,12 @@ def test_medication_name_ends_at_one_match_of_all_patterns(spark):
 def test_label_rules_are_evaluated_once_for_resource_and_path(spark):
     plan = plan_of(QUERIES["field_label_category"](spark, FOLDER), "optimizedPlan")
     assert plan.count("RLIKE") < 60
+
+
+def test_key_values_behind_a_long_run_of_words(spark):
+    rows = [(1, "word " * 60_000 + "; Name: Jo\n 12 Age: 7\nNote:\n: x\nEnd"), (2, "a b: c: d"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    start = time.time()
+    got = sorted((r["doc_id"], r["label"], r["value"]) for r in E.key_value_fields(docs).collect())
+    assert got == [(1, "Age", "7"), (1, "Name", "Jo"), (2, "a b", "c")]
+    assert time.time() - start < 8
