@@ -79,3 +79,8 @@ def test_key_values_behind_a_long_run_of_words(spark):
     got = sorted((r["doc_id"], r["label"], r["value"]) for r in E.key_value_fields(docs).collect())
     assert got == [(1, "Age", "7"), (1, "Name", "Jo"), (2, "a b", "c")]
     assert time.time() - start < 8
+
+
+def test_dates_use_all_tasks_of_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, "seen 2023-04-01") for i in range(100)], "doc_id bigint, text string").coalesce(1)
+    assert E.extract_dates(docs, "2024-06-15").select(F.spark_partition_id()).distinct().count() > 1
