@@ -84,3 +84,8 @@ def test_key_values_behind_a_long_run_of_words(spark):
 def test_dates_use_all_tasks_of_a_shuffle(spark):
     docs = spark.createDataFrame([(i, "seen 2023-04-01") for i in range(100)], "doc_id bigint, text string").coalesce(1)
     assert E.extract_dates(docs, "2024-06-15").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_section_chunks_use_all_tasks_of_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id bigint, text string").coalesce(1)
+    assert T.section_chunks(docs).select(F.spark_partition_id()).distinct().count() > 1
