@@ -37,6 +37,7 @@ def _date_of(shape: str, parts: tuple[str, ...]) -> datetime.date | None:
 
 
 # shapes of a single word that is a date; years must be given, for a missing one would be that of the run
+_DIGIT = re.compile(r"\d")
 _LOOSE = [(re.compile(p, re.IGNORECASE), shape) for p, shape in (
     (r"\D*(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})\D*", "ymd"),
     (r"\W*(\d{1,2})[/.\-]?([a-z]{3,9})[/.\-]?(\d{4}|\d{2})\W*", "dby"),
@@ -81,6 +82,9 @@ def dates_in_text(text: str, latest: datetime.date) -> list[tuple]:
     spans = sorted(m.span() for m, _, _ in found)
     begins, reach = [b for b, _ in spans], list(accumulate((e for _, e in spans), max))
     for m in re.finditer(r"\S+", text):
+        # no shape of a date is without a digit
+        if not _DIGIT.search(m.group(0)):
+            continue
         before = bisect_right(begins, m.start())
         if not before or reach[before - 1] < m.start():
             hits.append((m.start(), m.group(0), _loose_date(m.group(0)), round(_loose_confidence(m.group(0)), 2), "fuzzy"))

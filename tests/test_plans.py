@@ -89,3 +89,12 @@ def test_dates_use_all_tasks_of_a_shuffle(spark):
 def test_section_chunks_use_all_tasks_of_a_shuffle(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id bigint, text string").coalesce(1)
     assert T.section_chunks(docs).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_words_without_a_digit_are_not_read_as_dates(monkeypatch):
+    import datetime
+
+    read, seen = E._loose_date, []
+    monkeypatch.setattr(E, "_loose_date", lambda token: seen.append(token) or read(token))
+    hits = E.dates_in_text("seen again on 2023/4/11 by the ward", datetime.date(2025, 6, 15))
+    assert [h[2] for h in hits] == [datetime.date(2023, 4, 11)] and seen == ["2023/4/11"]
