@@ -98,3 +98,8 @@ def test_words_without_a_digit_are_not_read_as_dates(monkeypatch):
     monkeypatch.setattr(E, "_loose_date", lambda token: seen.append(token) or read(token))
     hits = E.dates_in_text("seen again on 2023/4/11 by the ward", datetime.date(2025, 6, 15))
     assert [h[2] for h in hits] == [datetime.date(2023, 4, 11)] and seen == ["2023/4/11"]
+
+
+def test_text_of_one_chunk_is_not_searched_for_breaks(monkeypatch):
+    monkeypatch.setattr(T, "BreakPoints", None)
+    assert list(T.section_spans("a short text", 4000, 200)) == [(0, 12)] and list(T.section_spans("", 4000, 200)) == []
