@@ -11,7 +11,7 @@ from chartmill.streaming import jobs as J
 def _written(t, rows):
     """Folder of captures that this run wrote from ``rows(kind, stage, document_id, content)``."""
     folder = f"{shared_folder(t.spark)}/captures-{t.run_id()}"
-    C.write_captures(rows, folder)
+    C.write_captures(rows, folder, spread=True)
     return folder
 
 

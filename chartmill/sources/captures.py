@@ -2,7 +2,8 @@
 
 A capture is one JSON file per document and stage, named by both. Python lists
 the folder and moves file contents; the contents are parsed by Spark with
-fixed schemas (``parsed_*``).
+fixed schemas (``parsed_*``). Many captures are spread over subfolders by their
+document: tasks then list them, and don't wait for each other to add a file.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import datetime
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -28,6 +29,9 @@ NAME = re.compile(r"^(?:(pdf_text|llm_output|fhir_data|raw_llm_response)|error_(
 ROW = "kind string, stage string, document_id bigint, file string, modified timestamp, length bigint, content string"
 # files and bytes that one task reads
 GROUP_FILES, GROUP_BYTES = 1000, 32 << 20
+# subfolders of a spread folder, and those that one task reads
+FOLDERS, GROUP_FOLDERS = 256, 8
+FOLDER = re.compile(r"^(\d+)-of-(\d+)$")
 _EPOCH = datetime.datetime(1970, 1, 1)
 
 
@@ -69,11 +73,22 @@ def captures_in(path: str, kind: str | None = None, document_id: int | None = No
     return sorted(found, key=lambda c: c.position)
 
 
+def subfolders(path: str, document_id: int | None = None) -> list[str]:
+    """Subfolders of a spread folder, by name; of one document, those that may hold it."""
+    files, folder = open_folder(path)
+    found = []
+    for info in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        named = FOLDER.match(info.base_name)
+        if named and not info.is_file and (document_id is None or document_id % int(named[2]) == int(named[1])):
+            found.append(f"{path.rstrip('/')}/{info.base_name}")
+    return sorted(found)
+
+
 class Group(InputPartition):
-    """Files that one task reads."""
+    """Files that one task reads, and subfolders that it lists itself."""
 
-    def __init__(self, captures: list[Capture]):
-        self.captures = captures
+    def __init__(self, captures: list[Capture], folders: Sequence[str] = ()):
+        self.captures, self.folders = captures, folders
 
 
 def grouped(captures: list[Capture]) -> list[Group]:
@@ -115,10 +130,15 @@ class CaptureReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return grouped(captures_in(self.path, self.kind, self.document_id))
+        flat = captures_in(self.path, self.kind, self.document_id)
+        folders = subfolders(self.path, self.document_id)
+        spread = [Group([], folders[k:k + GROUP_FOLDERS]) for k in range(0, len(folders), GROUP_FOLDERS)]
+        return (grouped(flat) if flat or not spread else []) + spread
 
     def read(self, partition):
         yield from rows_of(self.path, partition.captures, self.content)
+        for folder in partition.folders:
+            yield from rows_of(folder, captures_in(folder, self.kind, self.document_id), self.content)
 
 
 class CaptureStream(DataSourceStreamReader):
@@ -134,13 +154,16 @@ class CaptureStream(DataSourceStreamReader):
     def initialOffset(self):
         return {"modified": -1, "path": ""}
 
+    def _found(self) -> list[Capture]:
+        return sorted((c for f in [self.path, *subfolders(self.path)] for c in captures_in(f, self.kind)), key=lambda c: c.position)
+
     def latestOffset(self):
-        found = captures_in(self.path, self.kind)
+        found = self._found()
         return {"modified": found[-1].modified, "path": found[-1].path} if found else self.initialOffset()
 
     def partitions(self, start, end):
         after, until = (start["modified"], start["path"]), (end["modified"], end["path"])
-        return grouped([c for c in captures_in(self.path, self.kind) if after < c.position <= until])
+        return grouped([c for c in self._found() if after < c.position <= until])
 
     def read(self, partition):
         yield from rows_of(self.path, partition.captures, True)
@@ -149,16 +172,22 @@ class CaptureStream(DataSourceStreamReader):
 class CaptureWriter(DataSourceWriter):
     """Writes ``(kind, stage, document_id, content)`` as files, each under a name of its own until it is whole.
 
-    A repeated task replaces its files with equal ones.
+    A repeated task replaces its files with equal ones. With ``folders`` the
+    files are spread over so many subfolders.
     """
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.folders = options["path"], int(options.get("folders", "0"))
 
     def write(self, iterator):
-        files, folder = open_folder(self.path)
-        files.create_dir(folder)
+        files, root = open_folder(self.path)
+        files.create_dir(root)
+        made = {root}
         for row in iterator:
+            folder = f"{root}/{row.document_id % self.folders:03d}-of-{self.folders}" if self.folders else root
+            if folder not in made:
+                files.create_dir(folder)
+                made.add(folder)
             stage = f"{row.stage}_" if row.kind == "error" else ""
             name = f"{folder}/{PREFIXES[row.kind]}{stage}{row.document_id}.json"
             part = f"{folder}/.{uuid.uuid4().hex}"
@@ -169,7 +198,7 @@ class CaptureWriter(DataSourceWriter):
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("captures")``: options ``path``, ``kind``, ``documentId``, ``content`` (false: list only)."""
+    """``spark.read.format("captures")``: options ``path``, ``kind``, ``documentId``, ``content`` (false: list only), ``folders`` (of a writer)."""
 
     @classmethod
     def name(cls):
@@ -202,10 +231,19 @@ def read_captures(spark: SparkSession, path: str, kind: str | None = None, docum
     return reader.load()
 
 
-def write_captures(rows: DataFrame, path: str) -> None:
-    """Write ``(kind, stage, document_id, content)``; files of the same name are replaced."""
-    register_captures(rows.sparkSession)
-    rows.select("kind", "stage", "document_id", "content").write.format("captures").option("path", path).mode("append").save()
+def write_captures(rows: DataFrame, path: str, spread: bool = False) -> None:
+    """Write ``(kind, stage, document_id, content)``; files of the same name are replaced.
+
+    ``spread`` writes from all tasks of a shuffle into subfolders, each from one task; a folder keeps one of both forms.
+    """
+    spark = rows.sparkSession
+    register_captures(spark)
+    rows = rows.select("kind", "stage", "document_id", "content")
+    if spread:
+        tasks = min(FOLDERS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        folder = F.pmod("document_id", F.lit(FOLDERS))
+        rows = rows.repartitionById(tasks, (folder % tasks).cast("int")).sortWithinPartitions(folder)
+    rows.write.format("captures").option("path", path).option("folders", str(FOLDERS if spread else 0)).mode("append").save()
 
 
 def listed(captures: DataFrame) -> DataFrame:

@@ -93,3 +93,20 @@ def test_stream_goes_on_behind_its_offset(spark, folder):
     time.sleep(0.01)
     put(f"{folder}/in", "error_s_3.json", "{}")
     assert run() == [1, 2, 3]
+
+
+def test_spread_captures_are_listed_by_tasks(spark, folder):
+    kinds = F.explode(F.array(F.lit("error"), F.lit("extraction"))).alias("kind")
+    rows = spark.range(600).select(kinds, F.lit("s").alias("stage"), F.col("id").alias("document_id"), F.concat(F.lit('{"document_id": '), "id", F.lit("}")).alias("content"))
+    for _ in range(2):
+        C.write_captures(rows, f"file:{folder}/out", spread=True)
+    assert len(os.listdir(f"{folder}/out")) == C.FOLDERS and max(len(os.listdir(f"{folder}/out/{f}")) for f in os.listdir(f"{folder}/out")) == 6
+    got = sorted((r.kind, r.document_id, r.file, r.content) for r in C.read_captures(spark, f"{folder}/out").collect())
+    assert got == sorted((k, d, f"{n}_{d}.json", f'{{"document_id": {d}}}') for k, n in (("error", "error_s"), ("extraction", "llm_output")) for d in range(600))
+    groups = C.CaptureReader({"path": f"{folder}/out"}).partitions()
+    assert sum(len(g.captures) for g in groups) == 0 and max(len(g.folders) for g in groups) == C.GROUP_FOLDERS
+    one = C.CaptureReader({"path": f"file:{folder}/out", "documentid": "300"}).partitions()
+    assert [f.rsplit("/", 1)[1] for g in one for f in g.folders] == [f"044-of-{C.FOLDERS}"]
+    assert {(r.kind, r.document_id) for r in C.read_captures(spark, f"{folder}/out", document_id=300).collect()} == {("error", 300), ("extraction", 300)}
+    put(f"{folder}/out", "llm_output_9999.json", "{}")
+    assert C.read_captures(spark, f"{folder}/out").count() == 1201 and len(C.CaptureStream({"path": f"{folder}/out"})._found()) == 1201
