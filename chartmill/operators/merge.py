@@ -292,15 +292,23 @@ def merge_run(existing: DataFrame, new: DataFrame, run_ts: str) -> dict[str, Dat
     merged = merge_documents(existing, usable)
     order = rank_order(F.col("confidence"), F.col("resource_type"), F.col("resource_id"))
     kept = first_per_key(merged, [F.col("patient_id"), F.col("resource_type"), F.col("code"), F.col("body"), F.col("updated_at")], order)
-    counts = usable.groupBy("resource_type").agg(F.count("*").alias("incoming"))
-    before = merged.groupBy("resource_type").agg(F.count("*").alias("merged"))
-    after = kept.groupBy("resource_type").agg(F.count("*").alias("kept"))
     return {
         "store": kept, "issues": row_issues(new), "provenance": provenance_rows(usable, "merge", run_ts),
-        "counts": before.join(after, "resource_type", "left").join(counts, "resource_type", "left").fillna(0),
+        "counts": _run_counts(existing, usable),
     }
 
 
+def _run_counts(existing: DataFrame, usable: DataFrame) -> DataFrame:
+    """Rows per type after replacing, after deduplication and of the incoming documents, in one pass.
+
+    Which row of a key stays doesn't matter for them, so keys move without the rows behind them.
+    """
+    key = ["patient_id", "resource_type", "code", "body", "updated_at"]
+    marked = [df.select(*key, "source_id", F.lit(n).cast("bigint").alias("__in")) for df, n in ((existing, 0), (usable, 1))]
+    per_key = merge_documents(*marked).groupBy(*key).agg(F.count("*").alias("merged"), F.sum("__in").alias("incoming"))
+    return per_key.groupBy("resource_type").agg(F.sum("merged").alias("merged"), F.count("*").alias("kept"), F.sum("incoming").alias("incoming"))
+
+
 # ---------------------------------------------------------------- versions
 def field_diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Added, removed and changed fields per row, as (path, change, before, after)."""

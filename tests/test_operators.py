@@ -422,3 +422,15 @@ def test_report_pages_of_small_and_large_sections(spark, monkeypatch, small):
         for n, r in enumerate(own, 1):
             want[(p, k, n)] = ((n - 1) // 3, r[2], len(own), sum(x[4] == "active" for x in own), sum(x[0] == p for x in rows))
     assert got == want
+
+
+def test_merge_run_counts_move_no_whole_rows(spark):
+    schema = "patient_id int, resource_type string, resource_id string, source_id int, code string, body string, updated_at timestamp, confidence double"
+    old = spark.createDataFrame([(1, "A", "o1", 1, "c", "b", None, 0.5), (1, "A", "o2", 2, "c", "b", None, 0.9), (1, "B", "o3", 2, "c", "b", None, 0.9), (2, "A", "o4", 1, None, "b", None, None)], schema)
+    new = spark.createDataFrame([(1, "A", "n1", 1, "c", "b", None, 0.5), (1, "A", "n2", 1, "d", "b", None, 0.5), (1, " ", "n3", 2, "d", "b", None, 0.5), (3, "C", "n4", 1, "d", None, None, 0.5), (3, "C", "n4", 1, "d", None, None, 0.5)], schema)
+    run = G.merge_run(old, new, "2024-06-15 00:00:00")
+    assert sorted(tuple(r) for r in run["counts"].select("resource_type", "merged", "kept", "incoming").collect()) == [("A", 4, 3, 2), ("B", 1, 1, 0), ("C", 2, 1, 2)]
+    kept = {r["resource_type"]: r["count"] for r in run["store"].groupBy("resource_type").count().collect()}
+    assert kept == {"A": 3, "B": 1, "C": 1}
+    plan = run["counts"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("min_by") == 0 and plan.count("LeftAnti") == 1
