@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -155,9 +156,34 @@ def match_kth(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     return placed(left, left_id).join(placed(right, right_id), [*keys, "k"])
 
 
+# existing rows of a block that are searched within one array
+SMALL_BLOCK = 256
+
+
 def find_existing(new: DataFrame, existing: DataFrame, new_id: str, existing_id: str, block: list[str], criteria: list[str]) -> DataFrame:
     """First existing row of the block that agrees on all criteria; a missing value matches anything.
 
+    Existing rows of a block travel once, as one array, in which each new row
+    looks for its first; larger blocks go by keys, which need no block in one task.
+    """
+    from chartmill.operators.dedup import split_by_size
+
+    small, large = split_by_size(existing.select(*block, existing_id, *criteria), block, SMALL_BLOCK)
+    arrays = small.groupBy(*block).agg(F.collect_list(F.struct(existing_id, *criteria)).alias("__rows"))  # SMALL_BLOCK rows at most
+
+    def agrees(row: Column) -> Column:
+        return reduce(Column.__and__, [F.col(c).isNull() | row[c].isNull() | (row[c] == F.col(c)) for c in criteria], F.lit(True))
+
+    first = F.array_min(F.transform(F.filter("__rows", agrees), lambda r: r[existing_id]))
+    found = new.select(*block, new_id, *criteria).join(arrays, block).select(new_id, first.alias(existing_id)).filter(F.col(existing_id).isNotNull())
+    if large is not None:
+        found = found.unionByName(_find_by_keys(new, large, new_id, existing_id, block, criteria))
+    return found.groupBy(new_id).agg(F.min(existing_id).alias(existing_id))
+
+
+def _find_by_keys(new: DataFrame, existing: DataFrame, new_id: str, existing_id: str, block: list[str], criteria: list[str]) -> DataFrame:
+    """``find_existing`` for blocks of any size, perhaps several rows of a new one.
+
     Existing rows offer, for every subset of criteria a new row may fill, the
     values they share; new rows probe those keys. Offers are reduced to their
     first row, so the join is an equi join to unique keys.
@@ -180,7 +206,7 @@ def find_existing(new: DataFrame, existing: DataFrame, new_id: str, existing_id:
         masks = [list(m) for n in range(len(s) + 1) for m in combinations(s, n)]
         probes = probes.when(given == ",".join(s), F.array(*[key(s, m) for m in masks]))
     asked = new.select(*block, new_id, F.explode(probes.otherwise(None)).alias("key"))
-    return asked.join(offers, [*block, "key"]).groupBy(new_id).agg(F.min(existing_id).alias(existing_id))
+    return asked.join(offers, [*block, "key"]).select(new_id, existing_id)
 
 
 def compare_records(extracted: DataFrame, record: DataFrame) -> DataFrame:

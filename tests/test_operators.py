@@ -434,3 +434,22 @@ def test_merge_run_counts_move_no_whole_rows(spark):
     assert kept == {"A": 3, "B": 1, "C": 1}
     plan = run["counts"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("min_by") == 0 and plan.count("LeftAnti") == 1
+
+
+@pytest.mark.parametrize("most", [0, 3, 256])
+def test_find_existing_of_small_and_large_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(L, "SMALL_BLOCK", most)
+    rng = random.Random(21)
+    pick = lambda k, p: (f"{p}{k:03d}", rng.choice([1, 2, 2, 2, None]), rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None]))
+    old, new = [pick(k, "o") for k in range(14)], [pick(k // 2, "n") for k in range(60)]
+    want = {}
+    for n, b, c, d in new:
+        met = [o for o, ob, oc, od in old if b is not None and ob == b and (c is None or oc is None or c == oc) and (d is None or od is None or d == od)]
+        if met:
+            want[n] = min([*met, *([want[n]] if n in want else [])])
+    frames = [spark.createDataFrame(rows, f"{i} string, b int, c string, d string") for rows, i in ((new, "new_id"), (old, "old_id"))]
+    found = L.find_existing(*frames, "new_id", "old_id", ["b"], ["c", "d"])
+    rows = found.collect()
+    assert {r["new_id"]: r["old_id"] for r in rows} == want and len(rows) == len(want)
+    # the rows of small blocks are not multiplied by the sets of criteria
+    assert ("Generate" in found._jdf.queryExecution().executedPlan().toString()) == (most < 256)
