@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartmill.functions import fixed, scalar as S
@@ -150,17 +151,39 @@ def observation_sections(obs: DataFrame) -> DataFrame:
     return long.select("patient_id", "place", "category", "label", count.otherwise(0).alias("n"))
 
 
+_ENTRY = ["place", "item_id", "title", "status", "detail", "day"]
+
+
+def _newest_of_small(rows: DataFrame, limit: int) -> DataFrame:
+    """Newest rows and totals of sections of up to ``SMALL_SECTION`` rows, which move once, by patient, and stay there."""
+    section = W.partitionBy("patient_id", "section")
+    placed = rows.repartition("patient_id").withColumns({
+        "place": F.row_number().over(section.orderBy(F.desc_nulls_last("day"), "item_id")),
+        "total": F.count("*").over(section), "active": F.count_if(F.col("status") == "active").over(section),
+    })
+    return placed.filter(F.col("place") <= limit).groupBy("patient_id", "section").agg(
+        F.first("total").alias("total"), F.first("active").alias("active"), F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("items"),
+    )
+
+
+def _newest_of_any(rows: DataFrame, limit: int) -> DataFrame:
+    """The same of sections of any size, which are cut before they move."""
+    top = patient_summary(rows, limit)
+    sections = top.groupBy("patient_id", "section").agg(F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("items"))
+    totals = rows.groupBy("patient_id", "section").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
+    return totals.join(sections, ["patient_id", "section"])
+
+
 def comprehensive_report(rows: DataFrame, obs: DataFrame, encounters: DataFrame, limit: int = 20) -> DataFrame:
     """One nested row per patient with its newest rows per section and totals.
 
     Sections are cut to ``limit`` rows before they are collected, which is the
     feature of this report and keeps a patient's row small.
     """
-    top = patient_summary(rows, limit)
-    entry = F.struct("place", "item_id", "title", "status", "detail", "day")
-    sections = top.groupBy("patient_id", "section").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    totals = rows.groupBy("patient_id", "section").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
-    both = sections.join(totals, ["patient_id", "section"])
+    small, large = split_by_size(rows, ["patient_id", "section"], SMALL_SECTION)
+    both = _newest_of_small(small, limit)
+    if large is not None:
+        both = both.unionByName(_newest_of_any(large, limit))
     body = both.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("section", "total", "active", "items"))).alias("sections"))
     kinds = observation_sections(obs).groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("place", "category", "n"))).alias("observation_categories"))
     visits = encounters.groupBy("patient_id").agg(F.count("*").alias("visits"), F.max("visit_date").alias("last_visit"))
@@ -173,7 +196,7 @@ SECTIONS = [
     "practitioners", "organizations",
 ]
 PAGE_ITEMS = 500
-SMALL_SECTION = 1000  # rows of a section that are sorted as one array
+SMALL_SECTION = 1000  # rows of a section that are sorted as one array, or counted beside their places
 
 
 def all_report_rows(rows: DataFrame, converted: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from chartmill.operators import dedup as D
 from chartmill.operators import extract as E
 from chartmill.operators import link as L
 from chartmill.operators import merge as G
+from chartmill.operators import report as R
 from chartmill.operators import similar as X
 from chartmill.operators import text as T
 from chartmill.operators import weighted as W
@@ -453,3 +454,24 @@ def test_find_existing_of_small_and_large_blocks(spark, monkeypatch, most):
     assert {r["new_id"]: r["old_id"] for r in rows} == want and len(rows) == len(want)
     # the rows of small blocks are not multiplied by the sets of criteria
     assert ("Generate" in found._jdf.queryExecution().executedPlan().toString()) == (most < 256)
+
+
+def test_comprehensive_report_of_small_and_large_sections(spark, monkeypatch):
+    rng = random.Random(25)
+    rows = [(rng.randint(1, 4), rng.choice(["conditions", "observations"]), f"i{k:02d}", "t", rng.choice(["active", "x", None]), "d", rng.choice(["2000-01-01", "2001-02-03", None])) for k in range(60)]
+    frame = spark.createDataFrame(rows, "patient_id bigint, section string, item_id string, title string, status string, detail string, day string")
+    obs = spark.createDataFrame([(1, "Glucose")], "patient_id bigint, test_name string")
+    visits = spark.createDataFrame([(1, datetime.date(2000, 1, 1))], "patient_id bigint, visit_date date")
+    want = {}
+    for p, s in {(r[0], r[1]) for r in rows}:
+        own = sorted([r for r in rows if r[:2] == (p, s)], key=lambda r: r[2])
+        newest = sorted(own, key=lambda r: r[6] or "", reverse=True)  # stable, undated last
+        want[p, s] = (len(own), sum(r[4] == "active" for r in own), [(k + 1, r[2], r[6]) for k, r in enumerate(newest[:3])])
+    for most in (1000, 8, 0):
+        monkeypatch.setattr(R, "SMALL_SECTION", most)
+        report = R.comprehensive_report(frame, obs, visits, 3)
+        got = {(r.patient_id, s.section): (s.total, s.active, [(i.place, i.item_id, i.day) for i in s["items"]]) for r in report.collect() for s in r.sections}
+        assert got == want
+        if most == 1000:  # the rows are read once and meet their totals where they are
+            plan = R._newest_of_small(frame, 3).groupBy("patient_id").agg(F.collect_list("items"))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1
