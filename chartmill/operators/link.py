@@ -288,26 +288,28 @@ def provenance_chains(links: DataFrame, item: str, previous: str) -> DataFrame:
     so the number of joins is logarithmic in the longest chain. A pointer to an
     absent item ends the chain. Each round settles some item of every open chain,
     so when a round settles none only cycles are left; their items have no root.
+    Settled items have no pointer any more. They stay where they are, for a join
+    would bring all of them into the task of the missing key.
     """
-    ids = links.select(F.col(item).alias("__up"))
+    zero = F.lit(0).cast("bigint")
     known = links.select(F.col(item).alias("id"), F.col(previous).alias("__up"))
-    present = known.join(ids.withColumn("__ok", F.lit(True)), "__up", "left")
-    state = cut_lineage(
-        present.select("id", F.when(F.col("__ok"), F.col("__up")).alias("up"), F.lit(1).cast("bigint").alias("steps"))
-        .withColumn("steps", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("steps")))
-        .withColumn("root", F.when(F.col("up").isNull(), F.col("id")))
-    )
+    ids = links.select(F.col(item).alias("__up"), F.lit(True).alias("__ok"))
+    present = known.filter("__up IS NOT NULL").join(ids, "__up", "left").select("id", F.when(F.col("__ok"), F.col("__up")).alias("up"))
+    first = present.unionByName(known.filter("__up IS NULL").select("id", F.col("__up").alias("up")))
+    ended = F.col("up").isNull()
+    state = cut_lineage(first.select("id", "up", F.when(ended, zero).otherwise(1).alias("steps"), F.when(ended, F.col("id")).alias("root")))
+    settled, pending = state.filter(ended), state.filter(~ended)
     left = None
-    while (now := state.filter("up IS NOT NULL").count()) and now != left:
+    while (now := pending.count()) and now != left:
         left = now
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__s"), F.col("root").alias("__r"))
-        joined = state.join(above, "up", "left")
-        state = cut_lineage(
-            joined.select(
-                "id", F.col("__up").alias("up"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"),
-                F.coalesce("root", "__r").alias("root"),
+        above = settled.unionByName(pending).select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__s"), F.col("root").alias("__r"))
+        moved = cut_lineage(
+            pending.join(above, "up", "left").select(
+                "id", F.col("__up").alias("up"), (F.col("steps") + F.coalesce("__s", zero)).alias("steps"), F.coalesce("root", "__r").alias("root"),
             )
         )
+        settled, pending = settled.unionByName(moved.filter(ended)), moved.filter(~ended)
+    state = settled.unionByName(pending)
     return state.select(F.col("id").alias(item), "root", F.col("steps").alias("depth"))
 
 

@@ -475,3 +475,18 @@ def test_comprehensive_report_of_small_and_large_sections(spark, monkeypatch):
         if most == 1000:  # the rows are read once and meet their totals where they are
             plan = R._newest_of_small(frame, 3).groupBy("patient_id").agg(F.collect_list("items"))._jdf.queryExecution().executedPlan().toString()
             assert plan.count("Exchange") == 1
+
+
+def test_settled_provenance_items_do_not_meet_in_one_task(spark):
+    rows = spark.range(4000).select(F.col("id").alias("i"), F.when(F.col("id") % 4 != 0, F.col("id") - 1).alias("p"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = L.provenance_chains(rows, "i", "p").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.i, r.root, r.depth) for r in out) == [(k, k - k % 4, k % 4) for k in range(4000)]
+    tasks = [r.task for r in out]
+    assert max(tasks.count(t) for t in set(tasks)) < 1000
