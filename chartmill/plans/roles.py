@@ -267,6 +267,10 @@ def with_roles(body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + text
 
 
+# rows of the largest table in one task of ``Tables.spread``
+ROWS_PER_TASK = 250_000
+
+
 class Tables:
     """Lazy access to base tables and roles of one scale folder."""
 
@@ -275,6 +279,7 @@ class Tables:
         ship_package(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._moved: dict[str, tuple[int, str]] = {}
 
     @staticmethod
     def run_id() -> str:
@@ -282,7 +287,22 @@ class Tables:
         return uuid.uuid4().hex[:12]
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return table.repartition(*self._moved[name]) if name in self._moved else table
+
+    def spread(self, **keys: str) -> Tables:
+        """The same tables, those named moved by their key into tasks of about ``ROWS_PER_TASK`` rows.
+
+        A shuffle has a fixed number of tasks, or tasks of a fixed size in packed
+        bytes, so what its joins and lists hold in memory grows with the tables or
+        with how well they pack. Tables that the cores hold at once stay as they are.
+        """
+        tasks = max(self.base(name).count() for name in keys) // ROWS_PER_TASK + 1
+        if tasks <= min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism):
+            return self
+        tables = Tables(self.spark, self.folder)
+        tables._moved = {name: (tasks, key) for name, key in keys.items()}
+        return tables
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:

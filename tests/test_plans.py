@@ -4,12 +4,15 @@ import time
 
 from pyspark.sql import functions as F
 
+from chartmill.operators import convert as C
 from chartmill.operators import extract as E
 from chartmill.operators import link as L
 from chartmill.operators import quality as V
 from chartmill.operators import similar as X
 from chartmill.operators import text as T
+from chartmill.plans import roles
 from chartmill.plans.catalog import load_all
+from chartmill.plans.extraction import extraction_documents
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = load_all()[0]
@@ -23,6 +26,26 @@ def test_sections_of_documents_do_not_join_lists_they_do_not_read(spark):
     assert "Join" not in plan_of(QUERIES["converted_report_rows"](spark, FOLDER))
 
 
+def test_tasks_that_list_observations_grow_in_number_with_the_rows(spark, monkeypatch):
+    whole = QUERIES["convert_observations"](spark, FOLDER)
+    monkeypatch.setattr(roles, "ROWS_PER_TASK", 200, raising=False)
+    rows = C.observations(extraction_documents(roles.Tables(spark, FOLDER)))
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert max(counts) < 400 and sum(counts) == whole.count()
+    split = QUERIES["convert_observations"](spark, FOLDER)
+    assert split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty()
+
+
+def test_documents_read_without_lists_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(roles, "ROWS_PER_TASK", 200, raising=False)
+    assert "Exchange" not in plan_of(QUERIES["convert_allergies"](spark, FOLDER))
+
+
+def test_tables_that_the_cores_hold_at_once_stay_as_they_are(spark):
+    tables = roles.Tables(spark, FOLDER)
+    assert tables.spread(lineitem="l_orderkey") is tables
+
+
 def test_full_report_moves_its_rows_once_and_writes_no_documents(spark):
     plan = plan_of(QUERIES["full_report"](spark, FOLDER))
     assert "hashpartitioning(patient_id" in plan
