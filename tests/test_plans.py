@@ -1,7 +1,10 @@
 """What queries move and evaluate, and rows on which that went wrong."""
 
+import datetime
 import time
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartmill.operators import convert as C
@@ -13,6 +16,7 @@ from chartmill.operators import text as T
 from chartmill.plans import roles
 from chartmill.plans.catalog import load_all
 from chartmill.plans.extraction import extraction_documents
+from chartmill.schemas import RESPONSE
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = load_all()[0]
@@ -52,6 +56,55 @@ def test_full_report_moves_its_rows_once_and_writes_no_documents(spark):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(patient_id" in line and ", page" in line]
 
 
+def test_conversion_moves_source_rows_alone(spark):
+    plan = plan_of(QUERIES["convert_all_resources"](spark, FOLDER))
+    assert plan.count("FileScan") == 3 and "conversion-documents" not in plan and "hashpartitioning(doc_id" not in plan
+
+
+def odd_documents(spark):
+    visit = [{"encounter_type": "office", "encounter_date": "2020-03-04"}, {"encounter_type": " ", "encounter_date": "2020-03-05"}, {"encounter_type": "er", "encounter_date": "2020"}, {"encounter_type": "home"}]
+    found = {
+        "conditions": [{"name": "A", "onset_date": d, "confidence": 0.5} for d in ("2020", "2020/3", "2020-03-04", "2031-01-01", "", None)] + [{"name": " "}, {"name": None}, None],
+        "procedures": [{"name": n, "procedure_date": "2020-03-04"} for n in ("MMR", "mmr vaccine", "Chest x-ray", "Flu shot", "flu", None, "Repair")],
+        "immunizations": [{"vaccine_name": "Flu", "is_forecast": True}, {"vaccine_name": "", "status": "not-done"}, {"vaccine_name": "Tdap", "status": "Not-Done", "date_administered": "2020-03-04"}],
+        "diagnostic_reports": [{"report_type": "ECG", "report_date": "March 4, 2020"}, {"recommendations": "Refer to cardiology. Order lipid panel"}, {"report_type": "CT", "recommendations": " "}, {"recommendations": "Order x. Order y"}],
+        "lab_results": [{"test_name": "TSH", "value": "1,5", "test_date": "03/04/2020"}, {"test_name": None}, {"test_name": "T", "test_date": "x"}], "vital_signs": [{"measurement": "Pulse", "timestamp": "2020-03-04T10:00"}],
+        "medications": [{"name": "M", "start_date": "2020-03-04", "status": "STOPPED"}], "service_requests": [{"request_type": "MRI", "request_date": None}], "allergies": [{"allergen": "Nuts", "onset_date": "2020-3-4"}],
+        "care_plans": [{"plan_description": "P", "status": "Revoked"}], "organizations": [{"name": "O"}], "providers": [{"name": "Dr. A B"}], "physical_exam_findings": [{"finding": "f", "body_site": "Lung"}],
+        "social_history": [{"description": "d", "category": "tobacco_use"}], "family_history": [{"relationship": "r", "condition": "c"}, {"relationship": "r"}],
+    }
+    run = datetime.date(2024, 6, 15)
+    rows = [
+        (1, 1, "2020-03-04", run, found), (2, 1, None, run, found | {"encounters": visit}), (3, 2, "2020", run, found | {"encounters": visit[:1]}), (4, 2, None, run, found | {"encounters": visit[3:]}),
+        (5, 3, "2020-03", run, {}), (6, 3, None, run, {"clinical_date": "2020-03-04", "medications": [{"name": ""}], "encounters": []}), (7, None, None, run, None), (8, 3, "2020-03-04", run, {"providers": [{"name": "X"}]}),
+        (9, 4, "2020-03-04", run, found | {"encounters": visit[1:2]}),
+    ]
+    return spark.createDataFrame([(*r[:4], r[4] and {f.name: r[4].get(f.name) for f in RESPONSE.fields}) for r in rows], f"doc_id bigint, patient_id bigint, clinical_date string, run_date date, data {RESPONSE.simpleString()}")
+
+
+def test_conversion_in_one_pass_gives_the_rows_of_every_projection(spark):
+    docs = odd_documents(spark)
+    none, active = F.lit(None).cast("string"), F.lit("active")
+    visits = [C.encounters(docs), C.synthesized_encounters(docs)]
+    tables = [
+        *visits, C.medications(docs), C.observations(docs), C.exam_and_social(docs).withColumn("status", F.lit("final")), C.conditions(docs), C.immunizations(docs), C.procedures(docs), C.diagnostic_reports(docs),
+        C.service_requests(docs).withColumn("status", active), C.allergies(docs), C.care_plans(docs), C.family_history(docs).withColumn("effective", none),
+        C.practitioners(docs).withColumns({"status": active, "effective": none}), C.organizations(docs).withColumns({"status": active, "effective": none}),
+    ]
+    columns = ["doc_id", "patient_id", "resource_type", "resource_id", "name", "status", "effective", "confidence"]
+    united = reduce(DataFrame.unionByName, [t.select(*columns) for t in tables])
+    want = C.link_within_documents(united, reduce(DataFrame.unionByName, [v.select("doc_id", "resource_id", "effective") for v in visits])).select(*columns, "encounter_id")
+    got = C.resource_rows(docs)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("encounter_id IS NOT NULL").count() > 20 and got.filter("doc_id = 5 OR doc_id = 7").isEmpty()
+
+
+def test_lists_gathered_in_one_pass_are_those_gathered_apart(spark):
+    tables = roles.Tables(spark, FOLDER)
+    apart, together = extraction_documents(tables), extraction_documents(tables, together=True)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, together.collect()))
+
+
 def test_leaked_row_with_name_and_number_is_listed_once(spark):
     people = spark.createDataFrame([(1, "Meyer", "MRN1"), (2, "Li", "MRN2"), (2, None, "MRN9")], "patient_id bigint, last_name string, mrn string")
     rows = [(1, "a", "mrn1 of Meyer"), (1, "b", "Li"), (2, "c", "LI, x"), (2, "d", "mrn9"), (3, "e", "Meyer"), (1, "f", None)]
