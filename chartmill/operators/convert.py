@@ -92,9 +92,9 @@ def _base(kind: str) -> list[Column]:
     return ["doc_id", "patient_id", "ord", resource_id(kind).alias("resource_id"), F.lit(kind).alias("resource_type"), F.lit(kind).alias("origin")]
 
 
-def _evidence() -> dict[str, Column]:
+def _evidence(x: str) -> dict[str, Column]:
     """Confidence and source text of an entry."""
-    return {"confidence": F.col("x.confidence"), "source_text": F.trim("x.source.text")}
+    return {"confidence": F.col(f"{x}.confidence"), "source_text": F.trim(f"{x}.source.text")}
 
 
 class Kind(NamedTuple):
@@ -128,17 +128,17 @@ def _projected(rows: DataFrame, kind: Kind) -> DataFrame:
     return dated.select(*_base(kind.origin), *[c.alias(n) for n, c in kind.columns.items()]).withColumn("resource_type", F.lit(kind.resource_type or kind.origin))
 
 
-def _condition() -> Kind:
-    raw = F.trim("x.onset_date")
+def _condition(x: str = "x") -> Kind:
+    raw = F.trim(f"{x}.onset_date")
     month = F.concat_ws("-", F.substring(raw, 1, 4), F.lpad(F.regexp_extract(raw, r"^\d{4}[-/](\d{1,2})$", 1), 2, "0"))
     year_month = raw.rlike(r"^\d{4}[-/](0?[1-9]|1[0-2])$")
     onset = F.when(raw.rlike(r"^\d{4}$"), raw).when(year_month, month).otherwise(F.col("__day"))
     kind = F.when(raw.rlike(r"^\d{4}$"), "year").when(year_month, "month").when(onset.isNotNull(), "day")
-    return Kind("Condition", "conditions", filled("x.name"), {
-        "name": F.trim("x.name"), "status": known("x.status", CONDITION_STATUS, "active"),
-        "verification": F.when(F.lower(F.trim("x.evidence_type")) == "inferred", "unconfirmed").otherwise("confirmed"),
-        "code": F.trim("x.icd_code"), "effective": onset, "precision": kind, **_evidence(),
-    }, F.col("x.onset_date"))
+    return Kind("Condition", "conditions", filled(f"{x}.name"), {
+        "name": F.trim(f"{x}.name"), "status": known(f"{x}.status", CONDITION_STATUS, "active"),
+        "verification": F.when(F.lower(F.trim(f"{x}.evidence_type")) == "inferred", "unconfirmed").otherwise("confirmed"),
+        "code": F.trim(f"{x}.icd_code"), "effective": onset, "precision": kind, **_evidence(x),
+    }, F.col(f"{x}.onset_date"))
 
 
 def conditions(docs: DataFrame) -> DataFrame:
@@ -151,22 +151,22 @@ def _value(column: str) -> dict[str, Column]:
     return {"value": number, "value_text": F.when(number.isNull() & filled(column), F.trim(column))}
 
 
-def _vital() -> Kind:
-    return Kind("VitalObservation", "vital_signs", filled("x.measurement"), {
-        "name": F.trim("x.measurement"), "code": contained(F.col("x.measurement"), VITAL_LOINC, None),
-        "category": F.coalesce("x.category", F.lit("vital-signs")), "effective": _clinical_or_day(), **_value("x.value"), "unit": F.trim("x.unit"),
-        "status": F.lit("final"), "reference_range": _no_text(), "interpretation": _no_text(), "panel_name": _no_text(), **_evidence(),
-        "components": F.size(F.filter(F.coalesce("x.components", F.array()), lambda c: (F.trim(c["measurement"]) != "") & c["value"].isNotNull())),
-    }, F.col("x.timestamp"), "Observation")
+def _vital(x: str = "x") -> Kind:
+    return Kind("VitalObservation", "vital_signs", filled(f"{x}.measurement"), {
+        "name": F.trim(f"{x}.measurement"), "code": contained(F.col(f"{x}.measurement"), VITAL_LOINC, None),
+        "category": F.coalesce(f"{x}.category", F.lit("vital-signs")), "effective": _clinical_or_day(), **_value(f"{x}.value"), "unit": F.trim(f"{x}.unit"),
+        "status": F.lit("final"), "reference_range": _no_text(), "interpretation": _no_text(), "panel_name": _no_text(), **_evidence(x),
+        "components": F.size(F.filter(F.coalesce(f"{x}.components", F.array()), lambda c: (F.trim(c["measurement"]) != "") & c["value"].isNotNull())),
+    }, F.col(f"{x}.timestamp"), "Observation")
 
 
-def _lab() -> Kind:
-    return Kind("LabObservation", "lab_results", filled("x.test_name"), {
-        "name": F.trim("x.test_name"), "code": contained(F.col("x.test_name"), VITAL_LOINC, None),
-        "category": F.coalesce("x.category", F.lit("laboratory")), "effective": _clinical_or_day(), **_value("x.value"), "unit": F.trim("x.unit"),
-        "status": known("x.status", LAB_STATUS, "final"), "reference_range": F.trim("x.reference_range"),
-        "interpretation": F.when(filled("x.abnormal_flag"), F.trim("x.abnormal_flag")), "panel_name": F.trim("x.panel_name"), **_evidence(), "components": F.lit(0),
-    }, F.col("x.test_date"), "Observation")
+def _lab(x: str = "x") -> Kind:
+    return Kind("LabObservation", "lab_results", filled(f"{x}.test_name"), {
+        "name": F.trim(f"{x}.test_name"), "code": contained(F.col(f"{x}.test_name"), VITAL_LOINC, None),
+        "category": F.coalesce(f"{x}.category", F.lit("laboratory")), "effective": _clinical_or_day(), **_value(f"{x}.value"), "unit": F.trim(f"{x}.unit"),
+        "status": known(f"{x}.status", LAB_STATUS, "final"), "reference_range": F.trim(f"{x}.reference_range"),
+        "interpretation": F.when(filled(f"{x}.abnormal_flag"), F.trim(f"{x}.abnormal_flag")), "panel_name": F.trim(f"{x}.panel_name"), **_evidence(x), "components": F.lit(0),
+    }, F.col(f"{x}.test_date"), "Observation")
 
 
 def observations(docs: DataFrame) -> DataFrame:
@@ -184,18 +184,18 @@ def components(docs: DataFrame) -> DataFrame:
     )
 
 
-def _exam() -> Kind:
-    return Kind("ExamObservation", "physical_exam_findings", filled("x.finding"), {
-        "name": F.concat_ws(": ", F.when(filled("x.body_site"), F.trim("x.body_site")), F.trim("x.finding")), "category": F.lit("exam"),
-        "value_text": F.trim("x.finding"), "interpretation": F.trim("x.status"), "effective": F.col("clinical_date"), **_evidence(),
+def _exam(x: str = "x") -> Kind:
+    return Kind("ExamObservation", "physical_exam_findings", filled(f"{x}.finding"), {
+        "name": F.concat_ws(": ", F.when(filled(f"{x}.body_site"), F.trim(f"{x}.body_site")), F.trim(f"{x}.finding")), "category": F.lit("exam"),
+        "value_text": F.trim(f"{x}.finding"), "interpretation": F.trim(f"{x}.status"), "effective": F.col("clinical_date"), **_evidence(x),
     }, resource_type="Observation")
 
 
-def _social() -> Kind:
-    tag = F.when(filled("x.category"), F.trim("x.category")).otherwise("social-history")
-    return Kind("SocialObservation", "social_history", filled("x.description"), {
+def _social(x: str = "x") -> Kind:
+    tag = F.when(filled(f"{x}.category"), F.trim(f"{x}.category")).otherwise("social-history")
+    return Kind("SocialObservation", "social_history", filled(f"{x}.description"), {
         "name": S.title_case(F.replace(tag, F.lit("_"), F.lit(" "))), "category": F.lit("social-history"),
-        "value_text": F.trim("x.description"), "interpretation": _no_text(), "effective": F.col("clinical_date"), **_evidence(),
+        "value_text": F.trim(f"{x}.description"), "interpretation": _no_text(), "effective": F.col("clinical_date"), **_evidence(x),
     }, resource_type="Observation")
 
 
@@ -204,12 +204,12 @@ def exam_and_social(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "physical_exam_findings"), _exam()).unionByName(_projected(items(docs, "social_history"), _social()))
 
 
-def _medication() -> Kind:
-    return Kind("MedicationStatement", "medications", filled("x.name"), {
-        "name": F.trim("x.name"), "status": known("x.status", MEDICATION_STATUS, "active"),
-        "dosage": F.trim("x.dosage"), "frequency": F.trim("x.frequency"), "route": F.trim("x.route"),
-        "effective": F.col("__day"), "ended": day("x.stop_date"), **_evidence(),
-    }, F.col("x.start_date"))
+def _medication(x: str = "x") -> Kind:
+    return Kind("MedicationStatement", "medications", filled(f"{x}.name"), {
+        "name": F.trim(f"{x}.name"), "status": known(f"{x}.status", MEDICATION_STATUS, "active"),
+        "dosage": F.trim(f"{x}.dosage"), "frequency": F.trim(f"{x}.frequency"), "route": F.trim(f"{x}.route"),
+        "effective": F.col("__day"), "ended": day(f"{x}.stop_date"), **_evidence(x),
+    }, F.col(f"{x}.start_date"))
 
 
 def medications(docs: DataFrame) -> DataFrame:
@@ -252,21 +252,21 @@ def _taken() -> Column:
     return F.aggregate(candidates, start, claim)["taken"]
 
 
-def _stated_immunization() -> Kind:
-    forecast = F.coalesce("x.is_forecast", F.lit(False))
-    status = F.lower(F.trim("x.status"))
-    return Kind("Immunization", "immunizations", filled("x.vaccine_name"), {
-        "name": F.trim("x.vaccine_name"), "code": S.cvx_code(F.col("x.vaccine_name"), F.col("x.cvx_code")),
+def _stated_immunization(x: str = "x") -> Kind:
+    forecast = F.coalesce(f"{x}.is_forecast", F.lit(False))
+    status = F.lower(F.trim(f"{x}.status"))
+    return Kind("Immunization", "immunizations", filled(f"{x}.vaccine_name"), {
+        "name": F.trim(f"{x}.vaccine_name"), "code": S.cvx_code(F.col(f"{x}.vaccine_name"), F.col(f"{x}.cvx_code")),
         "status": F.when(forecast, "not-done").when(status.isin("completed", "entered-in-error", "not-done"), status).otherwise("completed"),
-        "effective": F.when(~forecast, _clinical_or_day()), "lot_number": F.trim("x.lot_number"), **_evidence(),
-    }, F.col("x.date_administered"))
+        "effective": F.when(~forecast, _clinical_or_day()), "lot_number": F.trim(f"{x}.lot_number"), **_evidence(x),
+    }, F.col(f"{x}.date_administered"))
 
 
-def _procedure_immunization() -> Kind:
+def _procedure_immunization(x: str = "x") -> Kind:
     return Kind("ProcedureImmunization", "procedures", F.array_contains("__taken", F.col("ord").cast("int")), {
-        "name": F.trim("x.name"), "code": S.cvx_code(F.col("x.name"), _no_text()), "status": F.lit("completed"),
-        "effective": _clinical_or_day(), "lot_number": _no_text(), **_evidence(),
-    }, F.col("x.procedure_date"), "Immunization")
+        "name": F.trim(f"{x}.name"), "code": S.cvx_code(F.col(f"{x}.name"), _no_text()), "status": F.lit("completed"),
+        "effective": _clinical_or_day(), "lot_number": _no_text(), **_evidence(x),
+    }, F.col(f"{x}.procedure_date"), "Immunization")
 
 
 def immunizations(docs: DataFrame) -> DataFrame:
@@ -276,11 +276,11 @@ def immunizations(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "immunizations"), _stated_immunization()).unionByName(_projected(rows, _procedure_immunization()))
 
 
-def _procedure() -> Kind:
-    return Kind("Procedure", "procedures", filled("x.name") & ~S.is_vaccine(F.col("x.name"), F.col("claims")), {
-        "name": F.trim("x.name"), "code": F.trim("x.cpt_code"), "status": F.lit("completed"),
-        "effective": _clinical_or_day(), "performer": F.trim("x.provider"), "outcome": F.trim("x.outcome"), **_evidence(),
-    }, F.col("x.procedure_date"))
+def _procedure(x: str = "x") -> Kind:
+    return Kind("Procedure", "procedures", filled(f"{x}.name") & ~S.is_vaccine(F.col(f"{x}.name"), F.col("claims")), {
+        "name": F.trim(f"{x}.name"), "code": F.trim(f"{x}.cpt_code"), "status": F.lit("completed"),
+        "effective": _clinical_or_day(), "performer": F.trim(f"{x}.provider"), "outcome": F.trim(f"{x}.outcome"), **_evidence(x),
+    }, F.col(f"{x}.procedure_date"))
 
 
 def procedures(docs: DataFrame) -> DataFrame:
@@ -289,19 +289,19 @@ def procedures(docs: DataFrame) -> DataFrame:
     return _projected(lists.select("doc_id", "patient_id", "clinical_date", "run_date", _claims().alias("claims"), F.posexplode("procedures").alias("ord", "x")), _procedure())
 
 
-def _encounter(strict_reference: bool = False) -> Kind:
-    cls = contained(F.col("x.encounter_type"), ENCOUNTER_CLASSES, "AMB", whole_words=not strict_reference)
-    people = F.filter(F.transform(F.coalesce("x.participants", F.array().cast("array<string>")), lambda p: F.trim(p)), lambda p: p != "")
-    return Kind("Encounter", "encounters", filled("x.encounter_type"), {
-        "name": F.trim("x.encounter_type"), "code": cls, "status": known("x.status", ENCOUNTER_STATUS, "finished"),
-        "effective": F.col("__day"), "ended": day("x.encounter_end_date"), "location": F.trim("x.location"), "reason": F.trim("x.reason"),
-        "participants": F.array_join(people, ", "), **_evidence(),
-    }, F.col("x.encounter_date"))
+def _encounter(x: str = "x", strict_reference: bool = False) -> Kind:
+    cls = contained(F.col(f"{x}.encounter_type"), ENCOUNTER_CLASSES, "AMB", whole_words=not strict_reference)
+    people = F.filter(F.transform(F.coalesce(f"{x}.participants", F.array().cast("array<string>")), lambda p: F.trim(p)), lambda p: p != "")
+    return Kind("Encounter", "encounters", filled(f"{x}.encounter_type"), {
+        "name": F.trim(f"{x}.encounter_type"), "code": cls, "status": known(f"{x}.status", ENCOUNTER_STATUS, "finished"),
+        "effective": F.col("__day"), "ended": day(f"{x}.encounter_end_date"), "location": F.trim(f"{x}.location"), "reason": F.trim(f"{x}.reason"),
+        "participants": F.array_join(people, ", "), **_evidence(x),
+    }, F.col(f"{x}.encounter_date"))
 
 
 def encounters(docs: DataFrame, strict_reference: bool = False) -> DataFrame:
     """Stated visits; ``strict_reference`` finds class keys also inside words."""
-    return _projected(items(docs, "encounters"), _encounter(strict_reference))
+    return _projected(items(docs, "encounters"), _encounter(strict_reference=strict_reference))
 
 
 def _synthesized_day() -> Column:
@@ -311,11 +311,11 @@ def _synthesized_day() -> Column:
     return F.when(some & ~stated, S.clinical_date(F.coalesce("clinical_date", F.col("data.clinical_date")), F.col("run_date")).cast("string"))
 
 
-def _synthesized() -> Kind:
+def _synthesized(x: str = "x") -> Kind:
     """The visit of documents with a day in ``__made``."""
     return Kind("SynthesizedEncounter", "encounters", F.lit(True), {
         "name": F.lit("Ambulatory"), "status": F.lit("finished"), "effective": F.col("__made"), "confidence": F.lit(0.6),
-    }, resource_type="Encounter", entries=lambda made: F.when(F.col("__made").isNotNull(), F.array(made(F.lit(0), {}))))
+    }, resource_type="Encounter", entries=lambda made: F.when(F.col("__made").isNotNull(), F.array(made(F.lit(0)))))
 
 
 def synthesized_encounters(docs: DataFrame) -> DataFrame:
@@ -326,10 +326,10 @@ def synthesized_encounters(docs: DataFrame) -> DataFrame:
     ).withColumn("resource_type", F.lit("Encounter"))
 
 
-def _practitioner() -> Kind:
-    name = S.parse_provider_name(F.col("x.name"))
-    return Kind("Practitioner", "providers", filled("x.name"), {
-        "name": F.trim("x.name"), "family": name["family"], "given": name["given"], "specialty": F.trim("x.specialty"), **_evidence(),
+def _practitioner(x: str = "x") -> Kind:
+    name = S.parse_provider_name(F.col(f"{x}.name"))
+    return Kind("Practitioner", "providers", filled(f"{x}.name"), {
+        "name": F.trim(f"{x}.name"), "family": name["family"], "given": name["given"], "specialty": F.trim(f"{x}.specialty"), **_evidence(x),
     })
 
 
@@ -337,10 +337,10 @@ def practitioners(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "providers"), _practitioner())
 
 
-def _organization() -> Kind:
-    return Kind("Organization", "organizations", filled("x.name"), {
-        "name": F.trim("x.name"), "code": contained(F.coalesce("x.organization_type", F.lit("")), ORGANIZATION_TYPES, "prov"),
-        "address": F.concat_ws(", ", "x.address", "x.city", "x.state", "x.postal_code"), **_evidence(),
+def _organization(x: str = "x") -> Kind:
+    return Kind("Organization", "organizations", filled(f"{x}.name"), {
+        "name": F.trim(f"{x}.name"), "code": contained(F.coalesce(f"{x}.organization_type", F.lit("")), ORGANIZATION_TYPES, "prov"),
+        "address": F.concat_ws(", ", f"{x}.address", f"{x}.city", f"{x}.state", f"{x}.postal_code"), **_evidence(x),
     })
 
 
@@ -348,38 +348,38 @@ def organizations(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "organizations"), _organization())
 
 
-def _allergy() -> Kind:
-    return Kind("AllergyIntolerance", "allergies", filled("x.allergen"), {
-        "name": F.trim("x.allergen"), "severity": S.lookup(F.lower("x.severity"), ALLERGY_SEVERITY, "mild"),
-        "status": known("x.status", ["active", "inactive", "resolved"], "active"),
-        "verification": known("x.verification_status", ["confirmed", "unconfirmed", "refuted"], "unconfirmed"),
-        "reaction": F.trim("x.reaction"), "effective": F.col("__day"), **_evidence(),
-    }, F.col("x.onset_date"))
+def _allergy(x: str = "x") -> Kind:
+    return Kind("AllergyIntolerance", "allergies", filled(f"{x}.allergen"), {
+        "name": F.trim(f"{x}.allergen"), "severity": S.lookup(F.lower(f"{x}.severity"), ALLERGY_SEVERITY, "mild"),
+        "status": known(f"{x}.status", ["active", "inactive", "resolved"], "active"),
+        "verification": known(f"{x}.verification_status", ["confirmed", "unconfirmed", "refuted"], "unconfirmed"),
+        "reaction": F.trim(f"{x}.reaction"), "effective": F.col("__day"), **_evidence(x),
+    }, F.col(f"{x}.onset_date"))
 
 
 def allergies(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "allergies"), _allergy())
 
 
-def _care_plan() -> Kind:
+def _care_plan(x: str = "x") -> Kind:
     def joined(column):
         return F.array_join(F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != ""), "; ")
 
-    return Kind("CarePlan", "care_plans", filled("x.plan_description"), {
-        "name": F.trim("x.plan_description"), "status": known("x.status", PLAN_STATUS, "active"), "intent": known("x.intent", PLAN_INTENT, "plan"),
-        "goals": joined("x.goals"), "activities": joined("x.activities"), "effective": F.col("__day"), "ended": day("x.period_end"), **_evidence(),
-    }, F.col("x.period_start"))
+    return Kind("CarePlan", "care_plans", filled(f"{x}.plan_description"), {
+        "name": F.trim(f"{x}.plan_description"), "status": known(f"{x}.status", PLAN_STATUS, "active"), "intent": known(f"{x}.intent", PLAN_INTENT, "plan"),
+        "goals": joined(f"{x}.goals"), "activities": joined(f"{x}.activities"), "effective": F.col("__day"), "ended": day(f"{x}.period_end"), **_evidence(x),
+    }, F.col(f"{x}.period_start"))
 
 
 def care_plans(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "care_plans"), _care_plan())
 
 
-def _stated_request() -> Kind:
-    return Kind("ServiceRequest", "service_requests", filled("x.request_type"), {
-        "name": F.trim("x.request_type"), "priority": F.coalesce(F.lower("x.priority"), F.lit("routine")), "reason": F.trim("x.reason"),
-        "category": S.service_category(F.col("x.request_type")), "effective": F.col("__day"), **_evidence(),
-    }, F.col("x.request_date"))
+def _stated_request(x: str = "x") -> Kind:
+    return Kind("ServiceRequest", "service_requests", filled(f"{x}.request_type"), {
+        "name": F.trim(f"{x}.request_type"), "priority": F.coalesce(F.lower(f"{x}.priority"), F.lit("routine")), "reason": F.trim(f"{x}.reason"),
+        "category": S.service_category(F.col(f"{x}.request_type")), "effective": F.col("__day"), **_evidence(x),
+    }, F.col(f"{x}.request_date"))
 
 
 def _planned(recommendations: Column) -> Column:
@@ -394,9 +394,9 @@ def _place_of_planned(parent: Column, sub: Column) -> Column:
     return F.shiftleft(parent.cast("bigint"), 32) + sub
 
 
-def _planned_request() -> Kind:
+def _planned_request(x: str = "x") -> Kind:
     return Kind("PlannedRequest", "diagnostic_reports", F.lit(True), {
-        "name": F.col("x.name"), "priority": F.lit("routine"), "reason": F.lit("As per treatment plan"), "category": S.service_category(F.col("x.name")),
+        "name": F.col(f"{x}.name"), "priority": F.lit("routine"), "reason": F.lit("As per treatment plan"), "category": S.service_category(F.col(f"{x}.name")),
         "effective": _no_text(), "confidence": F.lit(None).cast("double"), "source_text": _no_text(),
     }, resource_type="ServiceRequest", entries=_entries_of_plans)
 
@@ -404,7 +404,7 @@ def _planned_request() -> Kind:
 def _entries_of_plans(made: Callable) -> Column:
     def of_report(report: Column, parent: Column) -> Column:
         names = _planned(report["recommendations"])
-        return F.coalesce(F.transform(names, lambda name, sub: made(_place_of_planned(parent, sub), {"name": name})), F.array())
+        return F.coalesce(F.transform(names, lambda name, sub: made(_place_of_planned(parent, sub), "x_planned", F.struct(name.alias("name")))), F.array())
 
     return F.flatten(F.transform(F.coalesce("diagnostic_reports", F.array()), of_report))
 
@@ -416,18 +416,18 @@ def service_requests(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "service_requests"), _stated_request()).unionByName(_projected(planned, _planned_request()))
 
 
-def _stated_report() -> Kind:
-    return Kind("DiagnosticReport", "diagnostic_reports", filled("x.report_type"), {
-        "name": F.trim("x.report_type"), "category": S.report_category(F.col("x.report_type")), "status": F.coalesce(F.lower("x.status"), F.lit("final")),
-        "conclusion": F.concat_ws("; ", F.when(filled("x.findings"), F.trim("x.findings")), F.when(filled("x.conclusion"), F.trim("x.conclusion"))), "effective": F.col("__day"), **_evidence(),
-    }, F.col("x.report_date"))
+def _stated_report(x: str = "x") -> Kind:
+    return Kind("DiagnosticReport", "diagnostic_reports", filled(f"{x}.report_type"), {
+        "name": F.trim(f"{x}.report_type"), "category": S.report_category(F.col(f"{x}.report_type")), "status": F.coalesce(F.lower(f"{x}.status"), F.lit("final")),
+        "conclusion": F.concat_ws("; ", F.when(filled(f"{x}.findings"), F.trim(f"{x}.findings")), F.when(filled(f"{x}.conclusion"), F.trim(f"{x}.conclusion"))), "effective": F.col("__day"), **_evidence(x),
+    }, F.col(f"{x}.report_date"))
 
 
-def _procedure_report() -> Kind:
-    return Kind("ProcedureReport", "procedures", filled("x.name") & S.is_diagnostic(F.col("x.name")), {
-        "name": F.trim("x.name"), "category": S.report_category(F.col("x.name")), "status": F.lit("final"),
-        "conclusion": F.coalesce(F.trim("x.outcome"), F.lit("")), "effective": F.col("__day"), **_evidence(),
-    }, F.col("x.procedure_date"), "DiagnosticReport")
+def _procedure_report(x: str = "x") -> Kind:
+    return Kind("ProcedureReport", "procedures", filled(f"{x}.name") & S.is_diagnostic(F.col(f"{x}.name")), {
+        "name": F.trim(f"{x}.name"), "category": S.report_category(F.col(f"{x}.name")), "status": F.lit("final"),
+        "conclusion": F.coalesce(F.trim(f"{x}.outcome"), F.lit("")), "effective": F.col("__day"), **_evidence(x),
+    }, F.col(f"{x}.procedure_date"), "DiagnosticReport")
 
 
 def diagnostic_reports(docs: DataFrame) -> DataFrame:
@@ -435,10 +435,10 @@ def diagnostic_reports(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "diagnostic_reports"), _stated_report()).unionByName(_projected(items(docs, "procedures"), _procedure_report()))
 
 
-def _relative() -> Kind:
-    return Kind("FamilyMemberHistory", "family_history", filled("x.relationship") & filled("x.condition"), {
-        "relationship": F.trim("x.relationship"), "name": F.trim("x.condition"), "onset": F.when(filled("x.onset_age"), F.trim("x.onset_age")),
-        "deceased": F.col("x.deceased"), "status": F.lit("completed"), **_evidence(),
+def _relative(x: str = "x") -> Kind:
+    return Kind("FamilyMemberHistory", "family_history", filled(f"{x}.relationship") & filled(f"{x}.condition"), {
+        "relationship": F.trim(f"{x}.relationship"), "name": F.trim(f"{x}.condition"), "onset": F.when(filled(f"{x}.onset_age"), F.trim(f"{x}.onset_age")),
+        "deceased": F.col(f"{x}.deceased"), "status": F.lit("completed"), **_evidence(x),
     })
 
 
@@ -446,27 +446,25 @@ def family_history(docs: DataFrame) -> DataFrame:
     return _projected(items(docs, "family_history"), _relative())
 
 
-def one_pass(docs: DataFrame, kinds: Sequence[Kind], wanted: str, **beside: Column) -> DataFrame:
+def one_pass(docs: DataFrame, kinds: Sequence[Kind], **beside: Column) -> DataFrame:
     """Entries that the kinds are made of, all from one pass over the documents, with the number of their kind.
 
     A document's entries stay beside each other, and nothing moves or is
     written. ``beside`` are columns of the document that stay with its entries.
-    Lists are spread as one, so an entry is a struct of the ``wanted`` fields
-    of all.
+    An entry stands in the column of its list, ``x_`` before its name, as
+    ``all_kinds`` reads it; the columns of the other lists are null.
     """
-    fields = {f.name: f.dataType for kind in kinds for f in LISTS[kind.source].fields if f.name in wanted.split()}
+    sources = sorted({kind.source for kind in kinds} | {"immunizations", "procedures"})
+    types = {f"x_{name}": LISTS[name] for name in sources} | {"x_planned": "struct<name:string>"}
 
     def entries(n: int, kind: Kind) -> Column:
-        def made(place: Column, given: dict[str, Column]) -> Column:
-            x = F.struct(*[given.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in fields.items()])
-            return F.struct(F.lit(n).alias("kind"), place.cast("bigint").alias("ord"), x.alias("x"))
+        def made(place: Column, name: str | None = None, x: Column | None = None) -> Column:
+            return F.struct(F.lit(n).alias("kind"), place.cast("bigint").alias("ord"), *[(x if c == name else F.lit(None)).cast(type_).alias(c) for c, type_ in types.items()])
 
         if kind.entries is not None:
             return F.coalesce(kind.entries(made), F.array())
-        own = [f.name for f in LISTS[kind.source].fields if f.name in fields]
-        return F.transform(F.coalesce(kind.source, F.array()), lambda x, i: made(i, {name: x[name] for name in own}))
+        return F.transform(F.coalesce(kind.source, F.array()), lambda x, i: made(i, f"x_{kind.source}", x))
 
-    sources = sorted({kind.source for kind in kinds} | {"immunizations", "procedures"})
     lists = docs.select("doc_id", "patient_id", "clinical_date", "run_date", *[F.col(f"data.{name}").alias(name) for name in sources], *[c.alias(n) for n, c in beside.items()])
     rows = lists.select(
         "doc_id", "patient_id", "clinical_date", "run_date", *beside, _claims().alias("claims"), _taken().alias("__taken"),
@@ -476,6 +474,17 @@ def one_pass(docs: DataFrame, kinds: Sequence[Kind], wanted: str, **beside: Colu
     return dated.filter(of_kind(kinds, lambda k: k.keep))
 
 
+def entries_of(kinds: Sequence[Kind]) -> Column:
+    """How many entries a document gives to ``one_pass``, without making them."""
+    def count(kind: Kind) -> Column:
+        if kind.origin == "PlannedRequest":
+            texts = F.transform(F.coalesce("data.diagnostic_reports", F.array()), lambda x: F.coalesce(F.size(_planned(x["recommendations"])), F.lit(0)))
+            return F.aggregate(texts, F.lit(0), lambda total, n: total + F.greatest(n, F.lit(0)))
+        return F.size(F.coalesce(f"data.{kind.source}", F.array()))
+
+    return sum((count(kind) for kind in kinds), F.lit(0)).cast("bigint")
+
+
 def of_kind(kinds: Sequence[Kind], value: Callable[[Kind], Column]) -> Column:
     """Value of an entry of ``one_pass`` by its kind."""
     out = F
@@ -484,9 +493,6 @@ def of_kind(kinds: Sequence[Kind], value: Callable[[Kind], Column]) -> Column:
     return out
 
 
-# fields that dates, names and states of resources are read from
-COMMON_FIELDS = """allergen body_site category condition confidence date_administered description encounter_date encounter_type finding is_forecast measurement name onset_date
-    period_start plan_description procedure_date relationship report_date report_type request_date request_type start_date status test_date test_name timestamp vaccine_name"""
 # fixed values: status of resources whose entries have none
 PLAIN_STATUS = {
     "ExamObservation": "final", "SocialObservation": "final", "ServiceRequest": "active", "PlannedRequest": "active", "Practitioner": "active", "Organization": "active",
@@ -501,18 +507,26 @@ def effective_of(kind: Kind) -> Column:
     return kind.columns.get("effective", _no_text())
 
 
+def all_kinds() -> list[Kind]:
+    """Every kind, reading the entries of ``one_pass``."""
+    made = {
+        "encounters": [_encounter, _synthesized], "medications": [_medication], "vital_signs": [_vital], "lab_results": [_lab], "physical_exam_findings": [_exam], "social_history": [_social],
+        "conditions": [_condition], "immunizations": [_stated_immunization], "procedures": [_procedure_immunization, _procedure, _procedure_report], "diagnostic_reports": [_stated_report],
+        "service_requests": [_stated_request], "planned": [_planned_request], "allergies": [_allergy], "care_plans": [_care_plan], "family_history": [_relative], "providers": [_practitioner],
+        "organizations": [_organization],
+    }
+    return [kind(f"x_{source}") for source, kinds in made.items() for kind in kinds]
+
+
 def resource_rows(docs: DataFrame) -> DataFrame:
     """All resources of the documents in one table, vaccines claimed, visits linked.
 
     All come from one pass over the documents, which holds a document's visits
     as an array: every row decides by itself, and none moves or is written.
     """
-    kinds = [
-        _encounter(), _synthesized(), _medication(), _vital(), _lab(), _exam(), _social(), _condition(), _stated_immunization(), _procedure_immunization(), _procedure(),
-        _stated_report(), _procedure_report(), _stated_request(), _planned_request(), _allergy(), _care_plan(), _relative(), _practitioner(), _organization(),
-    ]
+    kinds = all_kinds()
     docs = docs.withColumn("__made", _synthesized_day())
-    rows = one_pass(docs, kinds, COMMON_FIELDS, __made=F.col("__made"), __visits=_visits()).select(
+    rows = one_pass(docs, kinds, __made=F.col("__made"), __visits=_visits()).select(
         "doc_id", "patient_id", of_kind(kinds, lambda k: F.lit(k.resource_type or k.origin)).alias("resource_type"), _hashed(of_kind(kinds, lambda k: F.lit(k.origin))).alias("resource_id"),
         of_kind(kinds, lambda k: k.columns["name"]).alias("name"), of_kind(kinds, status_of).alias("status"), of_kind(kinds, effective_of).alias("effective"),
         of_kind(kinds, lambda k: k.columns["confidence"]).alias("confidence"), "__visits",

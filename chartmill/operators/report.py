@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,20 +59,77 @@ def document_keys(docs: DataFrame) -> DataFrame:
     )
 
 
+_ROW = ["item_id", "title", "status", "detail", "day"]
+
+
+def _typed(section: str, c: Callable[[str], Column]) -> list[Column]:
+    """Item, title, status, detail and day of a row of a typed table whose columns ``c`` finds."""
+    if section == "conditions":
+        return [c("condition_id"), S.strip_diagnosis(c("name")), c("status"), c("severity"), c("onset_text")]
+    if section == "medications":
+        return [c("med_id"), c("name"), c("status"), F.concat_ws(" ", c("dose"), c("schedule")), c("start_date")]
+    if section == "observations":
+        amount = F.concat_ws(" ", c("value").cast("string"), F.when(c("unit") != "", c("unit")))
+        return [c("obs_id"), c("test_name"), S.abnormal_result(c("flag"), c("value"), c("low"), c("high")), amount, c("effective_date").cast("string")]
+    return [c("encounter_id").cast("string"), S.class_display(c("enc_class")), c("status"), c("reason"), c("visit_date").cast("string")]
+
+
+def section_rows(df: DataFrame, section: str) -> DataFrame:
+    """Uniform report rows of one typed table."""
+    return df.select("patient_id", F.lit(section).alias("section"), *[v.alias(n) for n, v in zip(_ROW, _typed(section, F.col))])
+
+
 def report_rows(conditions: DataFrame, medications: DataFrame, results: DataFrame, encounters: DataFrame) -> DataFrame:
     """Uniform report rows ``(patient_id, section, item_id, title, status, detail, day)`` of the typed tables."""
-    def shape(df, section, item, title, status, detail, day):
-        return df.select("patient_id", F.lit(section).alias("section"), F.col(item).cast("string").alias("item_id"), title.alias("title"), status.alias("status"), detail.alias("detail"), day.alias("day"))
+    tables = {"conditions": conditions, "medications": medications, "observations": results, "encounters": encounters}
+    return reduce(DataFrame.unionByName, [section_rows(df, section) for section, df in tables.items()])
 
-    c = F.col
-    flag = S.abnormal_result(c("flag"), c("value"), c("low"), c("high"))
-    amount = F.concat_ws(" ", c("value").cast("string"), F.when(c("unit") != "", c("unit")))
-    return (
-        shape(conditions, "conditions", "condition_id", S.strip_diagnosis(c("name")), c("status"), c("severity"), c("onset_text"))
-        .unionByName(shape(medications, "medications", "med_id", c("name"), c("status"), F.concat_ws(" ", "dose", "schedule"), c("start_date")))
-        .unionByName(shape(results, "observations", "obs_id", c("test_name"), flag, amount, c("effective_date").cast("string")))
-        .unionByName(shape(encounters, "encounters", "encounter_id", S.class_display(c("enc_class")), c("status"), c("reason"), c("visit_date").cast("string")))
+
+LINE_PARTS = ["conditions", "medications", "observations"]
+
+
+def parts_of_lines(lines: DataFrame, is_condition: Column, is_medication: Column) -> DataFrame:
+    """Rows of ``lines`` once for every report row they become, with its number in ``part`` and, for results, ``low`` and ``high``.
+
+    ``ranges(low, high)`` of a line are those of its code.
+    """
+    def part(n: int, low: Column, high: Column) -> Column:
+        return F.struct(F.lit(n).alias("part"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+    none = F.lit(None)
+    made = F.concat(
+        F.when(is_condition, F.array(part(0, none, none))).otherwise(F.array()), F.when(is_medication, F.array(part(1, none, none))).otherwise(F.array()),
+        F.transform(F.coalesce("ranges", F.array()), lambda r: part(2, r["low"], r["high"])),
     )
+    return lines.select("*", F.inline(made)).drop("ranges")
+
+
+def line_rows(parts: DataFrame) -> DataFrame:
+    """The rows that ``report_rows`` makes of conditions, medications and results, from rows of ``parts_of_lines``.
+
+    They have the columns of an observation, ``of_conditions`` and ``of_medications``.
+    """
+    columns = [_typed(LINE_PARTS[0], lambda n: F.col(f"of_conditions.{n}")), _typed(LINE_PARTS[1], lambda n: F.col(f"of_medications.{n}")), _typed(LINE_PARTS[2], F.col)]
+
+    def by_part(values: Sequence[Column]) -> Column:
+        return F.when(F.col("part") == 0, values[0]).when(F.col("part") == 1, values[1]).otherwise(values[2])
+
+    return parts.select("patient_id", by_part([F.lit(p) for p in LINE_PARTS]).alias("section"), *[by_part(v).alias(n) for n, v in zip(_ROW, zip(*columns))])
+
+
+# fixed values: sections of converted documents by the origin of their rows, with the columns of their detail
+CONVERTED = {
+    "Procedure": ("procedures", ("performer", "outcome")), "Immunization": ("immunizations", ("code",)), "ProcedureImmunization": ("immunizations", ("code",)),
+    "AllergyIntolerance": ("allergies", ("severity", "reaction")), "CarePlan": ("care_plans", ("goals", "activities")), "FamilyMemberHistory": ("family_history", ("relationship",)),
+    "Practitioner": ("practitioners", ("family", "given")), "Organization": ("organizations", ("address",)), "ServiceRequest": ("service_requests", ("priority", "reason")),
+    "PlannedRequest": ("service_requests", ("priority", "reason")), "DiagnosticReport": ("diagnostic_reports", ("conclusion",)), "ProcedureReport": ("diagnostic_reports", ("conclusion",)),
+}
+
+
+def converted_kinds() -> list:
+    from chartmill.operators import convert as C
+
+    return [kind for kind in C.all_kinds() if kind.origin in CONVERTED]
 
 
 def converted_report_rows(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -80,6 +137,8 @@ def converted_report_rows(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) ->
 
     The nine sections that the typed tables of ``report_rows`` do not have.
     ``keys`` names what is kept of the document, its patient for example.
+    Every section reads the documents for itself, in tasks of its own;
+    ``converted_in_one_pass`` is for documents that moved.
     """
     from chartmill.operators import convert as C
 
@@ -103,6 +162,24 @@ def converted_report_rows(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) ->
     return reduce(DataFrame.unionByName, tables)
 
 
+def converted_in_one_pass(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The rows of ``converted_report_rows`` from one pass over the documents."""
+    from chartmill.operators import convert as C
+
+    kinds = converted_kinds()
+
+    def detail(kind) -> Column:
+        parts = [kind.columns[n] for n in CONVERTED[kind.origin][1]]
+        if kind.origin == "Practitioner":  # both parts come from one reading of the name
+            parts = [F.flatten(F.transform(F.array(S.parse_provider_name(F.col(f"x_{kind.source}.name"))), lambda n: F.array(n["family"], n["given"])))]
+        return F.concat_ws("; ", *parts)
+
+    return C.one_pass(docs, kinds).select(
+        *keys, C.of_kind(kinds, lambda k: F.lit(CONVERTED[k.origin][0])).alias("section"), C.of_kind(kinds, lambda k: k.columns["name"]).alias("title"),
+        C.of_kind(kinds, C.status_of).alias("status"), C.of_kind(kinds, detail).alias("detail"), C.of_kind(kinds, C.effective_of).alias("day"),
+    )
+
+
 def patient_summary(rows: DataFrame, limit: int = 10, start: str | None = None, end: str | None = None) -> DataFrame:
     """Newest ``limit`` rows per patient and section within the range; undated rows stay."""
     from chartmill.operators.search import in_report_range
@@ -204,14 +281,13 @@ def all_report_rows(rows: DataFrame, converted: DataFrame) -> DataFrame:
     return rows.unionByName(converted.select("patient_id", "section", F.col("doc_id").cast("string").alias("item_id"), "title", "status", "detail", "day"))
 
 
-def _pages_of_arrays(rows: DataFrame, page_items: int) -> DataFrame:
-    """Pages of sections of up to ``SMALL_SECTION`` rows, sorted as one array each.
+def _sorted_sections(rows: DataFrame) -> DataFrame:
+    """Sections of up to ``SMALL_SECTION`` rows, newest first, as one array ``all`` each, with their totals.
 
-    The rows move once, by patient, and stay there for the pages: a patient
-    has few sections, each of bounded size.
+    The rows of a patient lie in one task, and stay there.
     """
-    listed = rows.repartition("patient_id").groupBy("patient_id", "section").agg(
-        F.collect_list(F.struct("day", F.struct("item_id", "title", "status", "detail").alias("rest"))).alias("__all"),
+    listed = rows.groupBy("patient_id", "section").agg(
+        F.collect_list(F.struct("day", F.struct("item_id", "title", "status", "detail").alias("rest"))).alias("all"),
         F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"),
     )
 
@@ -224,10 +300,40 @@ def _pages_of_arrays(rows: DataFrame, page_items: int) -> DataFrame:
         r = x["rest"]
         return F.struct((i + 1).cast("bigint").alias("place"), r["item_id"].alias("item_id"), r["title"].alias("title"), r["status"].alias("status"), r["detail"].alias("detail"), x["day"].alias("day"))
 
-    placed = listed.withColumn("__all", F.array_sort("__all", compare)).withColumn("__all", F.transform("__all", item))
-    numbers = F.sequence(F.lit(0), F.floor((F.col("total") - 1) / page_items).cast("int"))
-    paged = placed.select("*", F.explode(numbers).alias("page"))
-    return paged.withColumn("items", F.slice("__all", F.col("page") * page_items + 1, F.lit(page_items)))
+    return listed.withColumn("all", F.array_sort("all", compare)).withColumn("all", F.transform("all", item))
+
+
+def _page_numbers(most: Column, page_items: int) -> Column:
+    return F.sequence(F.lit(0), F.floor((most - 1) / page_items).cast("int"))
+
+
+def _page_of(items: Column, page: Column, page_items: int) -> Column:
+    return F.slice(items, page * page_items + 1, F.lit(page_items))
+
+
+def _pages_of_arrays(rows: DataFrame, page_items: int) -> DataFrame:
+    """Pages of sections of up to ``SMALL_SECTION`` rows, which move once, by patient."""
+    placed = _sorted_sections(rows.repartition("patient_id"))
+    paged = placed.select("*", F.explode(_page_numbers(F.col("total"), page_items)).alias("page"))
+    return paged.withColumn("items", _page_of(F.col("all"), F.col("page"), page_items))
+
+
+def _pages_of_small_patients(rows: DataFrame, page_items: int) -> DataFrame:
+    """Pages of patients whose sections all have up to ``SMALL_SECTION`` rows.
+
+    The rows of a patient lie in one task. Its sections are one row until they
+    are cut into pages, so totals and pages come from the same pass.
+    """
+    record = _sorted_sections(rows).groupBy("patient_id").agg(
+        F.collect_list(F.struct("section", "total", "active", "all")).alias("sections"), F.sum("total").alias("total_resources"), F.max("total").alias("most"),
+    )
+    paged = record.select("*", F.explode(_page_numbers(F.col("most"), page_items)).alias("page"))
+
+    def held(s: Column) -> Column:
+        return F.struct(s["section"].alias("section"), s["total"].alias("total"), s["active"].alias("active"), _page_of(s["all"], F.col("page"), page_items).alias("items"))
+
+    sections = F.filter(F.transform("sections", held), lambda s: F.size(s["items"]) > 0)
+    return paged.select("patient_id", "page", sections.alias("held"), "total_resources", F.ceil(F.col("most") / page_items).cast("int").alias("pages"))
 
 
 def _pages_of_numbered(rows: DataFrame, page_items: int) -> DataFrame:
@@ -240,23 +346,34 @@ def _pages_of_numbered(rows: DataFrame, page_items: int) -> DataFrame:
     return parts.join(totals, ["patient_id", "section"])
 
 
-def full_report(patients: DataFrame, rows: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+def _pages_of_any(rows: DataFrame, page_items: int) -> DataFrame:
+    """Pages of patients whose sections have any size; the larger ones are cut."""
+    small, large = split_by_size(rows, ["patient_id", "section"], SMALL_SECTION)
+    columns = ["patient_id", "page", "section", "total", "active", "items"]
+    parts = _pages_of_arrays(small, page_items).select(*columns)
+    if large is not None:
+        parts = parts.unionByName(_pages_of_numbered(large, page_items).select(*columns))
+    pages = parts.groupBy("patient_id", "page").agg(F.collect_list(F.struct("section", "total", "active", "items")).alias("held"))
+    counts = parts.filter("page = 0").groupBy("patient_id").agg(F.sum("total").alias("total_resources"), F.ceil(F.max("total") / page_items).cast("int").alias("pages"))
+    return pages.join(counts, "patient_id")
+
+
+def full_report(patients: DataFrame, rows: DataFrame | None, page_items: int = PAGE_ITEMS, small: DataFrame | None = None) -> DataFrame:
     """The whole report of each patient as nested rows: ``patient_id, page, pages, status, patient, total_resources, sections``.
 
     Every section has all its items, newest first, and its totals. A row holds
     up to ``page_items`` of each section; a patient with more has further
     pages, so no row grows with a record. Sections without items are there,
     empty, on the first page; a patient without any has status ``no_data``.
+
+    ``small`` are the rows of patients whose sections all have up to
+    ``SMALL_SECTION`` rows, each patient's in one task; ``rows`` are those of
+    the others, None if there are none.
     """
-    keys = ["patient_id", "section"]
-    small, large = split_by_size(rows, keys, SMALL_SECTION)
-    columns = ["patient_id", "page", "section", "total", "active", "items"]
-    parts = _pages_of_arrays(small, page_items).select(*columns)
-    if large is not None:
-        parts = parts.unionByName(_pages_of_numbered(large, page_items).select(*columns))
-    pages = parts.groupBy("patient_id", "page").agg(F.collect_list(F.struct("section", "total", "active", "items")).alias("held"))
-    counts = parts.filter("page = 0").groupBy("patient_id").agg(F.sum("total").alias("total_resources"), F.ceil(F.max("total") / page_items).cast("int").alias("pages"))
-    out = patients.join(pages, "patient_id", "left").join(counts, "patient_id", "left")
+    of_small = None if small is None else _pages_of_small_patients(small, page_items)
+    of_any = None if rows is None else _pages_of_any(rows, page_items)
+    pages = reduce(DataFrame.unionByName, [p for p in (of_small, of_any) if p is not None])
+    out = patients.join(pages, "patient_id", "left")
     kind = "struct<section:string,total:bigint,active:bigint,items:array<struct<place:bigint,item_id:string,title:string,status:string,detail:string,day:string>>>"
 
     def empty(name: Column) -> Column:

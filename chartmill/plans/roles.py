@@ -94,6 +94,9 @@ MEDICATION = f"""CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRIN
                {pick('l_linenumber', [' twice daily by mouth', ' PO daily', ' every 6 hours', ' IV as needed', ' BID'])}
                AS sentence,
                l_suppkey AS source_id, l_linenumber AS line_no"""
+# all roles of a row of ``LINES`` at once: an observation, and which others it is
+IS_CONDITION, IS_MEDICATION = "l_returnflag = 'R'", "l_returnflag = 'A'"
+LINE_ROLES = f"{IS_CONDITION} AS is_condition, {IS_MEDICATION} AS is_medication, {OBSERVATION}, struct({CONDITION}) AS of_conditions, struct({MEDICATION}) AS of_medications"
 
 ROLES: dict[str, str] = {
     "patients": f"""
@@ -286,6 +289,7 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._moved: dict[str, tuple[int, str]] = {}
+        self._frames: dict[str, DataFrame] = {}
 
     @staticmethod
     def run_id() -> str:
@@ -293,6 +297,8 @@ class Tables:
         return uuid.uuid4().hex[:12]
 
     def base(self, name: str) -> DataFrame:
+        if name in self._frames:
+            return self._frames[name]
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return table.repartition(*self._moved[name]) if name in self._moved else table
 
@@ -312,6 +318,12 @@ class Tables:
         tables._moved = {name: (max(tasks, least), key) for name, key in keys.items()}
         return tables
 
+    def over(self, **frames: DataFrame) -> Tables:
+        """The same roles over the given frames in place of the base tables they are named after."""
+        tables = Tables(self.spark, self.folder)
+        tables._moved, tables._frames = self._moved, frames
+        return tables
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:
             return self.sql(ROLES[name])

@@ -4,6 +4,8 @@ import datetime
 import time
 from functools import reduce
 
+import duckdb
+from check import TABLES, compare
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from chartmill.operators import convert as C
 from chartmill.operators import extract as E
 from chartmill.operators import link as L
 from chartmill.operators import quality as V
+from chartmill.operators import report as R
 from chartmill.operators import similar as X
 from chartmill.operators import text as T
 from chartmill.plans import roles
@@ -19,7 +22,7 @@ from chartmill.plans.extraction import extraction_documents
 from chartmill.schemas import RESPONSE
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = load_all()[0]
+QUERIES, CHECKS = load_all()
 
 
 def plan_of(df, part="executedPlan"):
@@ -105,6 +108,48 @@ def test_lists_gathered_in_one_pass_are_those_gathered_apart(spark):
     assert sorted(map(str, apart.collect())) == sorted(map(str, together.collect()))
 
 
+def test_full_report_moves_rows_of_tables_and_writes_no_report_rows(spark):
+    plan = plan_of(QUERIES["full_report_items"](spark, FOLDER))
+    assert "report-rows" not in plan and plan.count("report-lines") == 1 and "hashpartitioning(patient_id, section" not in plan
+
+
+def test_full_report_counts_totals_in_the_pass_that_makes_pages(spark):
+    plan = plan_of(QUERIES["full_report"](spark, FOLDER))
+    assert plan.count("Join") == 1 and "report-rows" not in plan
+
+
+def test_converted_rows_in_one_pass_are_those_of_every_section(spark):
+    docs = odd_documents(spark)
+    keys = ["doc_id", "patient_id"]
+    got, want = R.converted_in_one_pass(docs, keys), R.converted_report_rows(docs, keys)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    kept = docs.select("doc_id", C.entries_of(R.converted_kinds()).alias("n")).filter("n > 0")
+    made = got.groupBy("doc_id").count()
+    assert made.join(kept, "doc_id").filter("count <= n").count() == made.count()
+
+
+def test_full_report_of_patients_with_large_sections(spark, monkeypatch):
+    want = sorted(map(str, QUERIES["full_report_items"](spark, FOLDER).collect()))
+    monkeypatch.setattr(R, "SMALL_SECTION", 150)
+    mixed = QUERIES["full_report_items"](spark, FOLDER)
+    plan = plan_of(mixed)
+    assert "report-rows" in plan and "report-lines" in plan and sorted(map(str, mixed.collect())) == want
+
+
+def test_full_report_of_rows_without_partners(spark, tmp_path):
+    tables = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in TABLES}
+    tables["lineitem"] = tables["lineitem"].withColumn("l_partkey", F.when(F.col("l_partkey") % 7 == 1, F.col("l_partkey") + 10_000_000).otherwise(F.col("l_partkey")))
+    tables["orders"] = tables["orders"].filter("o_orderkey % 10 <> 3")
+    tables["part"] = tables["part"].unionByName(tables["part"].filter("p_partkey % 5 = 0").withColumn("p_size", F.col("p_size") + 1))
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("full_report", "full_report_items"):
+        assert compare(spark, con, str(tmp_path), QUERIES[name], CHECKS[name]) is None
+
+
 def test_leaked_row_with_name_and_number_is_listed_once(spark):
     people = spark.createDataFrame([(1, "Meyer", "MRN1"), (2, "Li", "MRN2"), (2, None, "MRN9")], "patient_id bigint, last_name string, mrn string")
     rows = [(1, "a", "mrn1 of Meyer"), (1, "b", "Li"), (2, "c", "LI, x"), (2, "d", "mrn9"), (3, "e", "Meyer"), (1, "f", None)]
